@@ -16,6 +16,7 @@ THAI = "กขคงจชซดตถทนบปผพมยรลวสหอ
 WORDS_PER_ROW = 6
 TEXT_IMAGE_WIDTH = 32
 HOUR_MS = 3_600_000
+FRAMES_START_MS = 1_704_067_200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,7 +162,7 @@ def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).cast("int")
     return table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("label-"), F.col("label")).alias("session_id"),
-        F.timestamp_millis(F.col("vec_id") * 300).alias("ts"),
+        F.timestamp_millis(F.col("vec_id") * 300 + FRAMES_START_MS).alias("ts"),
         "vec_id",
         F.lit(8).alias("width"),
         F.lit(8).alias("height"),

@@ -437,7 +437,13 @@ def live_capture_stream(spark, sf_dir):
         warn_ms=6_000,
     )
     return _drain(spark, live, "live").select(
-        "session_id", "ts", "seq", "code", "elapsed_ms", F.round("motion", 6).alias("motion"), "spoken"
+        "session_id",
+        capture.millis(F.col("ts")).alias("ms"),
+        "seq",
+        "code",
+        "elapsed_ms",
+        F.round("motion", 6).alias("motion"),
+        "spoken",
     )
 
 
