@@ -63,11 +63,11 @@ def normalize(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """P2, first half: trim recogniser output at both ends."""
-    return F.regexp_replace(text, f"^[{RECOGNISER_SPACE}]+|[{RECOGNISER_SPACE}]+$", "")
+    return F.regexp_replace(text, f"^[{RECOGNISER_SPACE}]+|[{RECOGNISER_SPACE}]+\\z", "")
 
 
 def browser_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{BROWSER_SPACE}]+|[{BROWSER_SPACE}]+$", "")
+    return F.regexp_replace(text, f"^[{BROWSER_SPACE}]+|[{BROWSER_SPACE}]+\\z", "")
 
 
 def is_blank(text: Column) -> Column:

@@ -94,7 +94,7 @@ WITH {CLEAN}, c AS (SELECT *, (doc_id * 37 % 101)::DOUBLE AS confidence FROM cle
 SELECT c.doc_id, confidence, text <> '' AND confidence >= 50 AS accepted,
        CASE WHEN confidence >= 80 THEN 'high' WHEN confidence >= 50 THEN 'medium' ELSE 'low' END AS band,
        CASE WHEN length(text) > 22 THEN substr(text, 1, 22) || '...' ELSE text END AS snippet,
-       quality, toxic
+       coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic
 FROM c LEFT JOIN labels l ON l.doc_id = c.doc_id""",
     "paginate": f"""
 WITH {CLEAN}, {PAGES}
@@ -226,7 +226,8 @@ SELECT image, det_idx, NOT coalesce(hi >= pos, FALSE) AS opens FROM reached""",
     "line_clusters": f"WITH RECURSIVE {LINES} SELECT image, det_idx, line, position_in_line FROM placed",
     "gap_ratios": f"""
 WITH RECURSIVE {LINES}
-SELECT image, det_idx, gap, round(char_width, 6) AS char_width, round(gap / char_width, 6) AS gap_ratio, space
+SELECT image, det_idx, gap, round(char_width, 6) AS char_width, round(gap / char_width, 6) AS gap_ratio,
+       coalesce(space, FALSE) AS space
 FROM spaced""",
     "line_texts": f"""
 WITH RECURSIVE {LINES}
@@ -520,7 +521,7 @@ WITH RECURSIVE {HELD}
 SELECT session_id, event_id, code, elapsed_ms, {REMAINING} AS remaining_s FROM emitted WHERE elapsed_ms IS NOT NULL""",
     "first_shot": f"""
 WITH RECURSIVE {HELD}, shots AS (SELECT session_id, min(n) AS shot FROM emitted WHERE code = 'FIRE' GROUP BY ALL)
-SELECT session_id, count(*) AS events, max(CASE WHEN code = 'FIRE' THEN event_id END) AS shot
+SELECT session_id, count(*) AS events, max(CASE WHEN code = 'FIRE' THEN event_id ELSE -1 END) AS shot
 FROM emitted LEFT JOIN shots USING (session_id) WHERE shots.shot IS NULL OR n <= shots.shot GROUP BY session_id""",
     "held_runs": f"""
 WITH {JUDGED}, g AS (
@@ -538,7 +539,7 @@ SELECT session_id, event_id, seq, text, forced FROM said JOIN heard USING (sessi
 WITH RECURSIVE {HELD} SELECT session_id, event_id, code, elapsed_ms FROM emitted WHERE elapsed_ms IS NOT NULL""",
     "live_capture_stream": f"""
 WITH RECURSIVE {LIVE}
-SELECT e.session_id, e.vec_id * 300 + 1704067200000 AS ms, e.seq, e.code, e.elapsed_ms, round(m.motion, 6) AS motion,
+SELECT e.session_id, e.vec_id * 300 + 1704067200000 AS ms, e.seq, e.code, coalesce(e.elapsed_ms, -1) AS elapsed_ms, round(m.motion, 6) AS motion,
        coalesce(h.passed, FALSE) AS spoken
 FROM emitted e JOIN motion_of m ON m.vec_id = e.vec_id
 LEFT JOIN said s ON s.session_id = e.session_id AND s.vec_id = e.vec_id AND s.seq = e.seq

@@ -49,7 +49,7 @@ def quality_gate(spark, sf_dir):
     )
     labels = derive.table(spark, sf_dir, "labels")
     gated = results.gate(docs).select("doc_id", "confidence", "accepted", "band", "snippet")
-    return gated.join(labels, "doc_id", "left")
+    return gated.join(labels, "doc_id", "left").fillna(-1, ["quality", "toxic"])
 
 
 # --------------------------------------------------------------------- Braille
@@ -146,7 +146,7 @@ def gap_ratios(spark, sf_dir):
         "gap",
         F.round("char_width", 6).alias("char_width"),
         F.round("gap_ratio", 6).alias("gap_ratio"),
-        "space",
+        F.coalesce("space", F.lit(False)).alias("space"),
     )
 
 
@@ -361,7 +361,7 @@ def first_shot(spark, sf_dir):
     )
     return events.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("events"),
-        F.max(F.when(F.col("code") == "FIRE", F.col("event_id"))).alias("shot"),
+        F.max(F.when(F.col("code") == "FIRE", F.col("event_id")).otherwise(-1)).alias("shot"),
     )
 
 
@@ -441,7 +441,7 @@ def live_capture_stream(spark, sf_dir):
         capture.millis(F.col("ts")).alias("ms"),
         "seq",
         "code",
-        "elapsed_ms",
+        F.coalesce("elapsed_ms", F.lit(-1)).alias("elapsed_ms"),
         F.round("motion", 6).alias("motion"),
         "spoken",
     )

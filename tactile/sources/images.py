@@ -17,7 +17,7 @@ UNREADABLE = "preprocessing failed: the image cannot be decoded"
 
 def has_image_suffix(path: Column) -> Column:
     """U-2. Case-insensitive membership in the list of suffixes."""
-    return F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1)).isin(*EXTENSIONS)
+    return F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)\z", 1)).isin(*EXTENSIONS)
 
 
 def is_image_type(mime: Column) -> Column:
