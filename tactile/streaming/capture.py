@@ -30,14 +30,16 @@ def fold_stream(
     machine,
     order: list[str],
     carry: tuple[str, ...] = (),
-    delay: str = "10 seconds",
+    delay: str | None = "10 seconds",
     idle_ms: int = IDLE_MS,
 ) -> DataFrame:
     """T3, T5, T6, T7. A session machine on a stream; rows are those ``sessions.fold`` gives for
     frames that arrive in order. ``df`` has ``session_id``, ``ts`` (timestamp) and the machine's
-    columns; ``order`` starts with ``ts``."""
+    columns; ``order`` starts with ``ts``. ``delay=None`` keeps the watermark ``df`` has already."""
     keep = ["session_id", *order, *carry]
-    rows = df.select(*dict.fromkeys([*keep, *machine.inputs])).withWatermark("ts", delay)
+    rows = df.select(*dict.fromkeys([*keep, *machine.inputs]))
+    if delay is not None:
+        rows = rows.withWatermark("ts", delay)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -132,7 +134,7 @@ def live_capture(
     frame_rows: DataFrame,
     voice: bool = True,
     auto_capture: bool = True,
-    delay: str = "10 seconds",
+    delay: str | None = "10 seconds",
     idle_ms: int = IDLE_MS,
     hold_ms: int = HOLD_MS,
     warn_ms: int = WARN_MS,
