@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tactile.functions.text import outside
+
 # Raised dots of every character.
 DOTS = {
     "ก": "1245", "ข": "13", "ฃ": "13", "ค": "136", "ฅ": "136", "ฆ": "12346", "ง": "13456",
@@ -44,6 +46,7 @@ MASKS = {ch: sum(1 << (int(d) - 1) for d in dots) for ch, dots in DOTS.items()}
 LOOKUP = {**MASKS, **{ch: MASKS[same] for ch, same in CASE_FALLBACK.items()}}
 CHARS = "".join(LOOKUP)
 GLYPHS = "".join(chr(BLANK_CODE + mask) for mask in LOOKUP.values())
+_UNKNOWN = outside(CHARS + " ")
 
 
 def _pins(mask: int) -> str:
@@ -53,7 +56,7 @@ def _pins(mask: int) -> str:
 # ------------------------------------------------------------------ encoding
 def encode(text: Column) -> Column:
     """J2, F10. One Braille pattern per code point; unknown characters are blank cells."""
-    known = F.regexp_replace(text, f"[^{CHARS}]", " ")
+    known = F.regexp_replace(text, _UNKNOWN, " ")
     return F.translate(known, CHARS + " ", GLYPHS + BLANK)
 
 
@@ -69,8 +72,7 @@ def mask(glyph: Column) -> Column:
 
 def glyph(mask_col: Column) -> Column:
     """F10 for a computed mask."""
-    table = F.array(*[F.lit(chr(BLANK_CODE + m)) for m in range(64)])
-    return F.element_at(table, mask_col + 1)
+    return F.element_at(_by_mask(lambda m: F.lit(chr(BLANK_CODE + m))), mask_col + 1)
 
 
 def characters(text: Column) -> Column:
@@ -78,17 +80,24 @@ def characters(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
+def _by_mask(value) -> Column:
+    """Constant table of all 64 patterns, to be looked up by mask."""
+    return F.array(*[value(m) for m in range(64)])
+
+
 def dots_bool(mask_col: Column) -> Column:
     """F8. Six booleans, dots 1 to 6."""
-    return F.array(*[F.getbit(mask_col, F.lit(d)) == 1 for d in range(6)])
+    table = _by_mask(lambda m: F.array(*[F.lit(bool(m >> d & 1)) for d in range(6)]))
+    return F.element_at(table, mask_col + 1)
 
 
 def dots(mask_col: Column) -> Column:
     """Raised dots in ascending order."""
-    return F.filter(
-        F.array(*[F.when(F.getbit(mask_col, F.lit(d - 1)) == 1, d) for d in range(1, 7)]),
-        lambda d: d.isNotNull(),
+    none = F.array().cast("array<int>")
+    table = _by_mask(
+        lambda m: F.array(*[F.lit(d + 1) for d in range(6) if m >> d & 1]) if m else none
     )
+    return F.element_at(table, mask_col + 1)
 
 
 def raised_pins(glyphs: Column) -> Column:
@@ -100,7 +109,7 @@ def raised_pins(glyphs: Column) -> Column:
 
 def pin_string(glyphs: Column) -> Column:
     """F9. One '0' or '1' per pin, six per cell in the order of ``PIN_ORDER``."""
-    table = F.array(*[F.lit(_pins(m)) for m in range(64)])
+    table = _by_mask(lambda m: F.lit(_pins(m)))
     return F.array_join(
         F.transform(F.split(glyphs, ""), lambda g: F.element_at(table, mask(g) + 1)), ""
     )
@@ -111,23 +120,6 @@ def pin_vector(glyphs: Column) -> Column:
     return F.transform(F.split(pin_string(glyphs), ""), lambda p: p == "1")
 
 
-def cells(chunk: Column) -> Column:
-    """Cells of a page: character, dots, booleans and glyph, position by position."""
-    padded = F.rpad(chunk, CELLS, " ")
-    shown = fill_cells(encode(chunk))
-    return F.transform(
-        F.arrays_zip(
-            F.split(padded, "").alias("ch"), F.split(shown, "").alias("glyph")
-        ),
-        lambda c: F.struct(
-            c["ch"].alias("ch"),
-            dots(mask(c["glyph"])).alias("dots"),
-            dots_bool(mask(c["glyph"])).alias("dots_bool"),
-            c["glyph"].alias("glyph"),
-        ),
-    )
-
-
 # ---------------------------------------------------------------- pagination
 def page_count(n_chars: Column, cells: int = CELLS) -> Column:
     """A17. At least one page."""

@@ -47,33 +47,43 @@ def pin_pages(pages: DataFrame) -> DataFrame:
 
 
 def cell_rows(pages: DataFrame) -> DataFrame:
-    """F5, F7, F8, F12. One row per cell of each page."""
+    """F5, F7, F8, F12. One row per cell of each page. Characters are exploded first, so that all
+    the rest is computed by generated code, and only where it is asked for."""
     keep = [c for c in pages.columns if c not in ("chunk", "page_label", "range_label")]
-    cell = F.col("cell")
-    return pages.select(
-        *keep, "chunk", F.posexplode(braille.cells(F.col("chunk"))).alias("cell_idx", "cell")
-    ).select(
-        *keep,
-        "cell_idx",
-        cell["ch"].alias("ch"),
-        cell["dots"].alias("dots"),
-        cell["dots_bool"].alias("dots_bool"),
-        cell["glyph"].alias("glyph"),
-        braille.cell_label(
-            F.col("cell_idx"), F.col("chunk"), F.col("start_char"), F.col("n_chars")
-        ).alias("label"),
+    padded = F.rpad("chunk", braille.CELLS, " ")
+    label = braille.cell_label(
+        F.col("cell_idx"), F.col("chunk"), F.col("start_char"), F.col("n_chars")
+    )
+    return (
+        pages.select(*keep, "chunk", F.posexplode(F.split(padded, "")).alias("cell_idx", "ch"))
+        .withColumn("glyph", braille.encode(F.col("ch")))
+        .withColumn("mask", braille.mask(F.col("glyph")))
+        .withColumns(
+            {
+                "dots": braille.dots(F.col("mask")),
+                "dots_bool": braille.dots_bool(F.col("mask")),
+                "label": label,
+            }
+        )
+        .drop("chunk")
     )
 
 
-def page_at(df: DataFrame, page_idx: Column, text: str = "text", kept: bool = False) -> DataFrame:
-    """O4. Only the wanted page of each text; ``kept`` follows the rule for replaced text."""
+def page_at(
+    df: DataFrame,
+    page_idx: Column,
+    text: str = "text",
+    kept: bool = False,
+    into: tuple[str, str] = ("page_idx", "chunk"),
+) -> DataFrame:
+    """O4. Adds the wanted page of each text and its index, without building the other pages;
+    ``kept`` follows the rule for replaced text."""
     n_pages = braille.page_count(F.length(text))
     choose = braille.kept_page if kept else braille.clamp_page
     return (
         df.withColumn("n_pages", n_pages)
-        .withColumn("page_idx", choose(page_idx, F.col("n_pages")))
-        .withColumn("chunk", braille.chunk_at(F.col(text), F.col("page_idx")))
-        .drop(text)
+        .withColumn(into[0], choose(page_idx, F.col("n_pages")))
+        .withColumn(into[1], braille.chunk_at(F.col(text), F.col(into[0])))
     )
 
 
@@ -87,8 +97,8 @@ def dictionary(spark) -> DataFrame:
 
 
 def character_usage(df: DataFrame, text: str = "text") -> DataFrame:
-    """Occurrences of each character. Counted per text first, then combined before the shuffle,
-    so that a frequent character is no hot key."""
+    """Occurrences of each character. Counts are combined before the shuffle, so that a frequent
+    character is no hot key."""
     return (
         df.select(F.explode(braille.characters(F.col(text))).alias("ch"))
         .groupBy("ch")

@@ -3,8 +3,8 @@
 A machine is a small object with ``run(state, columns)``: it walks rows in order, returns what
 they emit and the state afterwards. The same ``run`` serves batch groups and streaming keys.
 
-Sessions of normal size are one group each. A larger one is cut into chunks of bounded size. What
-a chunk does depends on the state it is entered with, but both machines forget: which row they
+Sessions of normal size are walked one after the other in sorted partitions. A larger one is cut
+into chunks of bounded size. What a chunk does depends on the state it is entered with, but both machines forget: which row they
 restart from decides everything after it. So each chunk first reports, for the few rows at its
 head where an entering state can restart, the state it would end in (``heads``); a pass over
 these reports, chunk by chunk, finds every entering state (``enter``); then all chunks run in
@@ -13,10 +13,12 @@ parallel. The result equals the plain run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from tactile.operators.ordered import CHUNK, DEFAULT, Bound, Chunks, chunked, split_hot
@@ -28,6 +30,12 @@ ANY_SILENCE_MS = 1800
 SAME_SILENCE_MS = 2500
 
 
+_ARROW = {
+    "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
+    "string": pa.string(),
+}
+
+
 class Hold:
     """T5, T6 and the hold part of T2. State: (start of the hold or None, warned).
 
@@ -198,6 +206,45 @@ def schema_of(df: DataFrame, keep: list[str], extra: list[tuple[str, str]]) -> T
     )
 
 
+def _run_sorted(machine, group, keep, entering=None):
+    """Walk batches sorted by group: a group may start in one batch and end in a later one, so
+    memory is bound by the batch and not by the group. ``entering`` names the columns that hold
+    the state a group starts with."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, machine.initial
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in group]))
+            columns = [batch.column(c).to_pylist() for c in machine.inputs]
+            index, emissions, start, n = [], [], 0, batch.num_rows
+            while start < n:
+                end = start
+                while end < n and keys[end] == keys[start]:
+                    end += 1
+                if keys[start] != key:
+                    key = keys[start]
+                    state = machine.initial
+                    if entering:
+                        state = tuple(batch.column(c)[start].as_py() for c in entering)
+                out, state = machine.run(state, *[c[start:end] for c in columns])
+                index += [start + row[0] for row in out]
+                emissions += out
+                start = end
+            picked = batch.select(keep).take(pa.array(index, pa.int32()))
+            extra = [
+                pa.array([row[c] for row in emissions], _ARROW[kind])
+                for c, (_, kind) in enumerate(machine.outputs, start=1)
+            ]
+            names = [*keep, *[name for name, _ in machine.outputs]]
+            yield pa.RecordBatch.from_arrays([*picked.columns, *extra], names)
+
+    return walk
+
+
+def _sorted(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*group).sortWithinPartitions(*group, *order)
+
+
 def fold(
     df: DataFrame,
     machine,
@@ -211,13 +258,9 @@ def fold(
     keep = [*group, *order, *carry]
     rows = df.select(*dict.fromkeys([*keep, *machine.inputs]))
     schema = schema_of(df, keep, machine.outputs)
-
-    def run_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, columns = ordered_columns(machine, pdf, order)
-        return emitted(machine, pdf, keep, machine.run(machine.initial, *columns)[0])
-
     normal, hot, n_hot = split_hot(rows, group, bound.max_rows, bound.sizes)
-    parts = [normal.groupBy(*group).applyInPandas(run_group, schema)]
+    walk = _run_sorted(machine, group, keep)
+    parts = [_sorted(normal, group, order).mapInArrow(walk, schema)]
     if hot is not None:
         n_chunks = Chunks(n_hot, bound.chunk_rows).n_chunks
         parts.append(_fold_chunks(hot, machine, group, order, keep, n_chunks))
@@ -255,15 +298,11 @@ def _fold_chunks(df, machine, group, order, keep, n_chunks) -> DataFrame:
             out[c] = pdf[c].iloc[0]
         return out[[*key, *[name for name, _ in entering]]]
 
-    def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = tuple(plain(pdf[name].iloc[:1])[0] for name, _ in entering)
-        pdf, columns = ordered_columns(machine, pdf, order)
-        return emitted(machine, pdf, keep, machine.run(state, *columns)[0])
-
     reports = parts.groupBy(*key).applyInPandas(
         report, schema_of(parts, key, [("_n", "int"), *heads])
     )
     states = reports.groupBy(*group).applyInPandas(link, schema_of(parts, key, entering))
-    return parts.join(states, key).groupBy(*key).applyInPandas(run_chunk, schema)
+    walk = _run_sorted(machine, key, keep, [name for name, _ in entering])
+    return _sorted(parts.join(states, key), key, order).mapInArrow(walk, schema)
 
 

@@ -52,34 +52,29 @@ def words(text: Column) -> Column:
 def _boxes(doc_id: Column, ws: Column) -> Column:
     """One box per word, six to a row of text; some are tall enough to touch the next row."""
 
-    def box(w: Column, i: Column) -> Column:
-        row, col = F.floor(i / F.lit(WORDS_PER_ROW)).cast("int"), i % WORDS_PER_ROW
-
-        def width(word, at):
-            return F.length(word) * 10 + at % 4
-
-        first = row * WORDS_PER_ROW
-        before = F.when(
-            col > 0,
-            F.aggregate(
-                F.sequence(first, i - 1),
-                F.lit(0).cast("long"),
-                lambda x, k: x
-                + width(F.get(ws, k), k)
-                + (doc_id * 7 + (k + 1) * 13) % 9
-                - 1,
-            ),
-        ).otherwise(F.lit(0).cast("long"))
-        top = row * 40 + col * 4
-        tall = (doc_id + i) % 29 == 0
-        return F.struct(
-            before.alias("x0"),
-            top.alias("y0"),
-            (before + width(w, i)).alias("x1"),
-            (top + F.when(tall, 45).otherwise(30)).alias("y1"),
-        )
-
-    return F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"), box(w, i).alias("b")))
+    def row_of_text(row: Column) -> Column:
+        six = F.slice(ws, row * WORDS_PER_ROW + 1, F.lit(WORDS_PER_ROW))
+        boxes, x = [], F.lit(0).cast("long")
+        for col in range(WORDS_PER_ROW):
+            i, w = row * WORDS_PER_ROW + col, F.get(six, F.lit(col))
+            if col:
+                x = x + (doc_id * 7 + i * 13) % 9 - 1
+            end = x + F.length(w) * 10 + i % 4
+            top = row * 40 + col * 4
+            tall = (doc_id + i) % 29 == 0
+            box = F.struct(
+                x.alias("x0"),
+                top.alias("y0"),
+                end.alias("x1"),
+                (top + F.when(tall, 45).otherwise(30)).alias("y1"),
+            )
+            boxes.append(F.struct(i.alias("i"), w.alias("w"), box.alias("b")))
+            x = end
+        return F.filter(F.array(*boxes), lambda d: d["w"].isNotNull())
+
+    last = F.ceil(F.size(ws) / F.lit(WORDS_PER_ROW)).cast("int") - 1
+    rows = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(rows, row_of_text))
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:

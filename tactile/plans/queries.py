@@ -75,14 +75,21 @@ def pin_vectors(spark, sf_dir):
 def braille_cells(spark, sf_dir):
     """Every cell of every page, summed up per character."""
     cells = pages.cell_rows(pages.paginate(clean_documents(spark, sf_dir)))
-    flags = F.array_join(F.transform("dots_bool", lambda b: F.when(b, "1").otherwise("0")), "")
-    return cells.groupBy(
-        "ch", "glyph", F.array_join("dots", "").alias("dots"), flags.alias("flags")
-    ).agg(
+    summed = cells.groupBy("ch", "glyph", "mask").agg(
         F.count(F.lit(1)).alias("cells"),
         F.min("label").alias("first_label"),
         F.max("label").alias("last_label"),
     )
+    flags = F.transform(braille.dots_bool(F.col("mask")), lambda b: F.when(b, "1").otherwise("0"))
+    return summed.select(
+        "ch",
+        "glyph",
+        F.array_join(braille.dots(F.col("mask")), "").alias("dots"),
+        F.array_join(flags, "").alias("flags"),
+        "cells",
+        "first_label",
+        "last_label",
+    )
 
 
 def dictionary_audit(spark, sf_dir):
@@ -94,20 +101,16 @@ def dictionary_audit(spark, sf_dir):
 def page_at(spark, sf_dir):
     docs = clean_documents(spark, sf_dir)
     wanted = (F.col("doc_id") % 50 - 5).cast("int")
-    clamped = pages.page_at(docs, wanted).select(
-        "doc_id", "n_pages", "page_idx", "chunk"
-    )
-    kept = pages.page_at(docs, wanted, kept=True)
+    clamped = pages.page_at(docs, wanted)
+    both = pages.page_at(clamped, wanted, kept=True, into=("kept_idx", "kept_chunk"))
     idx, n = F.col("page_idx"), F.col("n_pages")
-    return clamped.select(
-        "*",
-        braille.step_bounded(idx, F.lit(1), n).alias("next_idx"),
-        braille.step_bounded(idx, F.lit(-1), n).alias("prev_idx"),
-        braille.step_wrapping(idx, F.lit(1), n).alias("wrap_next"),
-        braille.step_wrapping(idx, F.lit(-1), n).alias("wrap_prev"),
-    ).join(
-        kept.select("doc_id", F.col("page_idx").alias("kept_idx"), F.col("chunk").alias("kept_chunk")),
-        "doc_id",
+    return both.drop("text").withColumns(
+        {
+            "next_idx": braille.step_bounded(idx, F.lit(1), n),
+            "prev_idx": braille.step_bounded(idx, F.lit(-1), n),
+            "wrap_next": braille.step_wrapping(idx, F.lit(1), n),
+            "wrap_prev": braille.step_wrapping(idx, F.lit(-1), n),
+        }
     )
 
 
