@@ -76,8 +76,8 @@ def glyph(mask_col: Column) -> Column:
 
 
 def characters(text: Column) -> Column:
-    """F5. Code points, an empty array for empty text."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    """F5. Code points; empty text gives one empty string."""
+    return F.split(text, "")
 
 
 def _by_mask(value) -> Column:

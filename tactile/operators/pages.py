@@ -13,9 +13,11 @@ def paginate(df: DataFrame, text: str = "text", cells: int = braille.CELLS) -> D
     n_chars, n_pages, idx = F.col("n_chars"), F.col("n_pages"), F.col("page_idx")
     start, end = F.col("start_char"), F.col("end_char")
     return (
-        df.select(
+        # The length is taken before the text is taken apart, not once more for every page.
+        df.withColumn("n_chars", F.length(text))
+        .select(
             *keep,
-            F.length(text).alias("n_chars"),
+            "n_chars",
             F.posexplode(braille.chunks(F.col(text), cells)).alias("page_idx", "chunk"),
         )
         .withColumn("n_pages", braille.page_count(n_chars, cells))
@@ -101,6 +103,7 @@ def character_usage(df: DataFrame, text: str = "text") -> DataFrame:
     character is no hot key."""
     return (
         df.select(F.explode(braille.characters(F.col(text))).alias("ch"))
+        .where(F.col("ch") != "")
         .groupBy("ch")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
@@ -109,7 +112,9 @@ def character_usage(df: DataFrame, text: str = "text") -> DataFrame:
 def shared_patterns(usage: DataFrame) -> DataFrame:
     """A18. Patterns that stand for more than one character of the texts. The groups hold
     dictionary characters only, so their size is bounded by the dictionary."""
-    known = usage.withColumn("mask", braille.mask(braille.encode(F.col("ch")))).where("mask > 0")
+    # Tied to the count, so that the filter is not moved below it, onto every single character.
+    mask = F.when(F.col("uses") > 0, braille.mask(braille.encode(F.col("ch"))))
+    known = usage.withColumn("mask", mask).where("mask > 0")
     return (
         known.groupBy("mask")
         .agg(

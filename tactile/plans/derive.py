@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 THAI = "กขคงจชซดตถทนบปผพมยรลวสหอ่้"
@@ -49,52 +49,46 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def _boxes(doc_id: Column, ws: Column) -> Column:
-    """One box per word, six to a row of text; some are tall enough to touch the next row."""
-
-    def row_of_text(row: Column) -> Column:
-        six = F.slice(ws, row * WORDS_PER_ROW + 1, F.lit(WORDS_PER_ROW))
-        boxes, x = [], F.lit(0).cast("long")
-        for col in range(WORDS_PER_ROW):
-            i, w = row * WORDS_PER_ROW + col, F.get(six, F.lit(col))
-            if col:
-                x = x + (doc_id * 7 + i * 13) % 9 - 1
-            end = x + F.length(w) * 10 + i % 4
-            top = row * 40 + col * 4
-            tall = (doc_id + i) % 29 == 0
-            box = F.struct(
-                x.alias("x0"),
-                top.alias("y0"),
-                end.alias("x1"),
-                (top + F.when(tall, 45).otherwise(30)).alias("y1"),
-            )
-            boxes.append(F.struct(i.alias("i"), w.alias("w"), box.alias("b")))
-            x = end
-        return F.filter(F.array(*boxes), lambda d: d["w"].isNotNull())
-
-    last = F.ceil(F.size(ws) / F.lit(WORDS_PER_ROW)).cast("int") - 1
-    rows = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(rows, row_of_text))
+def _boxes(docs: DataFrame) -> DataFrame:
+    """One box per word, six to a row of text, side by side: ``doc_id, i, w`` and the corners.
+    Some boxes are tall enough to touch the next row."""
+    doc_id, i, row = F.col("doc_id"), F.col("i"), F.col("row")
+    in_row = (
+        Window.partitionBy("doc_id", "row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    col = i % WORDS_PER_ROW
+    gap = F.when(col > 0, (doc_id * 7 + i * 13) % 9 - 1).otherwise(0)
+    top = row * 40 + col * 4
+    return (
+        docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("i", "w"))
+        .withColumn("row", F.floor(i / F.lit(WORDS_PER_ROW)).cast("int"))
+        .withColumn("width", F.length("w") * 10 + i % 4)
+        .withColumn("x1", F.sum(F.col("width") + gap).over(in_row))
+        .select(
+            "doc_id",
+            "i",
+            "w",
+            (F.col("x1") - F.col("width")).alias("x0"),
+            top.alias("y0"),
+            "x1",
+            (top + F.when((doc_id + i) % 29 == 0, 45).otherwise(30)).alias("y1"),
+        )
+    )
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skewed polygons at twice the size; texts padded, and blank for one word in 37."""
-    docs = documents(spark, sf_dir).withColumn("ws", words(F.col("text")))
-    rows = docs.select("doc_id", F.explode(_boxes(F.col("doc_id"), F.col("ws"))).alias("d"))
-    i, b = F.col("d.i"), F.col("d.b")
+    i, (x0, y0, x1, y1) = F.col("i"), (F.col(c) for c in ("x0", "y0", "x1", "y1"))
 
     def corner(x: Column, y: Column) -> Column:
         return F.struct((x * 2.0).alias("x"), (y * 2.0).alias("y"))
 
-    padded = F.concat(F.lit(" "), F.col("d.w"), F.when(i % 5 == 0, "\t").otherwise(""))
-    return rows.select(
+    padded = F.concat(F.lit(" "), F.col("w"), F.when(i % 5 == 0, "\t").otherwise(""))
+    return _boxes(documents(spark, sf_dir)).select(
         image_of(F.col("doc_id")).alias("image"),
         i.alias("det_idx"),
         F.array(
-            corner(b["x0"], b["y0"] + 1),
-            corner(b["x1"] - 1, b["y0"]),
-            corner(b["x1"], b["y1"] - 1),
-            corner(b["x0"] + 1, b["y1"]),
+            corner(x0, y0 + 1), corner(x1 - 1, y0), corner(x1, y1 - 1), corner(x0 + 1, y1)
         ).alias("points"),
         F.when((F.col("doc_id") + i) % 37 == 0, "  ").otherwise(padded).alias("text"),
         ((F.col("doc_id") * 31 + i * 17) % 65 / F.lit(64.0)).alias("confidence"),
@@ -115,23 +109,22 @@ def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of two engines: texts blank or missing, confidences missing, zero or fractional,
     words with and without confidence and area."""
     doc_id = F.col("doc_id")
-    docs = documents(spark, sf_dir).withColumn("ws", words(F.col("text")))
-    boxes = _boxes(doc_id, F.col("ws"))
-    listed = F.transform(
-        boxes,
-        lambda d: F.struct(
-            F.concat(F.lit(" "), d["w"]).alias("text"),
-            F.struct(
-                d["b"]["x0"].cast("double").alias("x0"),
-                d["b"]["y0"].cast("double").alias("y0"),
-                F.when(d["i"] % 11 == 0, d["b"]["x0"]).otherwise(d["b"]["x1"]).cast("double").alias("x1"),
-                d["b"]["y1"].cast("double").alias("y1"),
-            ).alias("bbox"),
-            F.when(d["i"] % 7 == 0, F.lit(0.0))
-            .when(d["i"] % 5 != 0, (d["i"] % 101).cast("double"))
+    docs = documents(spark, sf_dir)
+
+    def word(w: Column, i: Column) -> Column:
+        left = i % WORDS_PER_ROW * 100
+        top = F.floor(i / F.lit(WORDS_PER_ROW)) * 40
+        right = left + F.when(i % 11 == 0, 0).otherwise(F.length(w) * 10)
+        corners = {"x0": left, "y0": top, "x1": right, "y1": top + 30}
+        return F.struct(
+            F.concat(F.lit(" "), w).alias("text"),
+            F.struct(*[v.cast("double").alias(c) for c, v in corners.items()]).alias("bbox"),
+            F.when(i % 7 == 0, F.lit(0.0))
+            .when(i % 5 != 0, (i % 101).cast("double"))
             .alias("confidence"),
-        ),
-    )
+        )
+
+    listed = F.transform(words(F.col("text")), word)
     image = image_of(doc_id).alias("image")
     first = docs.where(doc_id % 5 != 0).select(
         image,

@@ -112,7 +112,8 @@ labelled AS (
          'CELL #' || (cell_idx + 1) || CASE WHEN n_chars > 0 AND cell_idx < length(chunk)
            THEN ' [' || (start_char + cell_idx) || ']' ELSE '' END AS label
   FROM cells)
-SELECT ch, glyph, dots, flags, count(*) AS cells, min(label) AS first_label, max(label) AS last_label
+SELECT ch, glyph, dots, flags, count(*) AS cells, count(*) FILTER (label LIKE '%]') AS numbered,
+       sum(length(label))::BIGINT AS label_chars
 FROM labelled GROUP BY ALL""",
     "dictionary_audit": f"""
 WITH both_texts AS (
@@ -256,10 +257,11 @@ FROM summary GROUP BY 1""",
 CHOSEN = rf"""
 {WORDS},
 word_items AS (
-  SELECT doc_id, i, ' ' || w AS wtext, x::DOUBLE AS x0, (r * 40 + c * 4)::DOUBLE AS y0,
-         (CASE WHEN i % 11 = 0 THEN x ELSE x + width END)::DOUBLE AS x1, (r * 40 + c * 4 + height)::DOUBLE AS y1,
+  SELECT doc_id, i, ' ' || w AS wtext, (i % 6 * 100)::DOUBLE AS x0, (i // 6 * 40)::DOUBLE AS y0,
+         (i % 6 * 100 + CASE WHEN i % 11 = 0 THEN 0 ELSE length(w) * 10 END)::DOUBLE AS x1,
+         (i // 6 * 40 + 30)::DOUBLE AS y1,
          CASE WHEN i % 7 = 0 THEN 0.0 WHEN i % 5 <> 0 THEN i % 101 END::DOUBLE AS wconf
-  FROM placed_words),
+  FROM word_rows),
 first_engine AS (
   SELECT doc_id, 1 AS engine_rank, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS text,
          CASE WHEN doc_id % 7 <> 0 THEN doc_id % 101 ELSE 90 END::DOUBLE AS confidence, doc_id % 2 = 0 AS listed

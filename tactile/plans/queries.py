@@ -77,8 +77,8 @@ def braille_cells(spark, sf_dir):
     cells = pages.cell_rows(pages.paginate(clean_documents(spark, sf_dir)))
     summed = cells.groupBy("ch", "glyph", "mask").agg(
         F.count(F.lit(1)).alias("cells"),
-        F.min("label").alias("first_label"),
-        F.max("label").alias("last_label"),
+        F.count_if(F.col("label").endswith("]")).alias("numbered"),
+        F.sum(F.length("label")).alias("label_chars"),
     )
     flags = F.transform(braille.dots_bool(F.col("mask")), lambda b: F.when(b, "1").otherwise("0"))
     return summed.select(
@@ -87,8 +87,8 @@ def braille_cells(spark, sf_dir):
         F.array_join(braille.dots(F.col("mask")), "").alias("dots"),
         F.array_join(flags, "").alias("flags"),
         "cells",
-        "first_label",
-        "last_label",
+        "numbered",
+        "label_chars",
     )
 
 
