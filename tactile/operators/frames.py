@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tactile.functions import geometry, pixels
-from tactile.operators.ordered import DEFAULT, Bound, Scan, by_size
+from tactile.operators.ordered import Bound, Scan, by_size
 
 # Focus bands, presence of a document, corner density, motion.
 FOCUS_BLURRY = 80.0
@@ -27,6 +27,9 @@ DENOISE_STRENGTH = 6
 # Fixed value: cadence of the frame source.
 FRAME_INTERVAL_MS = 300
 
+# Frames are wide: 100,000 of 120 x 160 pixels are about 2 GB.
+FRAMES = Bound(max_rows=100_000, chunk_rows=50_000)
+
 CORNERS = list(pixels.ZONES)
 IMAGE = ("luma", "width", "height")
 
@@ -75,7 +78,7 @@ def frame_metrics(frames: DataFrame) -> DataFrame:
 def frame_motion(
     frames: DataFrame,
     order: list[str] | None = None,
-    bound: Bound = DEFAULT,
+    bound: Bound = FRAMES,
 ) -> DataFrame:
     """A14, J3. Mean luma difference to the frame before in the session, 0 for the first."""
     order = order or ["ts"]

@@ -19,6 +19,7 @@ from tactile.session import cut
 
 MAX_GROUP_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
+BROADCAST_KEYS = 100_000
 CHUNK = "_chunk"
 
 
@@ -39,10 +40,12 @@ def split_hot(
     if sizes is None:
         sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
     large = sizes.where(F.col("rows") > max_rows).select(*group, "rows")
-    total = large.agg(F.sum("rows")).first()[0]
-    if total is None:
+    total, n_keys = large.agg(F.sum("rows"), F.count("rows")).first()
+    if not n_keys:
         return df, None, 0
     keys = cut(large).select(*group)
+    if n_keys <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
     return df.join(keys, group, "left_anti"), df.join(keys, group, "left_semi"), total
 
 
@@ -80,14 +83,21 @@ def _local(name: str, scan: Scan, group: list[str], order: list[str]) -> Column:
     raise ValueError(f"unknown scan {scan.kind!r} for {name!r}")
 
 
+def _local_scans(df: DataFrame, scans: dict[str, Scan], group, order) -> DataFrame:
+    """All descending scans in one pass, then all ascending ones, whose sort is left for whatever
+    comes next."""
+    for down in (True, False):
+        part = {n: s for n, s in scans.items() if (s.kind == "min_from") == down}
+        if part:
+            df = df.withColumns({n: _local(n, s, group, order) for n, s in part.items()})
+    return df
+
+
 class Windows:
     """Groups of bounded size."""
 
     def scan(self, df, group, order, scans: dict[str, Scan]) -> DataFrame:
-        # Descending passes first, so that the ascending sort serves whatever comes next.
-        for name, scan in sorted(scans.items(), key=lambda kv: kv[1].kind != "min_from"):
-            df = df.withColumn(name, _local(name, scan, group, order))
-        return df
+        return _local_scans(df, scans, group, order)
 
     def totals(self, df, group, aggs: dict[str, Column]) -> DataFrame:
         """Group aggregates on every row; a scan of the same groups before leaves them sorted."""
@@ -141,21 +151,27 @@ class Chunks:
             carries.append(carry.alias(f"_carry_{name}"))
         carry = parts.groupBy(*keys).agg(*summaries).select(*keys, *carries)
 
-        out = parts.join(carry, keys)
+        own = {
+            f"_own_{name}": Scan(
+                scan.kind,
+                F.struct(F.col(f"_in_{name}").alias("v")) if scan.kind == "prev" else F.col(f"_in_{name}"),
+            )
+            for name, scan in scans.items()
+        }
+        out = _local_scans(parts.join(carry, keys), own, keys, order)
+        results = {}
         for name, scan in scans.items():
-            value, before = F.col(f"_in_{name}"), F.col(f"_carry_{name}")
-            wrapped = F.struct(value.alias("v")) if scan.kind == "prev" else value
-            own = _local(name, Scan(scan.kind, wrapped), keys, order)
+            here, before = F.col(f"_own_{name}"), F.col(f"_carry_{name}")
             if scan.kind == "prev":
-                result = F.coalesce(own, before)["v"]
+                results[name] = F.coalesce(here, before)["v"]
             elif scan.kind == "max_before":
-                result = F.greatest(own, before)
+                results[name] = F.greatest(here, before)
             elif scan.kind == "min_from":
-                result = F.least(own, before)
+                results[name] = F.least(here, before)
             else:
-                result = own + F.coalesce(before, F.lit(0))
-            out = out.withColumn(name, result)
-        helpers = [f"{p}{name}" for name in scans for p in ("_in_", "_carry_")]
+                results[name] = here + F.coalesce(before, F.lit(0))
+        out = out.withColumns(results)
+        helpers = [f"{p}{name}" for name in scans for p in ("_in_", "_own_", "_carry_")]
         return out.drop(CHUNK, *helpers)
 
     def totals(self, df, group, aggs: dict[str, Column]) -> DataFrame:

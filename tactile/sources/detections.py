@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = (
@@ -12,6 +12,13 @@ SCHEMA = (
     "text string, confidence double"
 )
 RECOGNISED = SCHEMA + ", error string"
+_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_ARROW = pa.schema(
+    [
+        ("image", pa.string()), ("det_idx", pa.int32()), ("points", pa.list_(_POINT)),
+        ("text", pa.string()), ("confidence", pa.float64()), ("error", pa.string()),
+    ]
+)
 
 _loaded: dict[str, object] = {}
 
@@ -59,11 +66,9 @@ def recognize(
                 "confidence": float(confidence),
             }
 
-    columns = [field.split()[0] for field in RECOGNISED.replace("<x:double,y:double>", "").split(", ")]
-
-    def batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = [r for row in pdf.to_dict("records") for r in one(row)]
-            yield pd.DataFrame(rows, columns=columns).astype({"det_idx": "Int32"})
+    def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(list(one(row)), schema=_ARROW)
 
-    return images.mapInPandas(batches, RECOGNISED)
+    return images.mapInArrow(batches, RECOGNISED)
