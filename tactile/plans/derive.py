@@ -40,6 +40,11 @@ def image_of(doc_id: Column) -> Column:
     return F.concat(F.lit("doc-"), doc_id)
 
 
+def instant(ts: Column) -> Column:
+    """Zoneless times of the tables as instants in UTC, whatever the zone of the session."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp").alias("ts")
+
+
 def thai(text: Column) -> Column:
     """Latin letters as Thai letters and marks."""
     return F.translate(F.lower(text), LATIN, THAI)
@@ -186,7 +191,7 @@ def event_flags_of(events: DataFrame) -> DataFrame:
     n = F.col("event_id")
     return events.select(
         F.col("user_id").alias("session_id"),
-        "ts",
+        instant(F.col("ts")),
         "event_id",
         (F.col("value") * 16).alias("focus"),
         (F.col("event_type") != "signup").alias("has_document"),
@@ -206,7 +211,7 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_messages_of(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("session_id"),
-        "ts",
+        instant(F.col("ts")),
         "event_id",
         F.col("event_type").alias("text"),
         ((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)).alias("forced"),

@@ -214,16 +214,20 @@ LAYOUT = {
     # A line starts at a box when no pair joins one before it with itself or one after it.
     "line_breaks": f"""
 WITH {PAIRS},
-ranked AS (SELECT image, det_idx, row_number() OVER (PARTITION BY image ORDER BY (y0 + y1) / 2, det_idx) AS pos FROM boxes),
+ranked AS (
+  SELECT image, det_idx, y0, y1, lag(y0) OVER w AS p0, lag(y1) OVER w AS p1, row_number() OVER w AS pos
+  FROM boxes WINDOW w AS (PARTITION BY image ORDER BY (y0 + y1) / 2, det_idx)),
 spans AS (
   SELECT p.image, least(ra.pos, rb.pos) AS lo, max(greatest(ra.pos, rb.pos)) AS hi
   FROM pairs p JOIN ranked ra ON ra.image = p.image AND ra.det_idx = p.a
   JOIN ranked rb ON rb.image = p.image AND rb.det_idx = p.b GROUP BY ALL),
 reached AS (
-  SELECT r.image, r.det_idx, r.pos, max(s.hi) OVER (PARTITION BY r.image ORDER BY r.pos
+  SELECT r.*, max(s.hi) OVER (PARTITION BY r.image ORDER BY r.pos
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi
   FROM ranked r LEFT JOIN spans s ON s.image = r.image AND s.lo = r.pos)
-SELECT image, det_idx, NOT coalesce(hi >= pos, FALSE) AS opens FROM reached""",
+SELECT image, det_idx, NOT coalesce(hi >= pos, FALSE) AS opens,
+       round(CASE WHEN p0 IS NOT NULL THEN greatest(0, least(y1, p1) - greatest(y0, p0)) / least(y1 - y0, p1 - p0) END, 6) AS overlap
+FROM reached""",
     "line_clusters": f"WITH RECURSIVE {LINES} SELECT image, det_idx, line, position_in_line FROM placed",
     "gap_ratios": f"""
 WITH RECURSIVE {LINES}

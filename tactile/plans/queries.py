@@ -134,7 +134,8 @@ def detection_boxes(spark, sf_dir):
 
 
 def line_breaks(spark, sf_dir):
-    return layout.line_breaks(boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
+    breaks = layout.line_breaks(boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
+    return breaks.withColumn("overlap", F.round("overlap", 6))
 
 
 def line_clusters(spark, sf_dir):
@@ -299,7 +300,7 @@ def frame_flags(spark, sf_dir):
 def frame_thinning(spark, sf_dir):
     """One event per user and six hours."""
     events = derive.table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), "ts", "event_id", "value"
+        F.col("user_id").alias("session_id"), derive.instant(F.col("ts")), "event_id", "value"
     )
     return frames.thin(events, 6 * HOUR).select("session_id", "slot", "event_id", "value")
 
@@ -410,8 +411,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hold_fire_stream(spark, sf_dir):
     flags = derive.event_flags_of(_event_stream(spark, sf_dir))
-    rows = capture.judged(flags).withColumn("ts", F.col("ts").cast("timestamp"))
-    events = fold_stream(rows, Hold(**EVENT_HOLD), EVENT_ORDER)
+    events = fold_stream(capture.judged(flags), Hold(**EVENT_HOLD), EVENT_ORDER)
     return _drain(spark, events, "hold").where(F.col("elapsed_ms").isNotNull()).select(
         "session_id", "event_id", "code", "elapsed_ms"
     )
@@ -419,9 +419,7 @@ def hold_fire_stream(spark, sf_dir):
 
 def message_throttle_stream(spark, sf_dir):
     said = derive.event_messages_of(_event_stream(spark, sf_dir))
-    rows = said.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
-        "ms", capture.millis(F.col("ts"))
-    )
+    rows = said.withColumn("ms", capture.millis(F.col("ts")))
     passed = fold_stream(rows, Throttle(**EVENT_SILENCE), EVENT_ORDER, ("text", "forced"))
     return _drain(spark, passed, "throttle").select("session_id", "event_id", "text", "forced")
 
