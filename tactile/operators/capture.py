@@ -6,7 +6,6 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tactile.functions import geometry
 from tactile.operators.frames import FOCUS_BLURRY, FOCUS_SHARP
 from tactile.operators.ordered import DEFAULT, Bound, Scan, by_size
 from tactile.operators.sessions import (

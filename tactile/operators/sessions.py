@@ -8,7 +8,8 @@ into chunks of bounded size. What a chunk does depends on the state it is entere
 restart from decides everything after it. So each chunk first reports, for the few rows at its
 head where an entering state can restart, the state it would end in (``heads``); a pass over
 these reports, chunk by chunk, finds every entering state (``enter``); then all chunks run in
-parallel. The result equals the plain run.
+parallel. The result equals the plain run. Reports are short as long as a chunk lasts well longer
+than a hold or a silence.
 """
 
 from __future__ import annotations
