@@ -14,10 +14,11 @@ CAPPED_SCALE = 2.0
 
 
 def rect(points: Column, scale: Column) -> Column:
-    """P1. Axis-aligned rectangle of a polygon, in pixels of the original image."""
+    """P1. Axis-aligned rectangle of a polygon, in pixels of the original image. Dividing by the
+    positive scale keeps the order, so it is done once, after the extremes are taken."""
 
     def side(pick, axis: str) -> Column:
-        return pick(F.transform(points, lambda p: p[axis].cast("double"))) / scale
+        return pick(points[axis]).cast("double") / scale
 
     return F.struct(
         side(F.array_min, "x").alias("x0"),

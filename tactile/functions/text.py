@@ -9,14 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 # What counts as white space for the two trims.
-RECOGNISER_SPACE = (
-    r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
-BROWSER_SPACE = (
-    r"\x{09}-\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_COMMON_SPACE = (
+    "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
+RECOGNISER_SPACE = _COMMON_SPACE + "\u001c\u001d\u001e\u001f\u0085"
+BROWSER_SPACE = _COMMON_SPACE + "\ufeff"
 # Fixed value: characters that survive normalisation (Thai block, Latin, digits, marks).
 ALLOWED = (
     "".join(map(chr, range(0x0E00, 0x0E80)))
@@ -41,7 +39,14 @@ def outside(chars: str) -> str:
     return "[" + "".join(ranges) + "]"
 
 
+def any_of(chars: str) -> str:
+    """Pattern for any of these characters."""
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"
+
+
 _NOT_ALLOWED = outside(ALLOWED)
+_RECOGNISER_ENDS = f"^{any_of(RECOGNISER_SPACE)}+|{any_of(RECOGNISER_SPACE)}+\\z"
+_BROWSER_ENDS = f"^{any_of(BROWSER_SPACE)}+|{any_of(BROWSER_SPACE)}+\\z"
 
 # NFC quick check, decided in the JVM so that only text which may change goes to Python.
 # Latin-1/extended Latin, Thai and general punctuation never compose or decompose
@@ -84,21 +89,26 @@ def normalize(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """P2, first half: trim recogniser output at both ends."""
-    return F.regexp_replace(text, f"^[{RECOGNISER_SPACE}]+|[{RECOGNISER_SPACE}]+\\z", "")
+    return F.regexp_replace(text, _RECOGNISER_ENDS, "")
+
+
+def has_text(text: Column) -> Column:
+    """P2, second half: something is left after ``strip``. Stops at the first such character."""
+    return text.rlike(outside(RECOGNISER_SPACE))
 
 
 def browser_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{BROWSER_SPACE}]+|[{BROWSER_SPACE}]+\\z", "")
+    return F.regexp_replace(text, _BROWSER_ENDS, "")
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (browser_trim(text) == "")
+    return ~F.coalesce(text.rlike(outside(BROWSER_SPACE)), F.lit(False))
 
 
 def second_engine_cleanup(text: Column) -> Column:
     """F4. Line breaks to a space, then runs of two or more blanks to one, trimmed."""
     joined = F.regexp_replace(browser_trim(text), r"\r?\n+", " ")
-    return browser_trim(F.regexp_replace(joined, f"[{BROWSER_SPACE}]{{2,}}", " "))
+    return browser_trim(F.regexp_replace(joined, any_of(BROWSER_SPACE) + "{2,}", " "))
 
 
 def accepted(clean_text: Column, confidence: Column, minimum: float = MIN_CONFIDENCE) -> Column:

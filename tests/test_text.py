@@ -49,6 +49,12 @@ def test_strip_equals_python(spark):
     assert values(spark, given, txt.strip) == [g.strip() for g in given]
 
 
+def test_blank_is_what_trimming_leaves_empty(spark):
+    given = ["", " \x1f\x85", "\ufeff\u3000", "a", " \n", None]
+    assert values(spark, given, txt.has_text) == [False, False, True, True, False, None]
+    assert values(spark, given, txt.is_blank) == [True, False, True, False, True, True]
+
+
 def test_second_engine_cleanup(spark):
     assert values(spark, [" a\r\n\nb  c\n d "], txt.second_engine_cleanup) == ["a b c d"]
 
