@@ -14,7 +14,7 @@ from tactile.session import new_folder
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RANGE_ROWS = 200_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 SLICE_BYTES = 8 << 20
 
 

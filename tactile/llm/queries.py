@@ -5,10 +5,43 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tactile.llm import bpe, language, mixing
+from tactile.llm import bpe, language, lm, mixing, neardup, reshard, simhash, topk, unigram, warc
 from tactile.llm.common import remainder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+OLD_SHARDS, NEW_SHARDS = 16, 24
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.neighbours(simhash.compare(table(spark, sf_dir, "documents")))
+    own = F.col("fingerprint")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.as_text(own).alias("fingerprint"),
+        simhash.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        simhash.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        simhash.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+        "n_within",
+    )
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", remainder(F.col("doc_id"), 10) == 0)
+    model = lm.train(docs.where("not held_out"))
+    scored = lm.score(docs, model, ["doc_id", "held_out"])
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +49,50 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    vocab = unigram.Vocabulary.of(model or public_tokenizers.path(PIECES))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), unigram.token_counts(docs, vocab).alias("found"))
+    return counted.select("doc_id", "n_chars", F.col("found.tokens").alias("n_tokens"), F.col("found.score").alias("score"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout deals documents by a checksum of their id to 16 shards."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % OLD_SHARDS
+    rows = reshard.keyed(docs, old)
+    transfers, blocks = reshard.plan(rows, None, NEW_SHARDS)
+    if blocks is None:
+        shards = rows.withColumn("shard", F.lit(0))
+    else:
+        # Only a third of the new shards did not exist; all lose or gain a block.
+        folder = reshard.rewrite(reshard.assign(rows, blocks), ["doc_id", "text"], sum(t.size for t in transfers), NEW_SHARDS)
+        shards = spark.read.schema("doc_id long, text string, shard int").parquet(folder)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + reshard.FIXED_BYTES).cast("long")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    found = shards.select("doc_id", size.alias("size"), crc.alias("text_crc32"), "shard")
+    return reshard.slots(found, ["doc_id", "text_crc32", "size"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    terms = rows.select(F.col("vec_id").cast("long").alias("vec_id"), topk.whole_terms(F.col("embedding")).alias("terms"))
+    return topk.top_k(terms, F.col("vec_id") % 20 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     vocab = bpe.vocabulary(ranks or public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,6 +105,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.classified(table(spark, sf_dir, "pages"))
+    records = warc.read_back(warc.normalise(warc.write_archives(rows)))
+    return records.drop("payload")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
@@ -43,12 +126,46 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_lm_score": op2_lm_score,
     "op3_mixing": op3_mixing,
+    "op4_token_counts": op4_token_counts,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_reshard": op6_reshard,
+    "op7_top_k": op7_top_k,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
 ORACLES = {
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS t
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_sum(list_transform(list_zip(q.t, c.t), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id > first THEN first END AS refers_to
+        FROM f
+    """,
     "op3_mixing": r"""
         WITH d AS (
             SELECT doc_id, source,

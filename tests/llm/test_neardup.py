@@ -1,0 +1,119 @@
+import random
+import re
+
+import pytest
+from edges import frame, rows, save
+
+from tactile.llm import neardup, queries
+from tactile.llm.components import components
+
+
+def _shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    if len(words) < 5:
+        return frozenset([tuple(words)])
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def _brute(data):
+    sets = [_shingles(r[1]) for r in data]
+    parent = list(range(len(data)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and data[i][0] is not None and data[j][0] is not None and 100 * len(a & b) >= 75 * len(a | b):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    members = {}
+    for i in range(len(data)):
+        members.setdefault(root(i), []).append(data[i][0])
+    out = []
+    for i, r in enumerate(data):
+        smallest = None if r[0] is None else min(members[root(i)])
+        out.append((r[0], len(sets[i]), smallest, r[0] == smallest))
+    return sorted(out, key=str)
+
+
+def _found(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()), key=str)
+
+
+def _families(seed, n_families=12, extra=()):
+    """Texts and edits of edits of them, from slight to beyond the threshold."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    data, i = [], 0
+    for _ in range(n_families):
+        words = [rng.choice(vocab) for _ in range(rng.choice([6, 20, 60, 90, 150, 400]))]
+        for _ in range(rng.randint(1, 25)):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 1, 2, max(1, len(words) // 40)])):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            if rng.random() < 0.3:
+                words = copy
+            data.append((i, " ".join(copy)))
+            i += 1
+    data += [(i + k, t) for k, t in enumerate(extra)]
+    rng.shuffle(data)
+    return data
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_equal_brute_force(spark, seed):
+    data = _families(seed)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert _found(neardup.near_duplicates(docs)) == _brute(data)
+
+
+def test_long_lists_meet_in_blocks(spark):
+    """A passage that many short documents consist of, with and without links among them."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(16)]
+    extra = [" ".join([*passage, *(f"q{rng.randrange(40)}" for _ in range(rng.randint(0, 9)))]) for _ in range(120)]
+    data = _families(4, 4, extra)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    expected = _brute(data)
+    assert _found(neardup.near_duplicates(docs, neardup.Near(list_rows=10))) == expected
+    assert _found(neardup.near_duplicates(docs)) == expected
+
+
+def test_query_on_edge_rows(spark, tmp_path):
+    assert _found(queries.op5_near_duplicates(spark, save(spark, tmp_path))) == _brute(rows())
+
+
+def test_one_document_of_each_group_stays(spark):
+    docs = frame(spark)
+    out = neardup.drop_copies(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"], r["text"]) for r in out.where("doc_id is not null").collect())
+    expected = sorted({(d[0], d[1]) for d, b in zip(sorted(rows(), key=str), sorted(_rows_with_kept(), key=str), strict=True) if d[0] is not None and b}, key=str)
+    assert sorted(got, key=str) == expected
+    assert out.where("doc_id is null").count() == 2
+
+
+def _rows_with_kept():
+    data = rows()
+    kept = {}
+    for r in _brute(data):
+        kept.setdefault(r[0], r[3])
+    return [(r[0], r[1], kept[r[0]]) for r in data]
+
+
+def test_empty_and_all_equal(spark, tmp_path):
+    assert queries.op5_near_duplicates(spark, save(spark, tmp_path / "a", [])).count() == 0
+    same = [(i, "one text for all of these rows", *r[2:]) for i, r in enumerate(rows())]
+    found = queries.op5_near_duplicates(spark, save(spark, tmp_path / "b", same)).collect()
+    assert {r["component_id"] for r in found} == {0} and sum(r["kept"] for r in found) == 1
+
+
+def test_long_chains(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
+    labels = {r["node"]: r["label"] for r in components(links).collect()}
+    assert set(labels.values()) == {0, 500} and labels[200] == 0
