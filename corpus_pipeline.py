@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tactile.llm import bpe, language, mixing
+from tactile.llm import bpe, language, mixing, neardup
 from tactile.llm.common import remainder, store, table
 from tactile.session import ship
 
@@ -26,6 +26,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(kept).select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest ``doc_id`` stays."""
+    ship(spark)
+    return neardup.drop_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy the mix takes; the document at a source's budget ends there."""
     ship(spark)
@@ -49,6 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_identification", identify_language),
+    ("near_duplicates", drop_near_duplicates),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]

@@ -6,6 +6,8 @@ import math
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tactile.session import new_folder
@@ -78,6 +80,12 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], values: dict[str, s
     return ranged.join(carries, [group, part]).withColumns(own).drop(part, *[f"_carry_{n}" for n in values])
 
 
+def text_slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of a binary column that are small enough to work on, with the row each starts at."""
+    for a, b in slices([n or 0 for n in pc.binary_length(column).to_pylist()]):
+        yield a, column.slice(a, b - a)
+
+
 def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of rows of at most ``most`` bytes (or one row)."""
     start = total = 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tactile.llm.common import slices, store
+from tactile.llm.common import store, text_slices
 
 END = b"\n"  # white space is in no word
 SEGMENT_BYTES = 8 << 20
@@ -114,27 +114,21 @@ def _flat(texts: list[bytes | None], known: dict) -> tuple[np.ndarray, np.ndarra
     return hashes, starts, lengths
 
 
-def _text_slices(column: pa.Array):
-    sizes = [0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()]
-    for a, b in slices(sizes):
-        yield a, column.slice(a, b - a).to_pylist()
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, n`` over the binary column ``text``; the end token is counted too."""
 
     def run(batches):
         from collections import Counter
 
-        from tactile.llm.lm import _text_slices, tokens
+        from tactile.llm.lm import tokens
 
         def rows(counts):
             return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
         counts: Counter = Counter()
         for batch in batches:
-            for _, part in _text_slices(batch.column(0)):
-                for text in part:
+            for _, part in text_slices(batch.column(0)):
+                for text in part.to_pylist():
                     counts.update(tokens(text))
                 if len(counts) > 500_000:
                     yield rows(counts)
@@ -148,7 +142,7 @@ def ngram_blocks(texts: DataFrame, how: Lm, n_segments: int) -> DataFrame:
     """``segment, keys, counts``: counted n-gram hashes of a few texts, as sorted blocks."""
 
     def run(batches):
-        from tactile.llm.lm import ENTRIES_PER_BLOCK, Hashes, _flat, _text_slices, ngrams
+        from tactile.llm.lm import ENTRIES_PER_BLOCK, Hashes, _flat, ngrams
 
         known = Hashes()
         held: list[np.ndarray] = []
@@ -170,8 +164,8 @@ def ngram_blocks(texts: DataFrame, how: Lm, n_segments: int) -> DataFrame:
             )
 
         for batch in batches:
-            for _, part in _text_slices(batch.column(0)):
-                hashes, starts, _ = _flat(part, known)
+            for _, part in text_slices(batch.column(0)):
+                hashes, starts, _ = _flat(part.to_pylist(), known)
                 held += ngrams(hashes, starts, how.order)
                 if sum(map(len, held)) > 8 * ENTRIES_PER_BLOCK:
                     yield rows()
@@ -295,15 +289,15 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     total, everything = model.total, model.mass_of_all
 
     def run(batches):
-        from tactile.llm.lm import Hashes, _text_slices, codebook, middles, ngrams, tokens
+        from tactile.llm.lm import Hashes, codebook, middles, ngrams, tokens
 
         bloom, frequent = shared.value
         known = Hashes()
         book = codebook(how.growth, max(2, total))
         count_of = middles(book)
         for batch in batches:
-            for start, part in _text_slices(batch.column(batch.schema.get_field_index("_text"))):
-                rows = [tokens(t) for t in part]
+            for start, part in text_slices(batch.column(batch.schema.get_field_index("_text"))):
+                rows = [tokens(t) for t in part.to_pylist()]
                 lengths = np.array([len(r) for r in rows], np.int64)
                 firsts = np.cumsum(lengths) - lengths
                 hashes = np.concatenate([np.fromiter(map(known.__getitem__, r), np.uint64, len(r)) for r in rows])
@@ -333,9 +327,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], ["_row", *keep, "n_tokens", "n_known", "base", "score", "rare"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).cast("binary").alias("_text"))
-    schema = T.StructType([T.StructField("_row", T.LongType()), *[docs.schema[c] for c in keep]])
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"), ("rare", "array<binary>")):
-        schema = schema.add(name, kind)
+    kinds = {"n_tokens": "long", "n_known": "long", "base": "double", "score": "double", "rare": "array<binary>"}
+    schema = T.StructType(
+        [T.StructField("_row", T.LongType()), *[docs.schema[c] for c in keep]]
+        + [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in kinds.items()]
+    )
     scored = store(rows.mapInArrow(run, schema), "scored")
 
     rare = scored.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tactile.llm.common import slices, small, store
+from tactile.llm.common import small, store, text_slices
 from tactile.llm.components import components
 
 MASK = (1 << 64) - 1
@@ -124,13 +124,12 @@ def sketches(docs: DataFrame, how: Near, doc_id: str = "doc_id", text: str = "te
         from tactile.llm.neardup import digest, shingle_sets
 
         for batch in batches:
-            texts = batch.column(2)
-            for a, b in slices([len(t) if t is not None else 0 for t in map(pa.Scalar.as_buffer, texts)]):
-                sets = shingle_sets(texts.slice(a, b - a).to_pylist(), how.words)
+            for start, texts in text_slices(batch.column(2)):
+                sets = shingle_sets(texts.to_pylist(), how.words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(1).slice(a, b - a),
+                        batch.column(0).slice(start, len(sets)),
+                        batch.column(1).slice(start, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([s[: how.k].view(np.int64) for s in sets], pa.list_(pa.int64())),

@@ -48,9 +48,8 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch):
     assert _found(queries.op3_mixing(spark, folder)) == _brute(rows())
 
 
-def test_budgets_are_exact(spark, tmp_path):
-    found = queries.op3_mixing(spark, save(spark, tmp_path))
-    for row in found.groupBy("source_size", "target").agg({"taken": "sum"}).collect():
+def test_budgets_are_exact(spark):
+    for row in mixing.mix(frame(spark)).groupBy("source", "target").agg({"taken": "sum"}).collect():
         assert abs(row["sum(taken)"] - row["target"]) <= 0.5
 
 

@@ -92,20 +92,13 @@ def test_one_document_of_each_group_stays(spark):
     docs = frame(spark)
     out = neardup.drop_copies(docs)
     assert out.columns == docs.columns
-    got = sorted((r["doc_id"], r["text"]) for r in out.where("doc_id is not null").collect())
-    expected = sorted({(d[0], d[1]) for d, b in zip(sorted(rows(), key=str), sorted(_rows_with_kept(), key=str), strict=True) if d[0] is not None and b}, key=str)
-    assert sorted(got, key=str) == expected
+    got = [(r["doc_id"], r["text"]) for r in out.where("doc_id is not null").collect()]
+    kept = {r[0]: r[3] for r in _brute(rows())}
+    expected = {(r[0], r[1]) for r in rows() if r[0] is not None and kept[r[0]]}
+    assert sorted(got, key=str) == sorted(expected, key=str)
     assert out.where("doc_id is null").count() == 2
 
 
-def _rows_with_kept():
-    data = rows()
-    kept = {}
-    for r in _brute(data):
-        kept.setdefault(r[0], r[3])
-    return [(r[0], r[1], kept[r[0]]) for r in data]
-
-
 def test_empty_and_all_equal(spark, tmp_path):
     assert queries.op5_near_duplicates(spark, save(spark, tmp_path / "a", [])).count() == 0
     same = [(i, "one text for all of these rows", *r[2:]) for i, r in enumerate(rows())]

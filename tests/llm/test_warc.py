@@ -47,7 +47,7 @@ def test_query_equals_brute_force(spark, tmp_path):
 
 def test_many_archives(spark):
     rows = warc.classified(spark.createDataFrame(_pages(), SCHEMA))
-    archives = warc.write_archives(rows, archive_bytes=3000)
+    archives = warc.write_archives(rows, archive_bytes=1000)
     assert archives.count() > 20
     _same(warc.read_back(warc.normalise(archives)))
 
