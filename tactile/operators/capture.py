@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tactile.operators.frames import FOCUS_BLURRY, FOCUS_SHARP
 from tactile.operators.ordered import DEFAULT, Bound, Scan, by_size
 from tactile.operators.sessions import (
-    ANY_SILENCE_MS, HOLD_MS, SAME_SILENCE_MS, WARN_MS, Hold, Throttle, fold,
+    ANY_SILENCE_MS, HOLD_MS, SAME_SILENCE_MS, Hold, Throttle, fold,
 )
 
 # What is said for each code. Codes without a text are only shown.
@@ -80,31 +80,23 @@ def guidance(
     rows: DataFrame,
     order: list[str] | None = None,
     hold_ms: int = HOLD_MS,
-    warn_ms: int = WARN_MS,
+    warn_ms: int | None = None,
     auto_capture: bool = True,
     once: bool = False,
     bound: Bound = DEFAULT,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """T2, T5, T6. What each frame of ``judged`` emits. ``once`` ends a session at its first FIRE,
-    as a camera that closes after the shot."""
+    as a camera that closes after the shot; a pause of more than ``idle_ms`` starts anew."""
     order = order or ["ts"]
-    machine = Hold(hold_ms, warn_ms, auto_capture)
-    events = fold(rows, machine, ["session_id"], order, (), bound)
-    events = events.withColumns(
+    machine = Hold(hold_ms, warn_ms, auto_capture, once)
+    events = fold(rows, machine, ["session_id"], order, (), bound, idle_ms)
+    return events.withColumns(
         {
             "forced": F.col("code").isin(*FORCED),
             "remaining_s": F.when(F.col("elapsed_ms").isNotNull(), remaining(F.col("elapsed_ms"), hold_ms)),
         }
     )
-    if not once:
-        return events
-    at = F.struct(*order)
-    shots = events.where(F.col("code") == "FIRE").groupBy("session_id").agg(F.min(at).alias("_shot"))
-    return (
-        events.join(shots, "session_id", "left")
-        .where(F.col("_shot").isNull() | (at <= F.col("_shot")))
-        .drop("_shot")
-    )
 
 
 def remaining(elapsed_ms: Column, hold_ms: int = HOLD_MS) -> Column:
@@ -157,9 +149,10 @@ def throttle(
     any_ms: int = ANY_SILENCE_MS,
     same_ms: int = SAME_SILENCE_MS,
     bound: Bound = DEFAULT,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """T7. The messages that pass. Input: session_id, ts, text, forced."""
     order, carry = order or ["ts"], ("text", "forced")
     rows = rows.withColumn("ms", millis(F.col("ts")))
     machine = Throttle(any_ms, same_ms)
-    return fold(rows, machine, ["session_id"], order, carry, bound)
+    return fold(rows, machine, ["session_id"], order, carry, bound, idle_ms)

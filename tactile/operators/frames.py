@@ -99,10 +99,13 @@ def frame_flags(
     min_contrast: int = MIN_CONTRAST,
     corner_density: float = CORNER_DENSITY,
     motion_limit: float = MOTION_LIMIT,
+    focus_limits: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """P13-P16, A15. Decisions from the metrics of a frame."""
+    """P13-P16, A15. Decisions from the metrics of a frame. Without a document no corner is locked
+    and the focus counts as 0."""
     present = (F.col("strokes") >= min_strokes) & (F.col("contrast") >= min_contrast)
-    locked = {f"lock_{z}": F.col(f"d_{z}") >= corner_density for z in CORNERS}
+    there = F.col("has_document")
+    locked = {f"lock_{z}": there & (F.col(f"d_{z}") >= corner_density) for z in CORNERS}
     count = sum((F.col(f"lock_{z}").cast("int") for z in CORNERS), F.lit(0))
     return (
         metrics.withColumn("has_document", F.coalesce(present, F.lit(False)))
@@ -111,7 +114,7 @@ def frame_flags(
             {
                 "locked": count,
                 "alignment": alignment(count),
-                "focus_band": focus_band(F.col("focus")),
+                "focus_band": focus_band(F.when(there, F.col("focus")).otherwise(0.0), *(focus_limits or ())),
                 "stable": F.col("motion") < motion_limit,
             }
         )

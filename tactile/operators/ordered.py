@@ -33,11 +33,13 @@ def split_hot(
     how many rows the latter are.
 
     Groups are counted, unless ``sizes`` gives ``rows`` per group already (an upper bound will
-    do). ``max_rows=None`` is for groups known to be small: nothing is measured.
+    do). ``max_rows=None`` is for groups known to be small: nothing is measured. Rows to be
+    counted are stored first, so whatever they come from (a recogniser, a fold) runs once.
     """
     if max_rows is None:
         return df, None, 0
     if sizes is None:
+        df = cut(df)
         sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
     large = sizes.where(F.col("rows") > max_rows).select(*group, "rows")
     total, n_keys = large.agg(F.sum("rows"), F.count("rows")).first()

@@ -49,16 +49,19 @@ def pin_pages(pages: DataFrame) -> DataFrame:
 
 
 def cell_rows(pages: DataFrame) -> DataFrame:
-    """F5, F7, F8, F12. One row per cell of each page. Characters are exploded first, so that all
-    the rest is computed by generated code, and only where it is asked for."""
+    """F5, F7, F8, F12. One row per cell of each page. A page is encoded as a whole, before its
+    characters are exploded with their glyphs; the rest is computed by generated code."""
     keep = [c for c in pages.columns if c not in ("chunk", "page_label", "range_label")]
     padded = F.rpad("chunk", braille.CELLS, " ")
     label = braille.cell_label(
         F.col("cell_idx"), F.col("chunk"), F.col("start_char"), F.col("n_chars")
     )
+    glyphs = braille.fill_cells(braille.encode(F.col("chunk")))
+    cells = F.arrays_zip(F.split(padded, "").alias("ch"), F.split(glyphs, "").alias("glyph"))
     return (
-        pages.select(*keep, "chunk", F.posexplode(F.split(padded, "")).alias("cell_idx", "ch"))
-        .withColumn("glyph", braille.encode(F.col("ch")))
+        pages.select(*keep, "chunk", F.posexplode(cells).alias("cell_idx", "cell"))
+        .withColumns({"ch": F.col("cell.ch"), "glyph": F.col("cell.glyph")})
+        .drop("cell")
         .withColumn("mask", braille.mask(F.col("glyph")))
         .withColumns(
             {

@@ -24,8 +24,9 @@ def choose_engine(images: DataFrame, results: DataFrame) -> DataFrame:
     """J5, P4, F4. ``results``: image, engine_rank (1 or 2), text, confidence, words. The first
     engine counts if its text is not blank, then the second, blank or not, then an empty result.
 
-    At most two rows of an image compete, and the choice is an aggregate that combines before
-    the shuffle, so it needs no sort.
+    The rank is chosen on narrow rows; texts and words then follow by a hash join whose table
+    holds only images and ranks, so no wide row is aggregated or sorted. There is one row per
+    image and engine.
     """
     rank = F.col("engine_rank")
     first = results.where((rank == 1) & ~txt.is_blank(F.col("text"))).select(
@@ -43,17 +44,15 @@ def choose_engine(images: DataFrame, results: DataFrame) -> DataFrame:
         F.coalesce(given.cast("double"), F.lit(SECOND_ENGINE_CONFIDENCE)).alias("confidence"),
         _words(F.col("words")).alias("words"),
     )
-    chosen = (
-        first.unionByName(second)
-        .groupBy("image")
-        .agg(F.min_by(F.struct("engine_rank", "text", "confidence", "words"), "engine_rank").alias("r"))
-    )
-    return images.select("image").join(chosen, "image", "left").select(
+    both = first.unionByName(second)
+    ranks = both.groupBy("image").agg(F.min("engine_rank").alias("engine_rank"))
+    winners = images.select("image").join(ranks, "image", "left")
+    return winners.hint("shuffle_hash").join(both, ["image", "engine_rank"], "left").select(
         "image",
-        F.coalesce("r.engine_rank", F.lit(0)).alias("engine_rank"),
-        F.coalesce("r.text", F.lit("")).alias("text"),
-        F.coalesce("r.confidence", F.lit(0.0)).alias("confidence"),
-        _words(F.col("r.words")).alias("words"),
+        F.coalesce("engine_rank", F.lit(0)).alias("engine_rank"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        _words(F.col("words")).alias("words"),
     )
 
 

@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, types as T
 
 from tactile.operators.ordered import CHUNK, DEFAULT, Bound, Chunks, chunked, split_hot
 
-# Hold before firing, warning, silence between messages (any, the same one).
+# Hold before firing, how long before it the warning comes, silence between messages
+# (any, the same one).
 HOLD_MS = 1000
-WARN_MS = 500
+WARN_BEFORE_MS = 500
 ANY_SILENCE_MS = 1800
 SAME_SILENCE_MS = 2500
 
@@ -37,11 +38,16 @@ _ARROW = {
 }
 
 
+_PANDAS = {"int": "Int32", "bigint": "Int64", "double": "float64", "boolean": "boolean", "string": "object", "binary": "object"}
+
+
 class Hold:
     """T5, T6 and the hold part of T2. State: (start of the hold or None, warned).
 
     Columns: ``ms``, ``ok`` and ``code``, the code of a frame that is not ok (None: nothing).
-    Emits (seq, code, elapsed_ms); ``seq`` orders what one frame emits.
+    Emits (seq, code, elapsed_ms); ``seq`` orders what one frame emits. The warning comes
+    ``WARN_BEFORE_MS`` before the end of the hold unless ``warn_ms`` says when. ``once`` ends the
+    session at its first shot, as a camera that closes; the state is then (-1, False).
     """
 
     inputs = ["ms", "ok", "code"]
@@ -49,12 +55,17 @@ class Hold:
     state = [("start", "bigint"), ("warned", "boolean")]
     initial = (None, False)
 
-    def __init__(self, hold_ms=HOLD_MS, warn_ms=WARN_MS, auto_capture=True):
-        self.hold_ms, self.warn_ms, self.auto_capture = hold_ms, warn_ms, auto_capture
+    closed = (-1, False)
+
+    def __init__(self, hold_ms=HOLD_MS, warn_ms=None, auto_capture=True, once=False):
+        self.hold_ms, self.auto_capture, self.once = hold_ms, auto_capture, once
+        self.warn_ms = hold_ms - WARN_BEFORE_MS if warn_ms is None else warn_ms
 
     def run(self, state, ms, ok, code):
         start, warned = state
         out = []
+        if self.once and state == self.closed:
+            return out, state
         for i, now in enumerate(ms):
             if not ok[i]:
                 start, warned = None, False
@@ -71,12 +82,15 @@ class Hold:
                 out.append((i, 0, "WARN" if warned else "HOLDING", elapsed))
             if self.auto_capture and elapsed >= self.hold_ms:
                 out.append((i, 1, "FIRE", elapsed))
+                if self.once:
+                    return out, self.closed
                 start, warned = None, False
         return out, (start, warned)
 
     def heads(self, ms, ok, code):
         """Rows (ms, ok, state at the end of the chunk): first for entering without a hold, then
-        for each head row that can end the hold the chunk is entered with."""
+        for each head row that can end the hold the chunk is entered with; of neighbours that
+        lead to the same end only the last, as any hold that ends at one before may end there."""
         ms, n = np.asarray(ms), len(ms)
         fire = np.searchsorted(ms, ms + self.hold_ms) if self.auto_capture else np.full(n, n)
         ends = [self.initial] * (n + 1)  # state at the end when row i is met without a hold
@@ -87,7 +101,7 @@ class Hold:
                 continue
             f = max(int(fire[i]), i + 1)
             if f < stop:
-                ends[i] = ends[f + 1]
+                ends[i] = self.closed if self.once else ends[f + 1]
             elif stop < n:
                 ends[i] = ends[stop]
             else:
@@ -98,7 +112,10 @@ class Hold:
                 rows.append((int(ms[i]), False, *ends[i]))
                 break
             if self.auto_capture:
-                rows.append((int(ms[i]), True, *ends[i + 1]))
+                row = (int(ms[i]), True, *(self.closed if self.once else ends[i + 1]))
+                if len(rows) > 1 and rows[-1][2:] == row[2:]:
+                    rows.pop()
+                rows.append(row)
                 if ms[i] - ms[0] >= self.hold_ms:
                     break
         return rows
@@ -109,6 +126,8 @@ class Hold:
         """State after a chunk that is entered with ``state``."""
         (last, _, *free), restarts = rows[0], rows[1:]
         start, warned = state
+        if self.once and tuple(state) == self.closed:
+            return self.closed
         if start is None:
             return tuple(free)
         for ms, ok, *after in restarts:
@@ -150,7 +169,8 @@ class Throttle:
     head = [("ms", "bigint"), ("text", "string"), ("forced", "boolean"), *state]
 
     def heads(self, ms, text, forced):
-        """Head rows with the last message of the chunk if they pass."""
+        """Head rows with the last message of the chunk if they pass. A row with the time and text
+        of one before passes only where that one does."""
         arr, n = np.asarray(ms), len(ms)
         soonest = np.searchsorted(arr, arr + self.any_ms)
         latest = np.searchsorted(arr, arr + self.longest)
@@ -164,9 +184,11 @@ class Throttle:
             ends[i] = ends[k] if k < n else (int(ms[i]), text[i])
             if forced[i]:
                 next_forced = i
-        rows = []
+        rows, seen = [], set()
         for i in range(n):
-            rows.append((int(ms[i]), text[i], bool(forced[i]), *ends[i]))
+            if forced[i] or (ms[i], text[i]) not in seen:
+                seen.add((ms[i], text[i]))
+                rows.append((int(ms[i]), text[i], bool(forced[i]), *ends[i]))
             if forced[i] or ms[i] - ms[0] >= self.longest:
                 break
         return rows
@@ -178,6 +200,53 @@ class Throttle:
         return state
 
 
+class Idle:
+    """T3. Another machine that starts anew after a pause of more than ``idle_ms``."""
+
+    def __init__(self, machine, idle_ms: int):
+        self.machine, self.idle_ms = machine, idle_ms
+        self.inputs, self.outputs = machine.inputs, machine.outputs
+        self.state = [("seen_ms", "bigint"), *machine.state]
+        self.initial = (None, *machine.initial)
+        if hasattr(machine, "head"):
+            self.head = [("first_ms", "bigint"), ("cut", "boolean"), ("end_ms", "bigint"), *machine.head]
+
+    def _starts(self, ms, before=None) -> list[int]:
+        """Rows that come after a pause."""
+        gaps = np.flatnonzero(np.diff(np.asarray(ms, dtype=np.int64)) > self.idle_ms) + 1
+        first = [0] if before is not None and ms[0] - before > self.idle_ms else []
+        return first + gaps.tolist()
+
+    def run(self, state, *columns):
+        before, *inner = state
+        inner, ms = tuple(inner), columns[0]
+        if not len(ms):
+            return [], state
+        starts = self._starts(ms, before)
+        bounds = [0, *[s for s in starts if s], len(ms)]
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            if a in starts:
+                inner = self.machine.initial
+            part, inner = self.machine.run(inner, *[c[a:b] for c in columns])
+            out += [(row[0] + a, *row[1:]) for row in part]
+        return out, (int(ms[-1]), *inner)
+
+    def heads(self, *columns):
+        ms = columns[0]
+        starts = self._starts(ms)
+        tail = starts[-1] if starts else 0
+        shared = (int(ms[0]), bool(starts), int(ms[-1]))
+        return [(*shared, *row) for row in self.machine.heads(*[c[tail:] for c in columns])]
+
+    def enter(self, state, rows):
+        seen, *inner = state
+        first, cut, last = rows[0][:3]
+        anew = cut or (seen is not None and first - seen > self.idle_ms)
+        inner = self.machine.initial if anew else tuple(inner)
+        return (last, *self.machine.enter(inner, [row[3:] for row in rows]))
+
+
 # ------------------------------------------------------------------------ driver
 def plain(values: pd.Series) -> list:
     """A column as Python values, missing ones as None."""
@@ -194,8 +263,7 @@ def emitted(machine, pdf: pd.DataFrame, keep: list[str], rows: list[tuple]) -> p
     index = [r[0] for r in rows]
     out = pdf[keep].iloc[index].reset_index(drop=True)
     for c, (name, kind) in enumerate(machine.outputs, start=1):
-        values = [r[c] for r in rows]
-        out[name] = pd.array(values, "Int64" if kind in ("int", "bigint") else object)
+        out[name] = pd.Series([r[c] for r in rows], dtype=_PANDAS[kind])
     return out
 
 
@@ -253,9 +321,13 @@ def fold(
     order: list[str],
     carry: tuple[str, ...] = (),
     bound: Bound = DEFAULT,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """Run ``machine`` over each group in the given order. ``order`` must start with a column
-    that agrees with ``ms``; the columns ``carry`` are copied to what a row emits."""
+    that agrees with ``ms``; the columns ``carry`` are copied to what a row emits. A pause of more
+    than ``idle_ms`` starts the machine anew."""
+    if idle_ms is not None:
+        machine = Idle(machine, idle_ms)
     keep = [*group, *order, *carry]
     rows = df.select(*dict.fromkeys([*keep, *machine.inputs]))
     schema = schema_of(df, keep, machine.outputs)
@@ -278,7 +350,7 @@ def _fold_chunks(df, machine, group, order, keep, n_chunks) -> DataFrame:
         pdf, columns = ordered_columns(machine, pdf, order)
         rows = machine.heads(*columns)
         out = pd.DataFrame(
-            {name: pd.Series([r[i] for r in rows], dtype=object) for i, (name, _) in enumerate(heads)}
+            {name: pd.Series([r[i] for r in rows], dtype=_PANDAS[kind]) for i, (name, kind) in enumerate(heads)}
         )
         for c in key:
             out[c] = pdf[c].iloc[0]
@@ -292,8 +364,8 @@ def _fold_chunks(df, machine, group, order, keep, n_chunks) -> DataFrame:
             rows.append((chunk, *state))
             state = machine.enter(state, list(zip(*[plain(part[c]) for c in columns])))
         out = pd.DataFrame(
-            {name: pd.Series([r[i] for r in rows], dtype=object)
-             for i, name in enumerate([CHUNK, *[name for name, _ in entering]])}
+            {name: pd.Series([r[i] for r in rows], dtype=_PANDAS[kind])
+             for i, (name, kind) in enumerate([(CHUNK, "int"), *entering])}
         )
         for c in group:
             out[c] = pdf[c].iloc[0]

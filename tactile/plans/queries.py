@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tactile.functions import braille, geometry, text as txt
@@ -10,8 +12,9 @@ from tactile.operators.ordered import Bound
 from tactile.operators.sessions import Hold, Throttle
 from tactile.plans import derive
 from tactile.session import new_folder
-from tactile.sources import images as image_files
-from tactile.streaming.capture import fold_stream, live_capture
+from tactile.sources import images as image_files, sinks
+from tactile.sources.frames import thin_stream
+from tactile.streaming.capture import closing_row, fold_stream, live_capture
 
 HOUR = derive.HOUR_MS
 # Events of a user are about half a day apart, so the clocks run in hours.
@@ -169,27 +172,48 @@ def assemble_text(spark, sf_dir):
 
 
 def image_summary(spark, sf_dir):
-    images = derive.images(spark, sf_dir)
-    done, _ = calibration.quarantine(images)
-    readable = boxes(spark, sf_dir).join(done.select("image"), "image", "left_semi")
-    summary = calibration.summary(images, layout.assemble_text(readable, bound=box_bound(spark, sf_dir)))
+    texts = layout.assemble_text(_readable_boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
+    summary = calibration.summary(derive.images(spark, sf_dir), texts)
     return summary.withColumn("overall_confidence", F.round("overall_confidence", 6))
 
 
+def _readable_boxes(spark, sf_dir):
+    done, _ = calibration.quarantine(derive.images(spark, sf_dir))
+    return boxes(spark, sf_dir).join(done.select("image"), "image", "left_semi")
+
+
+def _calibration_rows(spark, sf_dir):
+    placed = layout.layout(_readable_boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
+    return calibration.calibration_rows(placed)
+
+
 def calibration_report(spark, sf_dir):
-    rows = calibration.calibration_rows(layout.layout(boxes(spark, sf_dir), bound=box_bound(spark, sf_dir)))
-    return calibration.report_rows(rows)
+    return calibration.report_rows(_calibration_rows(spark, sf_dir))
+
+
+def calibration_files(spark, sf_dir):
+    """S4. The report as files, read back."""
+    path = new_folder(spark, "report")
+    rows = _calibration_rows(spark, sf_dir)
+    sinks.write_report(rows, path)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in calibration.report_rows(rows).schema)
+    return spark.read.schema(kinds).option("header", True).csv(path)
+
+
+def summary_files(spark, sf_dir):
+    """S5. The summary as files, read back."""
+    path = new_folder(spark, "summary")
+    sinks.write_summary(image_summary(spark, sf_dir), path)
+    kinds = "image string, final_text string, overall_confidence double, note string"
+    return spark.read.schema(kinds).option("header", True).csv(path).fillna("", ["final_text", "note"])
 
 
 def run_counts(spark, sf_dir):
     """A19 as a table: images by note, with the rows each brings to the report."""
-    images = derive.images(spark, sf_dir)
     texts = layout.assemble_text(boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
-    notes = calibration.summary(images, texts).select(
-        "image", F.regexp_replace("note", ": .*", "").alias("note")
-    )
+    summary = calibration.summary(derive.images(spark, sf_dir), texts, ("boxes",))
     return (
-        notes.join(texts.select("image", "boxes"), "image", "left")
+        summary.withColumn("note", F.regexp_replace("note", ": .*", ""))
         .groupBy("note")
         .agg(
             F.count(F.lit(1)).alias("images"),
@@ -221,15 +245,16 @@ def word_badges(spark, sf_dir):
 
 def result_json(spark, sf_dir):
     """The JSON objects, read back field by field."""
-    j = results.result_json(_chosen(spark, sf_dir))
-    part = lambda path: F.get_json_object("json", path)
+    kind = "text string, confidence double, words array<struct<text: string, bbox: struct<x1: double>>>"
+    j = results.result_json(_chosen(spark, sf_dir)).select("image", F.from_json("json", kind).alias("j"))
+    first = F.get("j.words", F.lit(0))
     return j.select(
         "image",
-        part("$.text").alias("text"),
-        part("$.confidence").cast("double").alias("confidence"),
-        F.json_array_length(part("$.words")).alias("words"),
-        part("$.words[0].text").alias("first_word"),
-        part("$.words[0].bbox.x1").cast("double").alias("first_x1"),
+        "j.text",
+        "j.confidence",
+        F.size("j.words").alias("words"),
+        first["text"].alias("first_word"),
+        first["bbox"]["x1"].alias("first_x1"),
     )
 
 
@@ -281,19 +306,24 @@ def frame_strokes(spark, sf_dir):
     return m.select("vec_id", "contrast", "strokes", *[f"d_{z}" for z in frames.CORNERS])
 
 
+def frame_bound(spark, sf_dir) -> Bound:
+    sizes = derive.embedding_frames(spark, sf_dir).groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))
+    return replace(frames.FRAMES, sizes=sizes)
+
+
 def frame_motion(spark, sf_dir):
-    return frames.frame_motion(derive.embedding_frames(spark, sf_dir)).select(
-        "session_id", "vec_id", "motion"
-    )
+    moved = frames.frame_motion(derive.embedding_frames(spark, sf_dir), bound=frame_bound(spark, sf_dir))
+    return moved.select("session_id", "vec_id", "motion")
 
 
 def _flagged(spark, sf_dir):
     metrics = frames.frame_metrics(derive.embedding_frames(spark, sf_dir))
-    return frames.frame_flags(frames.frame_motion(metrics), **SMALL_FRAME)
+    moved = frames.frame_motion(metrics, bound=frame_bound(spark, sf_dir))
+    return frames.frame_flags(moved, focus_limits=SMALL_FOCUS, **SMALL_FRAME)
 
 
 def frame_flags(spark, sf_dir):
-    names = ["has_document", *[f"lock_{z}" for z in frames.CORNERS], "locked", "alignment", "stable"]
+    names = ["has_document", *[f"lock_{z}" for z in frames.CORNERS], "locked", "alignment", "stable", "focus_band"]
     return _flagged(spark, sf_dir).select("vec_id", *names)
 
 
@@ -345,14 +375,24 @@ def _judged_events(spark, sf_dir):
     return capture.judged(derive.event_flags(spark, sf_dir))
 
 
-def guidance_codes(spark, sf_dir):
-    return capture.guidance(_judged_events(spark, sf_dir), EVENT_ORDER, **EVENT_HOLD).select(
-        "session_id", "event_id", "seq", "code", "forced"
+def event_bound(spark, sf_dir, times: int = 1) -> Bound:
+    """Sizes of sessions, when each event brings at most ``times`` rows."""
+    users = derive.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id"))
+    return Bound(sizes=users.agg((F.count(F.lit(1)) * times).alias("rows")))
+
+
+def _guided(spark, sf_dir, **switches):
+    return capture.guidance(
+        _judged_events(spark, sf_dir), EVENT_ORDER, **EVENT_HOLD, **switches, bound=event_bound(spark, sf_dir)
     )
 
 
+def guidance_codes(spark, sf_dir):
+    return _guided(spark, sf_dir).select("session_id", "event_id", "seq", "code", "forced")
+
+
 def hold_fire(spark, sf_dir):
-    events = capture.guidance(_judged_events(spark, sf_dir), EVENT_ORDER, **EVENT_HOLD)
+    events = _guided(spark, sf_dir)
     return events.where(F.col("elapsed_ms").isNotNull()).select(
         "session_id", "event_id", "code", "elapsed_ms", "remaining_s"
     )
@@ -360,9 +400,7 @@ def hold_fire(spark, sf_dir):
 
 def first_shot(spark, sf_dir):
     """A camera that closes after its first shot."""
-    events = capture.guidance(
-        _judged_events(spark, sf_dir), EVENT_ORDER, **EVENT_HOLD, once=True
-    )
+    events = _guided(spark, sf_dir, once=True)
     return events.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("events"),
         F.max(F.when(F.col("code") == "FIRE", F.col("event_id")).otherwise(-1)).alias("shot"),
@@ -371,25 +409,54 @@ def first_shot(spark, sf_dir):
 
 def held_runs(spark, sf_dir):
     return capture.held_runs(
-        _judged_events(spark, sf_dir), EVENT_ORDER, EVENT_HOLD["hold_ms"]
+        _judged_events(spark, sf_dir), EVENT_ORDER, EVENT_HOLD["hold_ms"], event_bound(spark, sf_dir)
     )
 
 
 def message_throttle(spark, sf_dir):
-    passed = capture.throttle(derive.event_messages(spark, sf_dir), EVENT_ORDER, **EVENT_SILENCE)
+    passed = capture.throttle(
+        derive.event_messages(spark, sf_dir), EVENT_ORDER, **EVENT_SILENCE, bound=event_bound(spark, sf_dir)
+    )
     return passed.select("session_id", "event_id", "text", "forced")
 
 
 def spoken_guidance(spark, sf_dir):
     """Guidance, its messages, and what of them passes the throttle."""
-    events = capture.guidance(_judged_events(spark, sf_dir), EVENT_ORDER, **EVENT_HOLD)
-    passed = capture.throttle(
-        capture.messages(events), [*EVENT_ORDER, "seq"], **EVENT_SILENCE
-    )
-    return passed.select("session_id", "event_id", "seq", "text", "forced")
+    return _spoken(spark, sf_dir, _guided(spark, sf_dir)).select("session_id", "event_id", "seq", "text", "forced")
+
+
+def silent_capture(spark, sf_dir):
+    """T4. Automatic capture and voice switched off: only warnings are said."""
+    events = _guided(spark, sf_dir, auto_capture=False)
+    return _spoken(spark, sf_dir, events, voice=False).select("session_id", "event_id", "seq", "text")
+
+
+def _spoken(spark, sf_dir, events, voice: bool = True):
+    said = capture.messages(events, voice)
+    return capture.throttle(said, [*EVENT_ORDER, "seq"], **EVENT_SILENCE, bound=event_bound(spark, sf_dir, 2))
 
 
 # ------------------------------------------------------------------- streaming
+SLICES = 5
+FILES_PER_TRIGGER = 2
+
+
+def _as_stream(spark: SparkSession, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Rows as a stream of several micro-batches: written slice by slice of time, in any order
+    inside a slice, and a last row that moves time on. Also the length of a slice in ms, which is
+    as far as a row may come late."""
+    folder = new_folder(spark, name)
+    ms = capture.millis(F.col("ts"))
+    first, last = rows.agg(F.min(ms), F.max(ms)).first()
+    step = ((last or 0) - (first or 0)) // SLICES + 1
+    for i in range(SLICES):
+        start = (first or 0) + i * step
+        rows.where((ms >= start) & (ms < start + step)).write.mode("append").parquet(folder)
+    closing_row(rows).write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    return reader.parquet(folder), step
+
+
 def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all its input and read back what it wrote."""
     out = new_folder(spark, name)
@@ -404,40 +471,45 @@ def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = derive.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
 def hold_fire_stream(spark, sf_dir):
-    flags = derive.event_flags_of(_event_stream(spark, sf_dir))
-    events = fold_stream(capture.judged(flags), Hold(**EVENT_HOLD), EVENT_ORDER)
-    return _drain(spark, events, "hold").where(F.col("elapsed_ms").isNotNull()).select(
+    flags, late = _as_stream(spark, derive.event_flags(spark, sf_dir), "flags")
+    events = fold_stream(capture.judged(flags), Hold(**EVENT_HOLD), EVENT_ORDER, delay_ms=late)
+    return _drain(spark, events, "hold").where(~F.col("late") & F.col("elapsed_ms").isNotNull()).select(
         "session_id", "event_id", "code", "elapsed_ms"
     )
 
 
 def message_throttle_stream(spark, sf_dir):
-    said = derive.event_messages_of(_event_stream(spark, sf_dir))
+    said, late = _as_stream(spark, derive.event_messages(spark, sf_dir), "messages")
     rows = said.withColumn("ms", capture.millis(F.col("ts")))
-    passed = fold_stream(rows, Throttle(**EVENT_SILENCE), EVENT_ORDER, ("text", "forced"))
-    return _drain(spark, passed, "throttle").select("session_id", "event_id", "text", "forced")
+    passed = fold_stream(rows, Throttle(**EVENT_SILENCE), EVENT_ORDER, ("text", "forced"), late)
+    return _drain(spark, passed, "throttle").where("not late").select("session_id", "event_id", "text", "forced")
+
+
+def thinned_stream(spark, sf_dir):
+    """S9. The intervals of users that a thinned stream of events keeps a row of."""
+    events = derive.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"), derive.instant(F.col("ts")), F.col("event_type").alias("luma")
+    )
+    source, late = _as_stream(spark, events, "events")
+    kept = thin_stream(source.where(F.col("session_id").isNotNull()), f"{late + 6 * HOUR} milliseconds", 6 * HOUR)
+    slot = F.floor(F.unix_millis("ts") / F.lit(6 * HOUR)).alias("slot")
+    return _drain(spark, kept, "thinned").select("session_id", slot)
 
 
 def live_capture_stream(spark, sf_dir):
     """Frames written to a folder, then read as a stream through the whole live plan."""
-    folder = new_folder(spark, "frames")
-    derive.embedding_frames(spark, sf_dir).write.parquet(folder)
-    source = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    source, late = _as_stream(spark, derive.embedding_frames(spark, sf_dir), "frames")
     binary = F.unhex(F.array_join(F.transform("luma", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     live = live_capture(
         source.withColumn("luma", binary),
+        delay_ms=late,
         focus_limits=SMALL_FOCUS,
         flag_limits=SMALL_FRAME,
         hold_ms=12_000,
         warn_ms=6_000,
     )
-    return _drain(spark, live, "live").select(
+    return _drain(spark, live, "live").where("not late").select(
         "session_id",
         capture.millis(F.col("ts")).alias("ms"),
         "seq",
@@ -458,6 +530,6 @@ QUERIES = {
         frame_focus, frame_strokes, frame_motion, frame_flags, frame_thinning, tile_lighting,
         image_quality, resize_plan, guidance_codes, hold_fire, first_shot, held_runs,
         message_throttle, spoken_guidance, hold_fire_stream, message_throttle_stream,
-        live_capture_stream,
+        live_capture_stream, calibration_files, summary_files, silent_capture, thinned_stream,
     )
 }

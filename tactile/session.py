@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,18 +22,24 @@ SESSION_CONF = {
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only if it is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``. Only a single machine (a local master, as in
+    tests) gets a temporary one where it is unset: executors elsewhere would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root is None:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        root = context.getCheckpointDir()
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, for tables a query writes on its way."""
+    """A fresh path under the shared folder, for tables a query writes on its way. They are read
+    lazily, so they stay until the folder is cleared, as checkpoints do."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,9 +21,6 @@ _ARROW = pa.schema(
     ]
 )
 
-_loaded: dict[str, object] = {}
-
-
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
     """S3. Detections written by an earlier run."""
     return spark.read.schema(SCHEMA).parquet(path)
@@ -33,27 +31,30 @@ def recognize(
     load: Callable[[], object],
     read: Callable[[object, dict], list],
     fallback: Callable[[object, dict], list] | None = None,
-    name: str = "model",
+    name: str | None = None,
 ) -> DataFrame:
     """U1, S7. Detections of each image by a recogniser of the user.
 
-    ``load`` makes the model, once per Python worker; ``read(model, row)`` returns tuples
+    ``load`` makes the model, once per Python worker: calls that give the same ``name`` share it,
+    a call without a name has its own. ``read(model, row)`` returns tuples
     (points, text, confidence 0..1) for a row given as a dict, and ``fallback`` is tried when it
     fails. ``images`` has ``image`` and whatever ``read`` needs. An image that fails becomes one
-    row with ``error``, without detections; the run goes on.
+    row with ``error``, without detections; the run goes on. The result is lazy: write it if it is
+    used more than once (operators that must measure groups do so themselves).
     """
+    key = name or uuid.uuid4().hex
 
     def one(row: dict) -> Iterator[dict]:
+        from tactile.sources import _models
+
         try:
-            if name not in _loaded:
-                _loaded[name] = load()
-            model = _loaded[name]
+            loaded = _models.model(key, load)
             try:
-                found = read(model, row)
+                found = read(loaded, row)
             except Exception:
                 if fallback is None:
                     raise
-                found = fallback(model, row)
+                found = fallback(loaded, row)
         except Exception as failure:
             yield {"image": row["image"], "error": f"OCR failed: {failure}"}
             return

@@ -27,7 +27,8 @@ def stream_frames(
 def thin_stream(
     frames: DataFrame, delay: str = "10 seconds", interval_ms: int = FRAME_INTERVAL_MS
 ) -> DataFrame:
-    """S9. At most one frame per session and interval; frames without pixels are skipped. This
+    """S9. At most one frame per session and interval, the first to arrive (``frames.thin`` keeps the
+    earliest: the same where frames arrive in order); frames without pixels are skipped. This
     bounds what one session can bring into a micro-batch."""
     slot = F.floor(F.unix_millis("ts") / F.lit(interval_ms))
     return (

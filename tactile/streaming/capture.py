@@ -1,7 +1,17 @@
 """Live capture: the batch machines behind ``applyInPandasWithState``.
 
-State per session: pixels of the last frame, the hold, and the last message. It is bounded, and a
-session that stays silent longer than ``idle`` is forgotten, so that its next frame starts anew.
+The result does not depend on how frames are cut into micro-batches, nor on their order within
+``delay``. A session's frames wait in its state until no earlier one can come any more, and then
+run in event order. A frame that comes later than that is not run: it is returned with ``late``
+set, to be counted or written elsewhere. The watermark trails ``grace`` behind ``delay``, so that
+Spark hands late frames over; those beyond both are dropped by Spark, which counts them in the
+metric ``numRowsDroppedByWatermark`` of the query.
+
+State per session: pixels of the last frame, the hold, the last message, and the waiting frames,
+as many as come within ``delay`` and one micro-batch. With ``idle_ms`` a pause ends a session, in
+batch as on a stream, and its state is freed once the pause is over; without, small states stay.
+
+A row without ``session_id`` only moves time on: bounded input ends with one (``closing_row``).
 """
 
 from __future__ import annotations
@@ -10,19 +20,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tactile.operators import capture, frames
 from tactile.operators.sessions import (
-    HOLD_MS, WARN_MS, Hold, Throttle, emitted, ordered_columns, schema_of,
+    HOLD_MS, Hold, Idle, Throttle, emitted, ordered_columns, schema_of,
 )
 
-IDLE_MS = 60_000
+DELAY_MS = 10_000
+GRACE_MS = 60_000
+SLICE_ROWS = 2_000
+LATE = "late"
+END = "2200-01-01"
 
 
-def _keep_alive(state: GroupState, last_ms: int, idle_ms: int) -> None:
-    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + idle_ms)
+def closing_row(rows: DataFrame) -> DataFrame:
+    """A row like those of ``rows`` that moves time to the end: what waits comes out after it."""
+    kinds = {c: rows.schema[c].dataType for c in ("session_id", "ts")}
+    return rows.limit(1).withColumns(
+        {"session_id": F.lit(None).cast(kinds["session_id"]), "ts": F.lit(END).cast(kinds["ts"])}
+    )
+
+
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    """Times stay as pandas has them, without a zone."""
+    return pa.schema(
+        [(f.name, pa.timestamp("us") if isinstance(f.dataType, T.TimestampType) else to_arrow_type(f.dataType)) for f in schema]
+    )
+
+
+def _packed(table: pa.Table) -> bytes | None:
+    if not table.num_rows:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def fold_stream(
@@ -30,37 +66,77 @@ def fold_stream(
     machine,
     order: list[str],
     carry: tuple[str, ...] = (),
-    delay: str | None = "10 seconds",
-    idle_ms: int = IDLE_MS,
+    delay_ms: int | None = DELAY_MS,
+    grace_ms: int = GRACE_MS,
+    idle_ms: int | None = None,
 ) -> DataFrame:
-    """T3, T5, T6, T7. A session machine on a stream; rows are those ``sessions.fold`` gives for
-    frames that arrive in order. ``df`` has ``session_id``, ``ts`` (timestamp) and the machine's
-    columns; ``order`` starts with ``ts``. ``delay=None`` keeps the watermark ``df`` has already."""
+    """T3, T5, T6, T7. A session machine on a stream: the rows ``sessions.fold`` gives, with
+    ``late`` false, and the frames that came too late, with ``late`` true and nothing emitted.
+    ``df`` has ``session_id``, ``ts`` (timestamp), ``ms`` (``ts`` in milliseconds) and the
+    machine's columns; ``order`` starts with ``ts``. ``delay_ms=None`` keeps the watermark that
+    ``df`` has already; Spark drops and counts what is late then."""
+    if idle_ms is not None:
+        machine = Idle(machine, idle_ms)
     keep = ["session_id", *order, *carry]
     rows = df.select(*dict.fromkeys([*keep, *machine.inputs]))
-    if delay is not None:
-        rows = rows.withWatermark("ts", delay)
+    if delay_ms is None:
+        grace_ms = 0
+    else:
+        rows = rows.withWatermark("ts", f"{delay_ms + grace_ms} milliseconds")
+    held = _arrow_schema(rows.schema)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if key[0] is None:
+            for _ in pdfs:
+                pass
+            return
+        watermark = state.getCurrentWatermarkMs()
+        # Nothing before this can still come in time.
+        horizon = watermark + grace_ms if watermark > 0 else -(1 << 62)
+        *entering, last_ms, waiting = state.get if state.exists else (*machine.initial, None, None)
+        entering = tuple(entering)
+        pieces = [pa.ipc.open_stream(bytes(waiting)).read_all()] if waiting is not None else []
+        for pdf in () if state.hasTimedOut else pdfs:
+            late = pdf["ms"] < horizon
+            if late.any():
+                yield _late_rows(machine, pdf[late], keep)
+            pieces.append(pa.Table.from_pandas(pdf[~late], held, preserve_index=False))
+        table = pa.concat_tables(pieces).sort_by([(c, "ascending") for c in order]) if pieces else held.empty_table()
+        ready = int(np.searchsorted(table.column("ms").to_numpy(), horizon, side="left"))
+        for start in range(0, ready, SLICE_ROWS):
+            part = table.slice(start, min(SLICE_ROWS, ready - start)).to_pandas()
+            pdf, columns = ordered_columns(machine, part, order)
+            last_ms = int(columns[0][-1])
+            out, entering = machine.run(entering, *columns)
+            yield emitted(machine, pdf, keep, out).assign(**{LATE: False})
+        rest = table.slice(ready)
+        if not rest.num_rows and idle_ms is not None and (last_ms is None or last_ms + idle_ms < horizon):
             state.remove()
             return
-        entering = tuple(state.get) if state.exists else machine.initial
-        pdf, columns = ordered_columns(machine, pd.concat(list(pdfs)), order)
-        out, leaving = machine.run(entering, *columns)
-        state.update(leaving)
-        _keep_alive(state, int(columns[0][-1]), idle_ms)
-        yield emitted(machine, pdf, keep, out)
+        state.update((*entering, last_ms, _packed(rest)))
+        if rest.num_rows:
+            due = rest.column("ms")[0].as_py() + 1
+        elif idle_ms is not None:
+            due = last_ms + idle_ms + 2
+        else:
+            return
+        state.setTimeoutTimestamp(max(due - grace_ms, max(watermark, 0) + 1))
 
+    states = [*machine.state, ("_last_ms", "bigint"), ("_waiting", "binary")]
     return rows.groupBy("session_id").applyInPandasWithState(
         step,
-        schema_of(df, keep, machine.outputs),
-        ", ".join(f"{name} {kind}" for name, kind in machine.state),
+        schema_of(df, keep, [*machine.outputs, (LATE, "boolean")]),
+        ", ".join(f"{name} {kind}" for name, kind in states),
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
 
+def _late_rows(machine, pdf: pd.DataFrame, keep: list[str]) -> pd.DataFrame:
+    blank = [tuple([i, *[None] * len(machine.outputs)]) for i in range(len(pdf))]
+    return emitted(machine, pdf, keep, blank).assign(**{LATE: True})
+
+
 class Live:
     """T1, T2, T5-T7 on frames in order: motion, hold and throttle in one pass.
 
@@ -134,10 +210,11 @@ def live_capture(
     frame_rows: DataFrame,
     voice: bool = True,
     auto_capture: bool = True,
-    delay: str | None = "10 seconds",
-    idle_ms: int = IDLE_MS,
+    delay_ms: int | None = DELAY_MS,
+    grace_ms: int = GRACE_MS,
+    idle_ms: int | None = None,
     hold_ms: int = HOLD_MS,
-    warn_ms: int = WARN_MS,
+    warn_ms: int | None = None,
     focus_limits: tuple[float, float] = capture.FOCUS_LIMITS,
     flag_limits: dict[str, float] | None = None,
 ) -> DataFrame:
@@ -147,4 +224,4 @@ def live_capture(
     motion_limit = (flag_limits or {}).get("motion_limit", frames.MOTION_LIMIT)
     machine = Live(Hold(hold_ms, warn_ms, auto_capture), Throttle(), motion_limit, voice)
     rows = live_rows(frame_rows, focus_limits, flag_limits)
-    return fold_stream(rows, machine, ["ts"], (), delay, idle_ms)
+    return fold_stream(rows, machine, ["ts"], (), delay_ms, grace_ms, idle_ms)

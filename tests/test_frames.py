@@ -150,3 +150,11 @@ def test_thinning_keeps_the_first_of_each_interval(spark):
     ).withColumn("ts", F.timestamp_millis("at"))
     got = {(r.session_id, r.n) for r in frames.thin(df, keep=["n"]).collect()}
     assert got == {("a", 0), ("a", 300), ("a", 899), ("a", 900), ("b", 50)}
+
+
+def test_without_a_document_nothing_is_locked(spark):
+    row = [(10, 17, 500.0, 0.0, 9.0, 9.0, 9.0, 9.0), (10**6, 255, 500.0, 0.0, 9.0, 9.0, 9.0, 9.0)]
+    df = spark.createDataFrame(row, "strokes int, contrast int, focus double, motion double, d_tl double, d_tr double, d_bl double, d_br double")
+    none, page = frames.frame_flags(df).orderBy("strokes").collect()
+    assert (none.has_document, none.locked, none.alignment, none.focus_band) == (False, 0, 0, "blurry")
+    assert (page.has_document, page.locked, page.alignment, page.focus_band) == (True, 4, 100, "sharp")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tactile.operators import capture
 from tactile.operators.ordered import SMALL, Bound, Chunks, Scan, Windows
-from tactile.operators.sessions import Hold, Throttle, fold
+from tactile.operators.sessions import Hold, Idle, Throttle, fold
 
 HOT = Bound(max_rows=5, chunk_rows=7)
 
@@ -172,3 +172,44 @@ def test_messages_without_voice(spark):
     df = spark.createDataFrame([("WARN", True), ("NO_DOC", False), ("HOLDING", False)], "code string, forced boolean")
     assert capture.messages(df).count() == 2
     assert [r.code for r in capture.messages(df, voice=False).collect()] == ["WARN"]
+
+
+@pytest.mark.parametrize("kind", ["hold", "once", "throttle"])
+def test_chunks_with_pauses_compose(kind):
+    """As above, with an idle time and with sessions that end at a shot."""
+    rng = random.Random(3)
+    for _ in range(300):
+        machine = Throttle(400, 700) if kind == "throttle" else Hold(600, None, True, kind == "once")
+        if rng.random() < 0.7:
+            machine = Idle(machine, rng.choice([200, 900]))
+        rows = random_rows(rng, rng.randint(1, 60), 300, 0.9)
+        columns = [[r[0] for r in rows], [r[1] for r in rows], [None if r[1] else "MOVING" for r in rows]]
+        if kind == "throttle":
+            columns = [[r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows]]
+        state, plain_state = machine.initial, machine.initial
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(4))})
+        for a, b in zip(cuts, cuts[1:]):
+            part = [c[a:b] for c in columns]
+            state = machine.enter(state, machine.heads(*part))
+            plain_state = machine.run(plain_state, *part)[1]
+            assert tuple(state) == tuple(plain_state)
+
+
+def test_reports_of_dense_chunks_are_short():
+    n = 5000
+    assert len(Hold().heads([0] * n, [True] * n, [None] * n)) <= 3
+    assert len(Throttle().heads([0] * n, ["a", "b"] * (n // 2), [False] * n)) <= 3
+
+
+def test_warning_follows_the_hold():
+    assert Hold(3000).warn_ms == 2500 and Hold(3000, 100).warn_ms == 100
+
+
+def test_a_fold_runs_once(spark):
+    """Hold, end at the shot and throttle are one pass each; nothing is counted by running them."""
+    df = spark.createDataFrame([("a", 0), ("a", 500)], "session_id string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    rows = df.withColumn("ok", F.lit(True)).withColumn("code", F.lit(None).cast("string"))
+    sizes = Bound(sizes=rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows")))
+    events = capture.guidance(rows, once=True, bound=sizes)
+    plan = capture.throttle(capture.messages(events), ["ts", "seq"], bound=sizes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2

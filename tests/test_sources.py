@@ -5,6 +5,7 @@ import sys
 import zlib
 
 import numpy as np
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -161,3 +162,68 @@ def test_drawable(spark):
     df = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 0.0, 1.0), (None, 0.0, 1.0, 1.0)], "a double, b double, c double, d double")
     got = df.select(geometry.drawable(*[F.col(c) for c in "abcd"])).collect()
     assert [r[0] for r in got] == [True, False, False]
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    """Eight tasks after each other in few worker processes; and each call has its own model."""
+    names = spark.range(8, numPartitions=8).select(F.col("id").cast("string").alias("image"))
+
+    def loader(text):
+        def load():
+            import uuid
+
+            (tmp_path / text / uuid.uuid4().hex).mkdir(parents=True)
+            return os.getpid(), text
+
+        return load
+
+    def read(model, row):
+        assert model[0] == os.getpid()
+        return [(square(0, 0, 1, 1), f"{model[1]} {model[0]}", 1.0)]
+
+    for text in ("one", "two"):
+        found = detections.recognize(names, loader(text), read)
+        texts = [r.text.split() for r in found.collect()]
+        assert {t[0] for t in texts} == {text} and len(texts) == 8
+        assert len(os.listdir(tmp_path / text)) == len({t[1] for t in texts})
+
+
+def test_layout_recognises_each_image_once(spark, tmp_path):
+    names = spark.createDataFrame([("a",), ("b",)], "image string")
+
+    def read(model, row):
+        import uuid
+
+        (tmp_path / f"{row['image']}-{uuid.uuid4().hex}").mkdir()
+        return [(square(0, 0, 40, 20), "x", 1.0), (square(100, 0, 60, 20), "y", 1.0)]
+
+    found = detections.recognize(names, lambda: None, read)
+    texts = layout.assemble_text(layout.to_boxes(found.where("error is null"), scale=1.0)).collect()
+    assert {r.text for r in texts} == {"x y"} and len(os.listdir(tmp_path)) == 2
+
+
+def test_cascade_sorts_no_texts(spark):
+    rows = spark.createDataFrame([("a", 1, "t", 1.0, [])], RESULTS)
+    chosen = results.choose_engine(spark.createDataFrame([("a",)], "image string"), rows)
+    lines = chosen._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("SortAggregate" in line for line in lines)
+    assert any("ShuffledHashJoin" in line and "BuildLeft" in line for line in lines)
+
+
+def test_no_temporary_folder_on_a_cluster(monkeypatch):
+    from tactile import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Spark:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        session.checkpoint_root(Spark())

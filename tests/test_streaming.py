@@ -8,13 +8,13 @@ from tactile.operators import capture, frames
 from tactile.operators.ordered import SMALL
 from tactile.operators.sessions import Hold, Throttle, fold
 from tactile.sources.frames import SCHEMA, stream_frames, thin_stream
-from tactile.streaming.capture import fold_stream, live_capture
+from tactile.streaming.capture import closing_row, fold_stream, live_capture
 
 START = 1_704_067_200_000
 
 
 def write_in_files(spark, rows, schema, folder, files):
-    """One file per slice of time, so that each micro-batch continues the one before."""
+    """One file per slice of the rows, one after the other."""
     size = -(-len(rows) // files)
     for i in range(0, len(rows), size):
         part = spark.createDataFrame(rows[i : i + size], schema).coalesce(1)
@@ -35,23 +35,48 @@ def same(a, b):
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(*a.columns).collect()), key=str)
 
 
+SCHEMA_OF_EVENTS = "session_id string, n int, ms long, ok boolean, text string, forced boolean"
+
+
+def prepared(df):
+    return df.withColumn("ms", F.unix_millis("ts")).withColumn("code", F.when(~F.col("ok"), "MOVING"))
+
+
+def run_stream(spark, tmp_path, machine, **options):
+    folder = str(tmp_path / "in")
+    table = spark.read.parquet(folder)
+    closing_row(table).coalesce(1).write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    stream = fold_stream(prepared(reader.parquet(folder)), machine, ["ts", "n"], **options)
+    live, batches = drain(spark, stream, str(tmp_path / "out"))
+    return live, [b for b in batches if b], table.where("session_id is not null")
+
+
+@pytest.mark.parametrize("idle_ms", [700])
+@pytest.mark.parametrize("files, shuffled", [(1, False), (5, True), (20, True)])
 @pytest.mark.parametrize("kind", ["hold", "throttle"])
-def test_machines_over_many_batches_equal_batch(spark, tmp_path, kind):
+def test_machines_do_not_depend_on_the_cut(spark, tmp_path, kind, files, shuffled, idle_ms):
     rng = random.Random(8)
     rows = [(f"s{i % 4}", i, i * 80, rng.random() < 0.9, rng.choice("ab"), rng.random() < 0.04) for i in range(400)]
-    schema = "session_id string, n int, ms long, ok boolean, text string, forced boolean"
-    write_in_files(spark, rows, schema, str(tmp_path / "in"), 5)
+    rows = [r for r in rows if not 100 < r[1] < 140]
+    if shuffled:
+        rows.sort(key=lambda r: r[2] + rng.randint(0, 9_000))
+    write_in_files(spark, rows, SCHEMA_OF_EVENTS, str(tmp_path / "in"), files)
     machine = Hold() if kind == "hold" else Throttle()
+    live, batches, table = run_stream(spark, tmp_path, machine, idle_ms=idle_ms)
+    assert len(batches) >= files
+    assert live.where("late").count() == 0
+    same(live.drop("late"), fold(prepared(table), machine, ["session_id"], ["ts", "n"], (), SMALL, idle_ms))
 
-    def prepared(df):
-        return df.withColumn("ms", F.unix_millis("ts")).withColumn("code", F.when(~F.col("ok"), "MOVING"))
 
-    table = spark.read.parquet(str(tmp_path / "in"))
-    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
-    stream = fold_stream(prepared(reader.parquet(str(tmp_path / "in"))), machine, ["ts", "n"])
-    live, batches = drain(spark, stream, str(tmp_path / "out"))
-    assert len([b for b in batches if b]) > 1
-    same(live, fold(prepared(table), machine, ["session_id"], ["ts", "n"], (), SMALL))
+def test_late_rows_come_out_as_late(spark, tmp_path):
+    rows = [("a", i, i * 1000, True, "x", False) for i in range(60)]
+    late = rows.pop(20)
+    write_in_files(spark, [*rows, late], SCHEMA_OF_EVENTS, str(tmp_path / "in"), 60)
+    live, _, table = run_stream(spark, tmp_path, Hold())
+    assert [(r.n, r.code) for r in live.where("late").collect()] == [(20, None)]
+    rest = prepared(table.where("n <> 20"))
+    same(live.where("not late").drop("late"), fold(rest, Hold(), ["session_id"], ["ts", "n"], (), SMALL))
 
 
 def camera(n):
@@ -81,7 +106,10 @@ def test_live_capture_equals_batch(spark, tmp_path):
     table = spark.read.schema(SCHEMA).parquet(folder)
     assert dict(table.dtypes)["luma"] == "binary"
 
+    closing_row(table).coalesce(1).write.mode("append").parquet(folder)
+    table = table.where("session_id is not null")
     live, _ = drain(spark, live_capture(stream_frames(spark, folder, files_per_trigger=1)), str(tmp_path / "out"))
+    live = live.where("not late").drop("late")
     flags = frames.frame_flags(frames.frame_motion(frames.frame_metrics(table)))
     events = capture.guidance(capture.judged(flags), bound=SMALL)
     spoken = capture.throttle(capture.messages(events), ["ts", "seq"], bound=SMALL).select("session_id", "ts", "seq")
@@ -106,19 +134,17 @@ def test_thinned_stream_feeds_the_capture(spark, tmp_path):
     assert slots.count() == spark.read.parquet(folder).where("luma is not null").select(
         "session_id", F.floor(F.unix_millis("ts") / 300)
     ).distinct().count()
-    chained = live_capture(thin_stream(stream_frames(spark, folder, files_per_trigger=1)), delay=None)
+    chained = live_capture(thin_stream(stream_frames(spark, folder, files_per_trigger=1)), delay_ms=None)
     events, _ = drain(spark, chained, str(tmp_path / "live"))
     assert events.where("code = 'HOLD_START'").count() > 0
 
 
-def test_silent_sessions_are_forgotten(spark, tmp_path):
-    """A hold does not survive a pause longer than the idle time."""
-    rows = [("a", 0, True), ("b", 0, True), ("b", 200_000, True), ("b", 400_000, True), ("a", 600_000, True)]
-    write_in_files(spark, rows, "session_id string, ms long, ok boolean", str(tmp_path / "in"), 5)
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    rows = source.withColumn("ms", F.unix_millis("ts")).withColumn("code", F.lit(None).cast("string"))
-    stream = fold_stream(rows, Hold(), ["ts"], delay="1 second", idle_ms=30_000)
-    got, _ = drain(spark, stream, str(tmp_path / "out"))
-    codes = [r.code for r in got.where("session_id = 'a'").orderBy("ts").collect()]
+def test_a_pause_ends_a_hold(spark, tmp_path):
+    """In batch as on a stream; without an idle time it does not."""
+    rows = [("a", 0, 0, True, "", False), ("b", 1, 0, True, "", False), ("b", 2, 200_000, True, "", False), ("a", 3, 600_000, True, "", False)]
+    write_in_files(spark, rows, SCHEMA_OF_EVENTS, str(tmp_path / "in"), 4)
+    live, _, table = run_stream(spark, tmp_path, Hold(), delay_ms=1000, idle_ms=30_000)
+    codes = [r.code for r in live.where("session_id = 'a'").orderBy("ts").collect()]
     assert codes == ["HOLD_START", "HOLD_START"]
+    batch = fold(prepared(table), Hold(), ["session_id"], ["ts", "n"], (), SMALL)
+    assert [r.code for r in batch.where("session_id = 'a'").orderBy("ts", "seq").collect()] == ["HOLD_START", "WARN", "FIRE"]
