@@ -51,4 +51,6 @@ def test_other_columns_stay(spark):
     vocab = bpe.vocabulary(public_tokenizers.path(NAMES[0]), public_tokenizers.PATTERN)
     coded = bpe.encode(frame(spark), vocab)
     assert "size" in coded.columns and "text" not in coded.columns and dict(coded.dtypes)["ids"] == "array<int>"
+    both = bpe.round_trip(frame(spark), vocab).select("doc_id", "ids", "decoded")
+    assert sorted(map(str, both.collect())) == sorted(map(str, bpe.decode(coded, vocab).select("doc_id", "ids", "decoded").collect()))
     assert bpe.decode(bpe.encode(frame(spark).limit(0), vocab), vocab).count() == 0

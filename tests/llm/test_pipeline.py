@@ -1,0 +1,64 @@
+import public_tokenizers
+import tiktoken
+from edges import frame, rows, save
+from pyspark.sql import functions as F
+from test_neardup import _brute as classes
+
+import corpus_pipeline
+from tactile.llm import bpe, language, mixing
+from tactile.llm.common import store
+
+SF = "/root/testdata/sf0.001"
+
+
+def _library():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_stages_are_named_and_in_order():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_identification", "near_duplicates", "mix_sources", "encode"]
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_each_stage_against_its_definition(spark):
+    docs = store(spark.read.parquet(f"{SF}/documents.parquet"), "docs")
+    stages = dict(corpus_pipeline.STAGES)
+
+    kept = store(stages["language_identification"](spark, docs, SF), "kept")
+    assert kept.columns == docs.columns
+    assert kept.count() >= docs.count() - 1 and kept.join(docs, docs.columns, "left_anti").count() == 0
+
+    data = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    once = store(stages["near_duplicates"](spark, kept, SF), "once")
+    assert once.columns == docs.columns
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted(r[0] for r in classes(data) if r[3])
+
+    mixed = store(stages["mix_sources"](spark, once, SF), "mixed")
+    assert mixed.columns == docs.columns
+    plan = mixing.mix(once)
+    words = mixed.select("source", mixing.n_words(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("n"))
+    targets = plan.select("source", "target").distinct().join(words, "source").collect()
+    assert targets and all(abs(r["n"] - r["target"]) <= 0.5 for r in targets)
+
+    library = _library()
+    coded = stages["encode"](spark, mixed, SF).collect()
+    assert len(coded) == mixed.count()
+    texts = sorted(r["text"] for r in mixed.collect())
+    assert sorted(r["text"] for r in coded) == texts
+    assert all(r["ids"] == library.encode_ordinary(r["text"]) and r["n_tokens"] == len(r["ids"]) for r in coded)
+
+
+def test_edge_rows(spark, tmp_path):
+    docs = frame(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = store(stage(spark, docs, ""), name)
+        if name == "language_identification":
+            lettered = [r for r in rows() if r[1] and language.word_list(r[1])]
+            assert out.count() >= len(lettered) - 2
+            assert out.where("text is null or trim(text) = ''").count() == 0
+        if name != "encode":
+            assert out.columns == docs.columns
+        docs = out
+    assert docs.count() > 0 and docs.where("size(ids) = 0").count() == 0
+    assert corpus_pipeline.run(spark, save(spark, tmp_path, [])).count() == 0
