@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -33,3 +35,20 @@ def test_query_equals_sql(spark, sql, name):
 def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns == ["doc_id", "page_idx", "glyphs", "raised"] and df.limit(1).count() == 1
+
+
+def test_entry_without_the_training_data_part():
+    """The queries of the library are there when the folders of that part are not."""
+    code = """
+import sys
+class Missing:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("tactile.llm"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Missing())
+import __spark_entry__ as entry
+print(len(entry.queries()), len(entry.oracle_sql()))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], done.stderr
