@@ -8,7 +8,8 @@ small a one. Smoothed probabilities come from those probes alone:
     p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),    p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m)
 
 The filter is built in segments by hash, each by one task from compact blocks of counted hashes,
-and is broadcast. It has ``bits_per_entry`` bits for each level of each n-gram; those are at most
+and goes to the workers as one file (``SparkContext.addFile``): a machine fetches it once, and its
+Python workers map it into memory together. It has ``bits_per_entry`` bits for each level of each n-gram; those are at most
 ``order`` times the tokens, so fewer bits are taken where ``max_bytes`` could be exceeded. A corpus
 beyond that fills the filter more densely: no n-gram is left out, and false positives become more
 frequent (with b bits an entry and k probes about (1 - exp(-k/b))^k a level).
@@ -24,18 +25,23 @@ scored each. Texts of any length are scored whole; memory follows a slice of tex
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tactile.llm.common import store, text_slices
+from tactile.session import new_folder
 
 END = b"\n"  # white space is in no word
 SEGMENT_BYTES = 8 << 20
-ENTRIES_PER_BLOCK = 1 << 20
+MOST_SEGMENTS = 1 << 16
+ENTRIES_PER_BLOCK = 3 << 20
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
 
 
@@ -81,7 +87,7 @@ class Hashes(dict):
     """Word hashes, kept for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -167,7 +173,7 @@ def ngram_blocks(texts: DataFrame, how: Lm, n_segments: int) -> DataFrame:
             for _, part in text_slices(batch.column(0)):
                 hashes, starts, _ = _flat(part.to_pylist(), known)
                 held += ngrams(hashes, starts, how.order)
-                if sum(map(len, held)) > 8 * ENTRIES_PER_BLOCK:
+                if sum(map(len, held)) > ENTRIES_PER_BLOCK:
                     yield rows()
         if held:
             yield rows()
@@ -207,19 +213,58 @@ def build(blocks: DataFrame, how: Lm, bits_per_entry: float) -> DataFrame:
     return blocks.groupBy("segment").applyInArrow(one, "segment int, bits binary")
 
 
+def share(slices_of: DataFrame, n_segments: int, how: Lm) -> Filter:
+    """Join the slices to one file in the shared folder and send it to all machines."""
+    spark = slices_of.sparkSession
+    folder = new_folder(spark, "filter")
+
+    def run(batches):
+        store_fs, base = fs.FileSystem.from_uri(folder)
+        store_fs.create_dir(base, recursive=True)
+        name = f"{uuid.uuid4().hex}.bits"
+        segments, sizes = [], []
+        with store_fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+            for batch in batches:
+                for segment, bits in zip(batch.column(0), batch.column(1), strict=True):
+                    data = bits.as_buffer()
+                    out.write(data)
+                    segments.append(segment.as_py())
+                    sizes.append(data.size)
+        columns = [pa.array([name] * len(sizes), pa.string()), pa.array(segments, pa.int32()), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "segment", "size"])
+
+    # At most max_bytes, whatever the corpus: one task may join them.
+    written = slices_of.orderBy("segment").coalesce(1).mapInArrow(run, "name string, segment int, size long")
+    rows = store(written, "slices").orderBy("segment").collect()
+    sizes = np.zeros(n_segments, np.int64)
+    for row in rows:
+        sizes[row["segment"]] = row["size"]
+    if rows:
+        spark.sparkContext.addFile(f"{folder}/{rows[0]['name']}")
+    return Filter(rows[0]["name"] if rows else None, 8 * sizes, how)
+
+
 class Filter:
-    """The filter as workers hold it."""
+    """The filter as workers see it; ``name`` is its file, None for a filter that holds nothing."""
 
-    def __init__(self, slices_by_segment: dict[int, bytes], n_segments: int, how: Lm):
-        self.how, self.n_segments = how, n_segments
-        parts = [np.frombuffer(slices_by_segment.get(s, bytes(8)), np.uint8) for s in range(n_segments)]
-        self.sizes = np.array([8 * len(p) for p in parts], np.int64)
-        self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.bits = np.concatenate(parts)
+    def __init__(self, name: str | None, sizes: np.ndarray, how: Lm):
+        self.name, self.sizes, self.how = name, sizes, how
+        self.n_segments = len(sizes)
+        self.offsets = np.cumsum(sizes) - sizes
+        self._bits: np.ndarray | None = None
+
+    @property
+    def bits(self) -> np.ndarray:
+        if self._bits is None:
+            self._bits = np.memmap(SparkFiles.get(self.name), np.uint8, mode="r")
+        return self._bits
 
     def _held(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Which keys the filter holds at a level; a key that misses a probe is not probed again."""
-        alive = np.arange(len(keys))
+        if self.name is None:
+            return np.zeros(0, np.int64)
+        segment = (keys % np.uint64(self.n_segments)).astype(np.int64)
+        alive = np.flatnonzero(self.sizes[segment])
         for i in range(self.how.probes):
             part = keys[alive]
             segment = (part % np.uint64(self.n_segments)).astype(np.int64)
@@ -241,14 +286,14 @@ class Filter:
 
 @dataclass
 class Model:
-    """What scoring needs of a corpus: the filter, N, V, and exact counts (frequent words as terms
-    of the base score, the others as a table)."""
+    """What scoring needs of a corpus: the filter, N, V, and exact counts: of frequent words in
+    memory, of all as a table."""
 
     how: Lm
     filter: Filter
     total: int
     distinct: int
-    frequent: dict[bytes, float]
+    frequent: pa.Table
     counts: DataFrame
     frequent_from: int
 
@@ -263,11 +308,10 @@ def train(docs: DataFrame, how: Lm = DEFAULT, text: str = "text") -> Model:
     counts = store(word_counts(texts), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    n_segments = 1 << max(3, math.ceil(math.log2(max(1, size) / SEGMENT_BYTES + 1)))
+    n_segments = min(MOST_SEGMENTS, 1 << max(3, math.ceil(math.log2(max(1, size) / SEGMENT_BYTES + 1))))
     # An n-gram counted c times has at most c levels.
     bits = min(how.bits_per_entry, 8 * how.max_bytes / max(1, how.order * total))
-    slices_of = build(ngram_blocks(texts, how, n_segments), how, bits)
-    built = {row["segment"]: bytes(row["bits"]) for row in store(slices_of, "filter").collect()}
+    built = share(store(build(ngram_blocks(texts, how, n_segments), how, bits), "bits"), n_segments, how)
 
     # Smallest power of two from which on the words are few enough to be sent.
     by_size = counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("words")).collect()
@@ -277,9 +321,8 @@ def train(docs: DataFrame, how: Lm = DEFAULT, text: str = "text") -> Model:
             break
         words, power = words + row["words"], row["p"]
     bound = 1 << power if power < 63 else (1 << 63) - 1
-    frequent = counts.where(F.col("n") >= bound).collect() if words else []
-    terms = {bytes(r["word"]): math.log10(r["n"] + how.add) for r in frequent}
-    return Model(how, Filter(built, n_segments, how), total, distinct, terms, counts, bound)
+    frequent = counts.where(F.col("n") >= bound).select("word", "n").toArrow()
+    return Model(how, built, total, distinct, frequent, counts, bound)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -291,7 +334,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     def run(batches):
         from tactile.llm.lm import Hashes, codebook, middles, ngrams, tokens
 
-        bloom, frequent = shared.value
+        bloom, words = shared.value
+        frequent = dict(zip(words.column(0).to_pylist(), np.log10(words.column(1).to_numpy() + how.add).tolist(), strict=True))
         known = Hashes()
         book = codebook(how.growth, max(2, total))
         count_of = middles(book)
