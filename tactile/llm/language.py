@@ -217,7 +217,7 @@ class Places(dict):
 class Labeller:
     """Labels the words of texts; keeps the scores of words it has seen."""
 
-    MOST_WORDS = 500_000
+    MOST_WORDS = 250_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -319,7 +319,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> Column
         for texts in batches:
             values = texts.to_pylist()
             rows: list[dict] = []
-            for a, b in slices([len(v or "") for v in values], 24 << 20):
+            for a, b in slices([len(v or "") for v in values], 8 << 20):
                 rows += labeller.predict(values[a:b])
             yield pa.array(rows, kind)
 

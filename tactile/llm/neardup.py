@@ -13,10 +13,12 @@ How hot lists stay harmless without losing a link:
   at the threshold would have to share under half of its sketch values, 4.6 deviations away for
   k = 64). A passage that many documents repeat comes last in the order and is listed only for
   documents that consist of it.
-- In each list every node is first compared with the smallest node of its list. Near copies of
-  one text end up in one component that way, by one link each. After that only pairs from
-  different components are compared: all of them, so components are complete. Long lists are
-  compared in blocks inside tasks, and only pairs that the estimate passes leave the task.
+- In each list every node is first compared with the smallest node of its list, the head. Near
+  copies of one text end up in one component that way, by one link each. After that only pairs of
+  different components are compared: all of them, so components are complete. Lists with the same
+  head are taken together, as near copies share most of their lists. Large groups are compared in
+  blocks inside tasks, where a link makes one component of two and all their pairs needless: what
+  leaves a task is at most a link per node.
 
 Results: a document without words (or with a null text) has the empty set and links with nothing;
 with fewer words than a shingle the whole sequence is its one shingle. Rows without ``doc_id``
@@ -39,7 +41,8 @@ from tactile.llm.components import components
 
 MASK = (1 << 64) - 1
 SHORT = 0x9E3779B97F4A7C15
-LIST_ROWS = 512
+GROUP_ROWS = 64
+BLOCK_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -47,7 +50,8 @@ class Near:
     words: int = 5
     k: int = 64
     numerator: int = 75  # similarity of 75 of 100
-    list_rows: int = LIST_ROWS
+    group_rows: int = GROUP_ROWS  # up to this size, pairs of a group are listed
+    block_rows: int = BLOCK_ROWS
 
 
 DEFAULT = Near()
@@ -57,7 +61,7 @@ class _Hashes(dict):
     """Word hashes, kept for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -188,107 +192,153 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _texts(nids: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``nid, node, text`` of the column ``nid``; stored. A repeated ``doc_id`` may bring other
+    texts along, which ``own_set`` tells by ``node``."""
+    needed = store(nids.distinct().join(nodes, "nid").select("nid", "node", F.col("rep").alias("doc_id")), "needed")
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return store(whole.join(small(needed, needed.count()), "doc_id").select("nid", "node", "text"), "texts")
+
+
+def own_set(text: bytes, node: bytes, words: int) -> np.ndarray | None:
+    """The set of a text, None if it is not that of the node."""
+    hashes = shingle_sets([text], words)[0]
+    return hashes if digest(hashes) == node else None
+
+
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, doc_id: str, text: str) -> DataFrame:
     """Of ``pairs`` (``a, b`` of ``nid``), those whose full sets are similar enough; stored."""
     pairs = store(_estimated(pairs, nodes, how), "candidates")
-    needed = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    needed = store(needed.join(nodes, "nid").select("nid", "node", F.col("rep").alias("doc_id")), "needed")
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    texts = store(whole.join(small(needed, needed.count()), "doc_id").select("nid", "node", "text"), "texts")
+    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid")))
+    texts = _texts(ends, nodes, docs, doc_id, text)
     rows = pairs
     for end in ("a", "b"):
         own = texts.select(*[F.col(c).alias(f"{c}_{end}") for c in ("nid", "node", "text")])
         rows = rows.join(own, F.col(end) == F.col(f"nid_{end}")).drop(f"nid_{end}")
 
     def run(batches):
-        from tactile.llm.neardup import digest, shingle_sets, similar
-
-        @lru_cache(maxsize=512)
-        def own_set(text: bytes) -> tuple[np.ndarray, bytes]:
-            hashes = shingle_sets([text], how.words)[0]
-            return hashes, digest(hashes)
+        from tactile.llm import neardup
 
+        kept_set = lru_cache(maxsize=64)(lambda text, node: neardup.own_set(text, node, how.words))
         for batch in batches:
             column = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             keep = []
             for i in range(batch.num_rows):
-                (x, dx), (y, dy) = (own_set(column[f"text_{end}"][i].as_py()) for end in "ab")
-                # A repeated doc_id brings other texts along; they are not this node's.
-                own = dx == column["node_a"][i].as_py() and dy == column["node_b"][i].as_py()
-                keep.append(own and similar(x, y, how.numerator))
+                x, y = (kept_set(column[f"text_{end}"][i].as_py(), column[f"node_{end}"][i].as_py()) for end in "ab")
+                keep.append(x is not None and y is not None and neardup.similar(x, y, how.numerator))
             rows = pa.RecordBatch.from_arrays([column["a"], column["b"]], ["a", "b"])
             yield rows.filter(pa.array(keep, pa.bool_()))
 
     return store(rows.mapInArrow(run, "a long, b long").distinct(), "confirmed")
 
 
-def _pivots(lists: DataFrame, how: Near) -> DataFrame:
-    """For each node, the first node of a list that it shares most lists with."""
+def _grouped(lists: DataFrame) -> DataFrame:
+    """``head, head_n, nid, n, shared``: for each node the heads of its lists, with how many lists
+    lead to each; stored. Nodes of one list have its head in common."""
     heads = store(lists.groupBy("value").agg(F.min(F.struct("nid", "n")).alias("head")), "heads")
-    rows = lists.join(heads, "value").select("nid", "n", F.col("head.nid").alias("head"), F.col("head.n").alias("head_n"))
-    rows = rows.where((F.col("nid") != F.col("head")) & _alike("n", "head_n", how))
-    rows = rows.groupBy("nid", "head").agg(F.count(F.lit(1)).alias("shared"))
+    rows = lists.join(heads, "value").groupBy(F.col("head.nid").alias("head"), F.col("head.n").alias("head_n"), "nid", "n")
+    return store(rows.agg(F.count(F.lit(1)).alias("shared")), "groups")
+
+
+def _pivots(groups: DataFrame, how: Near) -> DataFrame:
+    """For each node, the head that it shares most lists with."""
+    rows = groups.where((F.col("nid") != F.col("head")) & _alike("n", "head_n", how))
     best = rows.groupBy("nid").agg(F.max(F.struct("shared", (-F.col("head")).alias("first"))).alias("best"))
     return best.select((-F.col("best.first")).alias("a"), F.col("nid").alias("b"))
 
 
-def _apart(lists: DataFrame, labels: DataFrame | None, how: Near) -> DataFrame:
-    """The lists that still hold nodes of more than one component, with each node's label."""
-    rows = lists.withColumn("label", F.col("nid"))
+def _apart(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The groups that still hold nodes of more than one component, with each node's label."""
+    rows = groups.select("head", "nid", "n").withColumn("label", F.col("nid"))
     if labels is not None:
         found = labels.select(F.col("node").alias("nid"), F.col("label").alias("_label"))
-        rows = lists.join(found, "nid", "left").withColumn("label", F.coalesce("_label", "nid")).drop("_label")
+        rows = rows.join(found, "nid", "left").withColumn("label", F.coalesce("_label", "nid")).drop("_label")
     rows = store(rows, "labelled")
-    open_lists = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    open_lists = store(open_lists.where("lo <> hi").select("value", "size"), "open")
-    return store(rows.join(open_lists, "value"), "apart")
+    still = rows.groupBy("head").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return store(rows.join(store(still.where("lo <> hi").select("head", "size"), "open"), "head"), "apart")
 
 
 def _pairs(apart: DataFrame, how: Near) -> DataFrame:
-    """All pairs of different components in short lists."""
-    rows = apart.where(F.col("size") <= how.list_rows)
-    left = rows.select("value", *[F.col(c).alias(f"{c}_a") for c in ("nid", "n", "label")])
-    right = rows.select("value", *[F.col(c).alias(f"{c}_b") for c in ("nid", "n", "label")])
-    pairs = left.join(right, "value").where(
+    """All pairs of different components in small groups."""
+    rows = apart.where(F.col("size") <= how.group_rows)
+    left = rows.select("head", *[F.col(c).alias(f"{c}_a") for c in ("nid", "n", "label")])
+    right = rows.select("head", *[F.col(c).alias(f"{c}_b") for c in ("nid", "n", "label")])
+    pairs = left.join(right, "head").where(
         (F.col("nid_a") < F.col("nid_b")) & (F.col("label_a") != F.col("label_b")) & _alike("n_a", "n_b", how)
     )
     return pairs.select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
 
 
-def _block_pairs(apart: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
-    """Pairs of different components in long lists: blocks of the list meet in tasks, where the
-    sketches are compared; only pairs that may be links come out."""
-    rows = apart.where(F.col("size") > how.list_rows).join(nodes.select("nid", "sketch"), "nid")
-    blocks = F.ceil(F.col("size") / how.list_rows).cast("int")
+class Shared:
+    """How many values a set shares with each of some sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.values = flat[order]
+        self.owners = np.repeat(np.arange(self.n), [len(s) for s in sets])[order]
+
+    def counts(self, values: np.ndarray) -> np.ndarray:
+        first, last = (np.searchsorted(self.values, values, side) for side in ("left", "right"))
+        hit = first < last
+        owners = [self.owners[a:b] for a, b in zip(first[hit], last[hit], strict=True)]
+        return np.bincount(np.concatenate(owners), minlength=self.n) if owners else np.zeros(self.n, np.int64)
+
+
+def joins(left: list[int], right: list[int], sets: list[np.ndarray], label: list[int], how: Near) -> list[tuple[int, int]]:
+    """Links between places ``left`` and ``right`` that join components: enough of them that every
+    link between the two sides is inside a component. Sets are whole, so this is exact."""
+    parent = {x: x for x in label}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sketch = [s[: how.k] for s in sets]
+    shared, found = Shared([sketch[j] for j in right]), []
+    sizes = np.array([len(sets[j]) for j in right])
+    for i in left:
+        n = len(sets[i])
+        fits = 100 * np.minimum(sizes, n) >= how.numerator * np.maximum(sizes, n)
+        fits &= np.array([root(label[j]) for j in right]) != root(label[i])
+        if not fits.any():
+            continue
+        counts = shared.counts(sketch[i])
+        # A link needs about half of the sketch in common (see above); likely ones come first.
+        for at in sorted(np.flatnonzero(fits & (counts >= 0.4 * len(sketch[i]))), key=lambda at: -counts[at]):
+            j = right[at]
+            if root(label[i]) != root(label[j]) and similar(sets[i], sets[j], how.numerator):
+                parent[max(root(label[i]), root(label[j]))] = min(root(label[i]), root(label[j]))
+                found.append((i, j))
+    return found
+
+
+def _block_links(apart: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, doc_id: str, text: str) -> DataFrame:
+    """Links between components in large groups: blocks of a group meet in tasks."""
+    rows = apart.where(F.col("size") > how.group_rows)
+    texts = _texts(rows.select("nid"), nodes, docs, doc_id, text)
+    blocks = F.ceil(F.col("size") / how.block_rows).cast("int")
     own = F.pmod(F.xxhash64("nid"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = rows.select("value", "nid", "n", "label", "sketch", own.alias("own"), other.alias("other"))
-    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    slack = how.numerator / 100 - 4.6 * (0.75 * 0.25 / how.k) ** 0.5
+    rows = rows.select("head", "nid", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
 
     def meet(table: pa.Table) -> pa.Table:
-        from tactile.llm.neardup import union_estimate
+        from tactile.llm import neardup
 
-        nid, n, label = (table.column(c).to_numpy() for c in ("nid", "n", "label"))
-        own = table.column("own").to_numpy()
+        nid, label, own = (table.column(c).to_pylist() for c in ("nid", "label", "own"))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        values = [np.asarray(s).view(np.uint64) for s in table.column("sketch").to_pylist()]
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        flat = np.concatenate([values[j] for j in right]) if len(right) else np.zeros(0, np.uint64)
-        place = np.repeat(np.arange(len(right)), [len(values[j]) for j in right])
-        a, b = [], []
-        for i in left:
-            # How many values each node of the other block shares with this one.
-            shared = np.bincount(place[np.isin(flat, values[i])], minlength=len(right))
-            fits = (label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= how.numerator * np.maximum(n[right], n[i]))
-            for j in right[fits & (2 * shared >= 0.8 * np.minimum(len(values[i]), how.k))]:
-                if (lo != hi or nid[i] < nid[j]) and union_estimate(values[i], values[j], how.k) >= slack:
-                    a.append(min(nid[i], nid[j]))
-                    b.append(max(nid[i], nid[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    met = rows.groupBy("value", "lo", "hi").applyInArrow(meet, "a long, b long")
-    return met.distinct()
+        sets = [
+            neardup.own_set(t.as_py(), n.as_py(), how.words) for t, n in zip(table.column("text"), table.column("node"), strict=True)
+        ]
+        left, right = ([i for i, b in enumerate(own) if b == x and sets[i] is not None] for x in (lo, hi))
+        found = neardup.joins(left, right, sets, label, how)
+        ends = [[min(nid[i], nid[j]) for i, j in found], [max(nid[i], nid[j]) for i, j in found]]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    met = rows.join(texts, "nid").groupBy("head", "lo", "hi").applyInArrow(meet, "a long, b long")
+    return store(met.distinct(), "met")
 
 
 def near_duplicates(docs: DataFrame, how: Near = DEFAULT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,16 +349,14 @@ def near_duplicates(docs: DataFrame, how: Near = DEFAULT, doc_id: str = "doc_id"
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     nodes = store(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    lists = store(listed(nodes, how), "lists")
-
-    links = confirm(_pivots(lists, how), nodes, docs, how, doc_id, text)
+    groups = _grouped(store(listed(nodes, how), "lists"))
+    links = confirm(_pivots(groups, how), nodes, docs, how, doc_id, text)
     labels = components(links) if links.limit(1).count() else None
-    apart = _apart(lists, labels, how)
-    rest = _pairs(apart, how)
-    if apart.where(F.col("size") > how.list_rows).limit(1).count():
-        rest = rest.unionByName(_block_pairs(apart, nodes, how)).distinct()
-    tried = rest.join(links, ["a", "b"], "left_anti")
+    apart = _apart(groups, labels)
+    tried = _pairs(apart, how).join(links, ["a", "b"], "left_anti")
     more = confirm(tried, nodes, docs, how, doc_id, text)
+    if apart.where(F.col("size") > how.group_rows).limit(1).count():
+        more = more.unionByName(_block_links(apart, nodes, docs, how, doc_id, text))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 

@@ -80,7 +80,7 @@ def test_long_lists_meet_in_blocks(spark):
     data = _families(4, 4, extra)
     docs = spark.createDataFrame(data, "doc_id long, text string")
     expected = _brute(data)
-    assert _found(neardup.near_duplicates(docs, neardup.Near(list_rows=10))) == expected
+    assert _found(neardup.near_duplicates(docs, neardup.Near(group_rows=5, block_rows=10))) == expected
     assert _found(neardup.near_duplicates(docs)) == expected
 
 
