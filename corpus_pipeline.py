@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, text, ids, n_tokens``; the text is decoded from the ids."""
     ship(spark)
     vocab = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocab), vocab)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocab)
     return coded.select(
         "doc_id",
         "lang",

@@ -68,7 +68,7 @@ class Vocabulary:
 
 
 class Encoder:
-    MOST_PIECES = 400_000
+    MOST_PIECES = 250_000
     MOST_PAIRS = 1_000_000
 
     def __init__(self, vocabulary: Vocabulary):
@@ -204,41 +204,72 @@ def _encoder(shared) -> Encoder:
     return _WORKER[key]
 
 
+def _encoded(batches, encoder: Encoder, text: str, ids: str, names: list[str]):
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(text))
+        # A few rows at a time: ids of a whole batch of long texts need not be held as objects.
+        for start in range(0, batch.num_rows, 256):
+            part = texts.slice(start, 256)
+            column = pa.array([encoder.encode(t.as_py() or "") for t in part], pa.list_(pa.int32()))
+            rows = batch.slice(start, 256)
+            kept = [rows.column(rows.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, column], [*names, ids])
+
+
+def _decoded(batches, pieces: dict[int, bytes], ids: str, out: str, names: list[str]):
+    piece = pieces.__getitem__
+    for batch in batches:
+        rows = batch.column(batch.schema.get_field_index(ids))
+        column = pa.array([b"".join(map(piece, r.as_py() or ())) for r in rows], pa.binary())
+        kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
+        yield pa.RecordBatch.from_arrays([*kept, column], [*names, out])
+
+
+def _ids_schema(df: DataFrame, text: str, ids: str, keep_text: bool) -> T.StructType:
+    kept = [df.schema[c] for c in df.columns if c != ids and (keep_text or c != text)]
+    return T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+
+
 def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids", keep_text: bool = False) -> DataFrame:
     """``df`` with a column of token ids, without the text unless ``keep_text``."""
     shared = df.sparkSession.sparkContext.broadcast(vocab)
-    names = [c for c in df.columns if c != ids and (keep_text or c != text)]
-    fields = [df.schema[c] for c in names] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    schema = _ids_schema(df, text, ids, keep_text)
+    names = schema.names[:-1]
 
     def run(batches):
-        from tactile.llm.bpe import _encoder
+        from tactile.llm import bpe
 
-        encoder = _encoder(shared)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            # A few rows at a time: ids of a whole batch of long texts need not be held as objects.
-            for start in range(0, batch.num_rows, 256):
-                part = texts.slice(start, 256)
-                column = pa.array([encoder.encode(t.as_py() or "") for t in part], pa.list_(pa.int32()))
-                rows = batch.slice(start, 256)
-                kept = [rows.column(rows.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*kept, column], [*names, ids])
+        return bpe._encoded(batches, bpe._encoder(shared), text, ids, names)
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids stand for."""
     shared = df.sparkSession.sparkContext.broadcast(vocab.pieces)
     names = [c for c in df.columns if c != out]
-    fields = [df.schema[c] for c in names] + [T.StructField(out, T.BinaryType(), False)]
+    schema = T.StructType([*[df.schema[c] for c in names], T.StructField(out, T.BinaryType(), False)])
 
     def run(batches):
-        piece = shared.value.__getitem__
-        for batch in batches:
-            rows = batch.column(batch.schema.get_field_index(ids))
-            column = pa.array([b"".join(map(piece, r.as_py() or ())) for r in rows], pa.binary())
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, column], [*names, out])
-
-    return df.mapInArrow(run, T.StructType(fields))
+        from tactile.llm import bpe
+
+        return bpe._decoded(batches, shared.value, ids, out, names)
+
+    return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its ids, by one worker: ids and their bytes for each row."""
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
+    coded = _ids_schema(df.drop(out), text, ids, False)
+    schema = T.StructType([*coded, T.StructField(out, T.BinaryType(), False)])
+    names = coded.names[:-1]
+
+    def run(batches):
+        from tactile.llm import bpe
+
+        encoder = bpe._encoder(shared)
+        coded_batches = bpe._encoded(batches, encoder, text, ids, names)
+        return bpe._decoded(coded_batches, encoder.pieces, ids, out, [*names, ids])
+
+    return df.mapInArrow(run, schema)

@@ -96,7 +96,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     vocab = bpe.vocabulary(ranks or public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, vocab), vocab)
+    coded = bpe.round_trip(docs, vocab)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
