@@ -148,24 +148,24 @@ def ngram_blocks(texts: DataFrame, how: Lm, n_segments: int) -> DataFrame:
     """``segment, keys, counts``: counted n-gram hashes of a few texts, as sorted blocks."""
 
     def run(batches):
-        from tactile.llm.lm import ENTRIES_PER_BLOCK, Hashes, _flat, ngrams
+        from tactile.llm.lm import ENTRIES_PER_BLOCK, Hashes, _flat, ngrams, segment_of
 
         known = Hashes()
         held: list[np.ndarray] = []
 
         def rows():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.concatenate(held)
             held.clear()
-            segment = keys % np.uint64(n_segments)
-            order = np.argsort(segment, kind="stable")
-            keys, counts, segment = keys[order], counts[order], segment[order]
-            cuts = np.searchsorted(segment, np.arange(n_segments + 1, dtype=np.uint64))
+            keys, counts = np.unique(keys, return_counts=True)
+            counts = counts.astype(np.uint32)
+            # Sorted keys are sorted by segment.
+            cuts = np.searchsorted(segment_of(keys, n_segments), np.arange(n_segments + 1))
             used = [s for s in range(n_segments) if cuts[s] < cuts[s + 1]]
             return pa.RecordBatch.from_pydict(
                 {
                     "segment": pa.array(used, pa.int32()),
                     "keys": pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary()),
-                    "counts": pa.array([counts[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in used], pa.binary()),
+                    "counts": pa.array([counts[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary()),
                 }
             )
 
@@ -181,6 +181,11 @@ def ngram_blocks(texts: DataFrame, how: Lm, n_segments: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "segment int, keys binary, counts binary")
 
 
+def segment_of(keys: np.ndarray, n_segments: int) -> np.ndarray:
+    """The leading bits of the keys; ``n_segments`` is a power of two."""
+    return (keys >> np.uint64(65 - n_segments.bit_length())).astype(np.int32)
+
+
 def positions(keys: np.ndarray, level: int, how: Lm, probe: int, sizes: np.ndarray) -> np.ndarray:
     """Bit of a segment for each key at a level."""
     step = mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
@@ -263,11 +268,10 @@ class Filter:
         """Which keys the filter holds at a level; a key that misses a probe is not probed again."""
         if self.name is None:
             return np.zeros(0, np.int64)
-        segment = (keys % np.uint64(self.n_segments)).astype(np.int64)
-        alive = np.flatnonzero(self.sizes[segment])
+        alive = np.flatnonzero(self.sizes[segment_of(keys, self.n_segments)])
         for i in range(self.how.probes):
             part = keys[alive]
-            segment = (part % np.uint64(self.n_segments)).astype(np.int64)
+            segment = segment_of(part, self.n_segments)
             bit = self.offsets[segment] + positions(part, level, self.how, i, self.sizes[segment])
             alive = alive[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
         return alive
