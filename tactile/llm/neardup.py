@@ -42,7 +42,7 @@ from tactile.llm.components import components
 MASK = (1 << 64) - 1
 SHORT = 0x9E3779B97F4A7C15
 GROUP_ROWS = 64
-BLOCK_ROWS = 256
+BLOCK_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -316,7 +316,7 @@ def joins(left: list[int], right: list[int], sets: list[np.ndarray], label: list
 
 
 def _block_links(apart: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, doc_id: str, text: str) -> DataFrame:
-    """Links between components in large groups: blocks of a group meet in tasks."""
+    """Links between components (their labels) in large groups: blocks of a group meet in tasks."""
     rows = apart.where(F.col("size") > how.group_rows)
     texts = _texts(rows.select("nid"), nodes, docs, doc_id, text)
     blocks = F.ceil(F.col("size") / how.block_rows).cast("int")
@@ -327,14 +327,15 @@ def _block_links(apart: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near,
     def meet(table: pa.Table) -> pa.Table:
         from tactile.llm import neardup
 
-        nid, label, own = (table.column(c).to_pylist() for c in ("nid", "label", "own"))
+        label, own = (table.column(c).to_pylist() for c in ("label", "own"))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         sets = [
             neardup.own_set(t.as_py(), n.as_py(), how.words) for t, n in zip(table.column("text"), table.column("node"), strict=True)
         ]
         left, right = ([i for i, b in enumerate(own) if b == x and sets[i] is not None] for x in (lo, hi))
         found = neardup.joins(left, right, sets, label, how)
-        ends = [[min(nid[i], nid[j]) for i, j in found], [max(nid[i], nid[j]) for i, j in found]]
+        # Components are named by one of their nodes: tasks that join the same two say the same.
+        ends = [[f(label[i], label[j]) for i, j in found] for f in (min, max)]
         return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
 
     met = rows.join(texts, "nid").groupBy("head", "lo", "hi").applyInArrow(meet, "a long, b long")
