@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tactile.functions import braille, geometry, text as txt
 from tactile.operators import calibration, capture, frames, layout, pages, results
-from tactile.operators.ordered import Bound
+from tactile.operators.ordered import BROADCAST_KEYS, Bound
 from tactile.operators.sessions import Hold, Throttle
 from tactile.plans import derive
 from tactile.session import new_folder
@@ -178,8 +178,11 @@ def image_summary(spark, sf_dir):
 
 
 def _readable_boxes(spark, sf_dir):
-    done, _ = calibration.quarantine(derive.images(spark, sf_dir))
-    return boxes(spark, sf_dir).join(done.select("image"), "image", "left_semi")
+    _, failed = calibration.quarantine(derive.images(spark, sf_dir))
+    failed = failed.select("image")
+    if failed.count() <= BROADCAST_KEYS:
+        failed = F.broadcast(failed)
+    return boxes(spark, sf_dir).join(failed, "image", "left_anti")
 
 
 def _calibration_rows(spark, sf_dir):
