@@ -7,12 +7,14 @@ small a one. Smoothed probabilities come from those probes alone:
 
     p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),    p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m)
 
-The filter is built in segments by hash, each by one task from compact blocks of counted hashes,
-and goes to the workers as one file (``SparkContext.addFile``): a machine fetches it once, and its
-Python workers map it into memory together. It has ``bits_per_entry`` bits for each level of each n-gram; those are at most
-``order`` times the tokens, so fewer bits are taken where ``max_bytes`` could be exceeded. A corpus
-beyond that fills the filter more densely: no n-gram is left out, and false positives become more
-frequent (with b bits an entry and k probes about (1 - exp(-k/b))^k a level).
+The filter is built in segments by hash, each by one task from compact blocks of counted hashes.
+A segment has ``bits_per_entry`` bits for each level of each n-gram it holds, whatever the corpus,
+so false positives are as frequent for any number of tokens (with b bits an entry and k probes
+about (1 - exp(-k/b))^k a level) and the filter grows with the corpus. Runs of segments are written
+as files of about ``max_bytes``, each by a task of its own, and go to the workers
+(``SparkContext.addFile``): a machine fetches them once, and its Python workers map them into
+memory together. Mapped pages can be dropped at any time; a machine needs the disk for the filter,
+and is faster if it has free memory for it.
 
 The base score takes exact counts. Words that are frequent, at most ``frequent_words`` of them, go
 to the workers; the counts of the others are joined.
@@ -192,8 +194,8 @@ def positions(keys: np.ndarray, level: int, how: Lm, probe: int, sizes: np.ndarr
     return ((mix(keys + step * np.uint64(level * how.probes + probe + 1))) % sizes.astype(np.uint64)).astype(np.int64)
 
 
-def build(blocks: DataFrame, how: Lm, bits_per_entry: float) -> DataFrame:
-    """``segment, bits``: the slices of the filter, one task each."""
+def build(blocks: DataFrame, how: Lm) -> DataFrame:
+    """``segment, size, bits``: the slices of the filter, one task each."""
 
     def one(table: pa.Table) -> pa.Table:
         from tactile.llm.lm import codebook, positions
@@ -206,85 +208,107 @@ def build(blocks: DataFrame, how: Lm, bits_per_entry: float) -> DataFrame:
         keys, counts = keys[first], np.add.reduceat(counts, first)
         level = np.searchsorted(codebook(how.growth), counts, side="right")
         entries = int(level.sum())
-        size = max(64, int(entries * bits_per_entry) + 63 & ~63)
+        size = max(64, int(entries * how.bits_per_entry) + 63 & ~63)
         bits = np.zeros(size, bool)
         for j in range(int(level.max())):
             keys, level = keys[level > j], level[level > j]
             for i in range(how.probes):
                 bits[positions(keys, j, how, i, np.array(size))] = True
         packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"segment": table.column("segment")[:1], "bits": pa.array([packed], pa.binary())})
+        return pa.table({"segment": table.column("segment")[:1], "size": pa.array([len(packed)], pa.int64()), "bits": pa.array([packed], pa.binary())})
 
-    return blocks.groupBy("segment").applyInArrow(one, "segment int, bits binary")
+    return blocks.groupBy("segment").applyInArrow(one, "segment int, size long, bits binary")
 
 
 def share(slices_of: DataFrame, n_segments: int, how: Lm) -> Filter:
-    """Join the slices to one file in the shared folder and send it to all machines."""
+    """Join the slices to files in the shared folder and send them to all machines."""
     spark = slices_of.sparkSession
     folder = new_folder(spark, "filter")
+    kind = pa.schema([("file", pa.int32()), ("name", pa.string()), ("segment", pa.int32()), ("size", pa.int64())])
 
     def run(batches):
         store_fs, base = fs.FileSystem.from_uri(folder)
         store_fs.create_dir(base, recursive=True)
-        name = f"{uuid.uuid4().hex}.bits"
-        segments, sizes = [], []
-        with store_fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+        file, name, out = None, "", None
+        try:
             for batch in batches:
-                for segment, bits in zip(batch.column(0), batch.column(1), strict=True):
+                rows = []
+                for own, segment, bits in zip(*batch.columns, strict=True):
+                    if own.as_py() != file:
+                        if out is not None:
+                            out.close()
+                        file, name = own.as_py(), f"{uuid.uuid4().hex}.bits"
+                        out = store_fs.open_output_stream(f"{base}/{name}", compression=None)
                     data = bits.as_buffer()
                     out.write(data)
-                    segments.append(segment.as_py())
-                    sizes.append(data.size)
-        columns = [pa.array([name] * len(sizes), pa.string()), pa.array(segments, pa.int32()), pa.array(sizes, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["name", "segment", "size"])
-
-    # At most max_bytes, whatever the corpus: one task may join them.
-    written = slices_of.orderBy("segment").coalesce(1).mapInArrow(run, "name string, segment int, size long")
-    rows = store(written, "slices").orderBy("segment").collect()
+                    rows.append({"file": file, "name": name, "segment": segment.as_py(), "size": data.size})
+                yield pa.RecordBatch.from_pylist(rows, kind)
+        finally:
+            if out is not None:
+                out.close()
+
+    size = slices_of.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n_files = min(n_segments, max(1, math.ceil(size / how.max_bytes)))
+    # Segments are by hash, so runs of as many segments are about as large.
+    per_file = math.ceil(n_segments / n_files)
+    n_files = math.ceil(n_segments / per_file)
+    files = slices_of.withColumn("file", F.floor(F.col("segment") / per_file).cast("int"))
+    # One file: read in order by one task, without dealing the slices out again.
+    ordered = files.orderBy("segment").coalesce(1) if n_files == 1 else files.repartition(n_files, "file").sortWithinPartitions("segment")
+    written = ordered.select("file", "segment", "bits").mapInArrow(run, "file int, name string, segment int, size long")
     sizes = np.zeros(n_segments, np.int64)
-    for row in rows:
+    names: list[str | None] = [None] * n_files
+    for row in store(written, "slices").collect():
         sizes[row["segment"]] = row["size"]
-    if rows:
-        spark.sparkContext.addFile(f"{folder}/{rows[0]['name']}")
-    return Filter(rows[0]["name"] if rows else None, 8 * sizes, how)
+        names[row["file"]] = row["name"]
+    for name in names:
+        if name is not None:
+            spark.sparkContext.addFile(f"{folder}/{name}")
+    return Filter(names, 8 * sizes, per_file, how)
 
 
 class Filter:
-    """The filter as workers see it; ``name`` is its file, None for a filter that holds nothing."""
+    """The filter as workers see it. ``names`` are its files, of ``per_file`` segments each, None for
+    one that holds nothing; ``sizes`` the bits of each segment."""
 
-    def __init__(self, name: str | None, sizes: np.ndarray, how: Lm):
-        self.name, self.sizes, self.how = name, sizes, how
+    def __init__(self, names: list[str | None], sizes: np.ndarray, per_file: int, how: Lm):
+        self.names, self.sizes, self.per_file, self.how = names, sizes, per_file, how
         self.n_segments = len(sizes)
-        self.offsets = np.cumsum(sizes) - sizes
-        self._bits: np.ndarray | None = None
-
-    @property
-    def bits(self) -> np.ndarray:
-        if self._bits is None:
-            self._bits = np.memmap(SparkFiles.get(self.name), np.uint8, mode="r")
-        return self._bits
-
-    def _held(self, keys: np.ndarray, level: int) -> np.ndarray:
-        """Which keys the filter holds at a level; a key that misses a probe is not probed again."""
-        if self.name is None:
-            return np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        first = np.arange(len(sizes)) // per_file * per_file
+        self.offsets = ends - sizes - (ends - sizes)[first]  # in the segment's file
+        self._bits: dict[int, np.ndarray] = {}
+
+    def bits(self, file: int) -> np.ndarray:
+        if file not in self._bits:
+            self._bits[file] = np.memmap(SparkFiles.get(self.names[file]), np.uint8, mode="r")
+        return self._bits[file]
+
+    def _held(self, keys: np.ndarray, level: int, file: int) -> np.ndarray:
+        """Which keys, all of one file, the filter holds at a level; a key that misses a probe is not
+        probed again."""
+        bits = self.bits(file)
         alive = np.flatnonzero(self.sizes[segment_of(keys, self.n_segments)])
         for i in range(self.how.probes):
             part = keys[alive]
             segment = segment_of(part, self.n_segments)
             bit = self.offsets[segment] + positions(part, level, self.how, i, self.sizes[segment])
-            alive = alive[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+            alive = alive[(bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
         return alive
 
     def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
         """The quantised count of each key, by probes from the first level up."""
         found = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        for level in range(most):
-            if not len(alive):
-                break
-            alive = alive[self._held(keys[alive], level)]
-            found[alive] += 1
+        file_of = segment_of(keys, self.n_segments) // self.per_file
+        order = np.argsort(file_of, kind="stable")
+        cuts = np.searchsorted(file_of[order], np.arange(len(self.names) + 1))
+        for file, name in enumerate(self.names):
+            alive = order[cuts[file] : cuts[file + 1]]
+            for level in range(most if name is not None else 0):
+                if not len(alive):
+                    break
+                alive = alive[self._held(keys[alive], level, file)]
+                found[alive] += 1
         return found
 
 
@@ -313,9 +337,7 @@ def train(docs: DataFrame, how: Lm = DEFAULT, text: str = "text") -> Model:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n_segments = min(MOST_SEGMENTS, 1 << max(3, math.ceil(math.log2(max(1, size) / SEGMENT_BYTES + 1))))
-    # An n-gram counted c times has at most c levels.
-    bits = min(how.bits_per_entry, 8 * how.max_bytes / max(1, how.order * total))
-    built = share(store(build(ngram_blocks(texts, how, n_segments), how, bits), "bits"), n_segments, how)
+    built = share(store(build(ngram_blocks(texts, how, n_segments), how), "bits"), n_segments, how)
 
     # Smallest power of two from which on the words are few enough to be sent.
     by_size = counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("words")).collect()

@@ -84,6 +84,24 @@ def test_filter_never_counts_too_few(spark):
     assert (model.filter.levels(strange, len(book)) > 0).mean() < 0.05
 
 
+def test_filter_stays_sharp_where_it_outgrows_a_file(spark):
+    how = lm.Lm(max_bytes=4096)
+    texts = [(" ".join(f"w{i}x{j}" for j in range(50)),) for i in range(400)]
+    model = lm.train(spark.createDataFrame(texts, "text string"), how)
+    assert model.filter.sizes.sum() >= 9 * 40_000 and len(model.filter.names) > 4
+    book, known = lm.codebook(how.growth), lm.Hashes()
+    seen = lm.ngrams(np.array([known[w.encode()] for (t,) in texts for w in t.split()], np.uint64), np.repeat(np.arange(0, 20_000, 50), 50), 2)
+    for keys in seen:
+        found = model.filter.levels(keys, len(book))
+        assert (found >= 1).all() and (found == 1).mean() > 0.95
+    strange = np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64)
+    assert (model.filter.levels(strange, len(book)) > 0).mean() < 0.05
+    whole = lm.train(spark.createDataFrame(texts, "text string"))
+    assert len(whole.filter.names) == 1
+    for keys in (*seen, strange):
+        assert (whole.filter.levels(keys, len(book)) == model.filter.levels(keys, len(book))).all()
+
+
 def test_model_knows_what_it_has_read(spark):
     found = queries.op2_lm_score(spark, "/root/testdata/sf0.01")
     known, own = found.where("not held_out").agg(F.avg(F.col("score") / F.col("n_tokens")), F.avg(F.col("base_score") / F.col("n_tokens"))).first()
