@@ -17,7 +17,8 @@ memory together. Mapped pages can be dropped at any time; a machine needs the di
 and is faster if it has free memory for it.
 
 The base score takes exact counts. Words that are frequent, at most ``frequent_words`` of them, go
-to the workers; the counts of the others are joined.
+to the workers; the counts of the others are joined. A word of more than ``LONG_WORD`` bytes is
+counted by its SHA-256, so what is sent, kept and joined has a bound in bytes.
 
 Results: a null or blank text is one end token. Rows without ``doc_id`` belong to the rows whose
 remainder is 0. Without training rows N and V are 0, and every base score is 0. Repeated rows are
@@ -26,6 +27,7 @@ scored each. Texts of any length are scored whole; memory follows a slice of tex
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from dataclasses import dataclass
@@ -44,6 +46,7 @@ END = b"\n"  # white space is in no word
 SEGMENT_BYTES = 8 << 20
 MOST_SEGMENTS = 1 << 16
 ENTRIES_PER_BLOCK = 3 << 20
+LONG_WORD = 64
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
 
 
@@ -89,9 +92,11 @@ class Hashes(dict):
     """Word hashes, kept for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -99,6 +104,11 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text.lower().split() if text else ()), END]
 
 
+def short(words: list[bytes]) -> list[bytes]:
+    """Words as they are counted: a long one by its digest, after white space as in no word."""
+    return [w if len(w) <= LONG_WORD else END + hashlib.sha256(w).digest() for w in words]
+
+
 def ngrams(hashes: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
     """For n = 1 to ``order``, the hash of the n-gram that ends at each token. Texts follow each
     other; what is before the first token of a text is ends."""
@@ -123,12 +133,12 @@ def _flat(texts: list[bytes | None], known: dict) -> tuple[np.ndarray, np.ndarra
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, n`` over the binary column ``text``; the end token is counted too."""
+    """``word, n`` over the binary column ``text``, words as in ``short``; the end token is counted too."""
 
     def run(batches):
         from collections import Counter
 
-        from tactile.llm.lm import tokens
+        from tactile.llm.lm import short, tokens
 
         def rows(counts):
             return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -137,7 +147,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for _, part in text_slices(batch.column(0)):
                 for text in part.to_pylist():
-                    counts.update(tokens(text))
+                    counts.update(short(tokens(text)))
                 if len(counts) > 500_000:
                     yield rows(counts)
                     counts = Counter()
@@ -358,7 +368,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     total, everything = model.total, model.mass_of_all
 
     def run(batches):
-        from tactile.llm.lm import Hashes, codebook, middles, ngrams, tokens
+        from tactile.llm.lm import Hashes, codebook, middles, ngrams, short, tokens
 
         bloom, words = shared.value
         frequent = dict(zip(words.column(0).to_pylist(), np.log10(words.column(1).to_numpy() + how.add).tolist(), strict=True))
@@ -385,7 +395,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                     p = (np.minimum(counts[n], history) + how.mass * p) / (history + how.mass)
                 scores = np.add.reduceat(np.minimum(0.0, np.log10(p)), firsts)
                 base, rare, n_frequent = [], [], []
-                for r in rows:
+                for r in map(short, rows):
                     terms = [frequent.get(w) for w in r]
                     others = [w for w, t in zip(r, terms, strict=True) if t is None]
                     base.append(sum(t for t in terms if t is not None))

@@ -45,6 +45,16 @@ def test_base_score_equals_brute_force(spark, tmp_path, frequent):
     assert _base(found) == _brute(rows())
 
 
+def test_words_sent_to_workers_are_short(spark):
+    long = ["x" * 65, "y" * 64, "z" * 300_000, "Z" * 299_999 + "a"]
+    data = [(i, " ".join(long[: 1 + i % 4]) + " end") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("held_out", queries.remainder(F.col("doc_id"), 10) == 0)
+    model = lm.train(docs.where("not held_out"))
+    assert max(map(len, model.frequent.column("word").to_pylist())) <= 64
+    found = lm.score(docs, model, ["doc_id", "held_out"]).withColumn("train_tokens", F.lit(model.total)).collect()
+    assert _base(found) == _brute(data)
+
+
 def test_query_and_edges(spark, tmp_path):
     found = queries.op2_lm_score(spark, save(spark, tmp_path)).collect()
     assert _base(found) == _brute(rows())
