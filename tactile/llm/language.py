@@ -6,9 +6,10 @@ which language. Learned transitions tie neighbours together, so code-switched te
 of each stretch; forward-backward gives every word its distribution over languages.
 
 The model is fitted on a bounded sample of labelled rows: ``docs_per_lang`` different texts per
-language of at most ``max_chars`` characters, the ones with the smallest hashes, cut into lines
-that are joined across documents so that labels switch inside a sequence. Prediction reads whole
-texts.
+language, or all there are, the ones with the smallest hashes. Texts of more than ``max_chars``
+characters are taken where shorter ones do not suffice, with a part of that length. The texts are
+cut into lines that are joined across documents so that labels switch inside a sequence.
+Prediction reads whole texts.
 
 Results: a text that is null or has no letter is ``und`` with score 0; without any labelled row
 all texts are. Equal texts get equal results. Only the text decides a prediction.
@@ -25,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tactile.llm.common import store
+
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang string, score double, words long, switches long"
@@ -277,26 +280,43 @@ class Labeller:
 
 
 def sample(docs: DataFrame, text: str, lang: str, docs_per_lang: int, max_chars: int) -> list[tuple[str, str]]:
-    """Different labelled texts with the smallest hashes, at most ``docs_per_lang`` a language."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)
-    )
-    sizes = dict(rows.groupBy("lang").count().collect())
-    if not sizes:
+    """Different labelled texts with the smallest hashes, ``docs_per_lang`` a language or all there
+    are. Texts of more than ``max_chars`` fill up where others do not suffice, with a part each."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumns({"h": F.xxhash64("text"), "long": F.length("text") > max_chars})
+    # Copies count once: without text the rows are narrow, and combine before they are dealt out.
+    different = store(rows.select("lang", "long", "h").distinct(), "texts")
+    sizes = {(r["lang"], r["long"]): r["count"] for r in different.groupBy("lang", "long").count().collect()}
+    bounds: dict[tuple[str, bool], int] = {}
+    for own, long in sorted(sizes):
+        wanted = docs_per_lang - (min(docs_per_lang, sizes.get((own, False), 0)) if long else 0)
+        if wanted > 0:
+            # Twice the share that would do, so that chance leaves enough.
+            share = min(1.0, (2.0 * wanted + 50) / sizes[own, long])
+            bounds[own, long] = min(2**63 - 1, int(share * 2**64) - 2**63)
+    if not bounds:
         return []
-    # Twice the share that would do, so that copies and chance leave enough.
-    share = {lang: min(1.0, (2.0 * docs_per_lang + 50) / n) for lang, n in sizes.items()}
-    bound = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, int(s * 2**31))])
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(2**31)))
-    rows = rows.where(F.col("h") < bound[F.col("lang")]).dropDuplicates(["lang", "h"])
-    most = 3 * docs_per_lang * len(sizes) + 200 * len(sizes)
+    kind = F.concat("lang", F.col("long").cast("int").cast("string"))
+    bound = F.create_map(*[F.lit(x) for (own, long), most in bounds.items() for x in (f"{own}{int(long)}", most)])
+    first = different.where(F.col("h") <= bound[kind]).collect()
     taken: Counter = Counter()
-    out = []
-    for row in sorted(rows.orderBy("h").limit(most).collect(), key=lambda r: (r["h"], r["lang"])):
+    chosen = []
+    for row in sorted(first, key=lambda r: (r["long"], r["h"], r["lang"])):
         if taken[row["lang"]] < docs_per_lang:
             taken[row["lang"]] += 1
-            out.append((row["text"], row["lang"]))
-    return out
+            chosen.append((row["lang"], row["h"]))
+    # A part of a long text starts anywhere, by its hash.
+    part = F.substring("text", (F.pmod("h", F.length("text") - max_chars + 1) + 1).cast("int"), F.lit(max_chars))
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, h long")), ["lang", "h"], "left_semi")
+    rows = rows.select("lang", "h", "long", F.when(F.col("long"), part).otherwise(F.col("text")).alias("text"))
+    found = rows.dropDuplicates(["lang", "h"]).collect()
+    return [(whole_words(r["text"]) if r["long"] else r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["h"], r["lang"]))]
+
+
+def whole_words(part: str) -> str:
+    """A part of a text without the pieces of words at its ends, if it has white space."""
+    inside = re.search(r"\s.*\s", part, re.DOTALL)
+    return inside[0] if inside and not inside[0].isspace() else part
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 300, max_chars: int = 20_000) -> Model | None:

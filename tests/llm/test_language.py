@@ -75,3 +75,18 @@ def test_prediction_reads_only_the_text(spark):
     model = language.fit(docs, docs_per_lang=20)
     one = docs.select("text", language.identify(docs, model).alias("p")).distinct()
     assert one.count() == docs.select("text").distinct().count()
+
+
+def test_copies_and_long_texts_do_not_thin_the_sample(spark):
+    texts = [(f"text number {i}", "aa") for i in range(400)] + [(f"few {i}", "bb") for i in range(5)]
+    texts += [(f"short {i}", "dd") for i in range(3)] + [(f"{i} " + "lang texte " * 40, "dd") for i in range(20)]
+    texts += [("ohne " * 30 + f"ende{i}", "cc") for i in range(4)]
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    copies = docs.where("text in ('text number 7', 'few 3')").crossJoin(spark.range(20_000)).select("text", "lang")
+    found = language.sample(docs.unionAll(copies), "text", "lang", 10, 100)
+    by = {x: [t for t, own in found if own == x] for x in ("aa", "bb", "cc", "dd")}
+    assert {x: len(t) for x, t in by.items()} == {"aa": 10, "bb": 5, "cc": 4, "dd": 10}
+    assert len(set(by["aa"])) == 10 and sorted(by["bb"]) == [f"few {i}" for i in range(5)]
+    assert sum(t.startswith("short") for t in by["dd"]) == 3
+    assert all(len(t) <= 100 for t, _ in found) and {w for t in by["cc"] for w in t.split()[:-1]} == {"ohne"}
+    assert sorted(found) == sorted(language.sample(docs, "text", "lang", 10, 100))
