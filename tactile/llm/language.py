@@ -1,7 +1,8 @@
 """Language identification by a linear-chain conditional random field over the words of a text.
 
-A word is a run of letters. Its features are prefixes and suffixes of one to three letters,
-letter trigrams, and a lexicon: whether it is one of the frequent words of the sample, and of
+A word is a run of letters; a run of more than ``MOST_LETTERS`` is cut into words of about the same
+length, so text without spaces is labelled by stretches too, and every letter counts once. Its
+features are prefixes and suffixes of one to three letters, all letter trigrams, and a lexicon: whether it is one of the frequent words of the sample, and of
 which language. Learned transitions tie neighbours together, so code-switched text gets the label
 of each stretch; forward-backward gives every word its distribution over languages.
 
@@ -30,18 +31,27 @@ from tactile.llm.common import store
 
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
+MOST_LETTERS = 24
 RESULT = "lang string, score double, words long, switches long"
 
 
 def word_list(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) > MOST_LETTERS:
+        words = [piece for word in words for piece in pieces_of(word)]
+    return words
+
+
+def pieces_of(run: str) -> list[str]:
+    n = -(-len(run) // MOST_LETTERS)
+    return [run[len(run) * i // n : len(run) * (i + 1) // n] for i in range(n)]
 
 
 def affixes(word: str) -> list[str]:
     """Prefixes, suffixes and trigrams of a word, as feature names."""
     edged = f"^{word}$"
     names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    return names + [f"g{edged[i:i + 3]}" for i in range(min(len(edged) - 2, 12))]
+    return names + [f"g{edged[i:i + 3]}" for i in range(len(edged) - 2)]
 
 
 @dataclass

@@ -51,6 +51,22 @@ def test_code_switched_text_is_labelled_by_stretches(spark):
     assert len(letters) == len(labels) and np.allclose(posterior.sum(axis=1), 1, atol=1e-4)
 
 
+def test_every_letter_of_a_long_run_counts(spark):
+    assert "gxyz" in language.affixes("abcdefghijklmnopqrstuvwxyz"[2:])
+    run = "".join(chr(97 + i % 26) for i in range(1003))
+    words = language.word_list(f"{run} end")
+    assert "".join(words) == f"{run}end" and max(map(len, words)) <= language.MOST_LETTERS and min(map(len, words[:-1])) > 20
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs, docs_per_lang=60)
+    longest = {r["lang"]: r["text"] for r in docs.groupBy("lang").agg(F.max_by("text", F.length("text")).alias("text")).collect()}
+    german, french = ("".join(language.word_list(longest[x])[:200]) for x in ("de", "fr"))
+    posterior, letters = language.Labeller(model).posteriors([german + french])[0]
+    assert letters.sum() == len(german + french)
+    labels, ends = [model.langs[i] for i in posterior.argmax(axis=1)], letters.cumsum()
+    right = [x for x, end in zip(labels, ends, strict=True) if x == ("de" if end <= len(german) else "fr")]
+    assert len(right) > 0.8 * len(labels) and {"de", "fr"} <= set(labels)
+
+
 def test_query_on_edge_rows(spark, tmp_path):
     found = queries.op10_language(spark, save(spark, tmp_path)).collect()
     assert len(found) == len(rows())
