@@ -13,17 +13,13 @@ from tactile.llm import bpe, language, mixing, neardup
 from tactile.llm.common import remainder, store, table
 from tactile.session import ship
 
-MIN_SHARE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of a known language stay. Rejected: texts without a letter (or null), and texts no
-    language of which has ``MIN_SHARE`` of the letters."""
+    """Texts of known languages stay, in whatever shares. Rejected: texts without a letter (or null)."""
     ship(spark)
     model = language.fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
     found = docs.withColumn("_found", language.identify(docs, model))
-    kept = (F.col("_found.lang") != language.UND) & (F.col("_found.score") >= MIN_SHARE)
-    return found.where(kept).select(*docs.columns)
+    return found.where(F.col("_found.lang") != language.UND).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

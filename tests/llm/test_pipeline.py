@@ -49,6 +49,17 @@ def test_each_stage_against_its_definition(spark):
     assert all(r["ids"] == library.encode_ordinary(r["text"]) and r["n_tokens"] == len(r["ids"]) for r in coded)
 
 
+def test_text_evenly_in_three_languages_stays(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, docs_per_lang=60)
+    longest = {r["lang"]: r["text"] for r in docs.groupBy("lang").agg(F.max_by("text", F.length("text")).alias("text")).collect()}
+    even = " ".join(" ".join(longest[x].split())[:1200] for x in ("de", "fr", "en"))
+    even = docs.limit(1).withColumn("text", F.lit(even))
+    assert 0.25 < even.select(language.identify(even, model)["score"]).first()[0] < 0.4
+    monkeypatch.setattr(language, "fit", lambda *_, **__: model)
+    assert corpus_pipeline.identify_language(spark, even, SF).count() == 1
+
+
 def test_edge_rows(spark, tmp_path):
     docs = frame(spark)
     for name, stage in corpus_pipeline.STAGES:
