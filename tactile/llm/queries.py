@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tactile.llm import bpe, language, lm, mixing, neardup, reshard, simhash, topk, unigram, warc
+from tactile.llm import align, bpe, language, lm, merkle, mixing, neardup, reshard, simhash, topk, unigram, warc
 from tactile.llm.common import remainder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+BYTE_ENTRIES = "byte_bpe_50k.json"
 OLD_SHARDS, NEW_SHARDS = 16, 24
 
 
@@ -125,6 +126,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str, first: str | None = None, second: str | None = None) -> DataFrame:
+    files = align.Tokenizers.read(first or public_tokenizers.path(BYTE_ENTRIES), second or public_tokenizers.path(PIECES))
+    found = align.align(table(spark, sf_dir, "documents"), files)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lm_score": op2_lm_score,
@@ -136,9 +147,75 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op12_merkle": op12_merkle,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
+    "op12_merkle": r"""
+        WITH RECURSIVE steps AS (
+            -- Table of the reflected CRC-32.
+            SELECT list(list_reduce([CAST(i AS UBIGINT)] || list_transform(range(8), lambda x: CAST(x AS UBIGINT)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS crc
+            FROM range(256) t(i)
+        ), d AS (
+            SELECT doc_id, lang, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text,
+                concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE concat(octet_length(encode(CAST(doc_id AS VARCHAR))), ':', doc_id) END,
+                    CASE WHEN source IS NULL THEN '-' ELSE concat(octet_length(encode(source)), ':', source) END,
+                    CASE WHEN lang IS NULL THEN '-' ELSE concat(octet_length(encode(lang)), ':', lang) END,
+                    CASE WHEN n_chars IS NULL THEN '-' ELSE concat(octet_length(encode(CAST(n_chars AS VARCHAR))), ':', n_chars) END) AS head,
+                list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda ch: CAST(ascii(ch) AS UBIGINT)) AS bytes
+            FROM documents
+        ), l AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS key,
+                sha256(head || CASE WHEN text IS NULL THEN '-' ELSE concat(octet_length(encode(text)), ':', text) END) AS leaf,
+                sha256(head || CASE WHEN text IS NULL THEN '-' ELSE concat(octet_length(encode(lower_text)), ':', lower_text) END) AS changed,
+                xor(list_reduce([4294967295::UBIGINT] || CASE WHEN doc_id IS NULL THEN [] ELSE bytes END,
+                    lambda c, b: xor(crc[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)), 4294967295::UBIGINT) % 3 = 0 AS tampered
+            FROM d, steps
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                count(*) OVER (PARTITION BY key) AS total FROM l
+        ), nodes AS (
+            SELECT key, 0 AS level, place, leaf AS digest, total FROM r
+            UNION ALL
+            SELECT key, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(total) + 7) // 8
+            FROM nodes WHERE total > 1 GROUP BY key, level, place // 8
+        ), subroots AS (
+            SELECT key, digest AS subroot, row_number() OVER (ORDER BY key) - 1 AS place, count(*) OVER () AS total
+            FROM nodes WHERE total = 1
+        ), tops AS (
+            SELECT 0 AS level, place, subroot AS digest, total FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(total) + 7) // 8
+            FROM tops WHERE total > 1 GROUP BY level, place // 8
+        ), sides AS (
+            SELECT key, level, place,
+                coalesce(string_agg(digest, '') OVER (PARTITION BY key, level, place // 8 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                coalesce(string_agg(digest, '') OVER (PARTITION BY key, level, place // 8 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+            FROM nodes WHERE total > 1
+        ), top_sides AS (
+            SELECT level, place,
+                coalesce(string_agg(digest, '') OVER (PARTITION BY level, place // 8 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                coalesce(string_agg(digest, '') OVER (PARTITION BY level, place // 8 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+            FROM tops WHERE total > 1
+        ), up AS (
+            SELECT r.key, r.place AS own, 0 AS level, r.place, '' AS proof, CASE WHEN tampered THEN changed ELSE leaf END AS x, total FROM r
+            UNION ALL
+            SELECT up.key, own, up.level + 1, up.place // 8, proof || before || after, sha256(before || x || after), (total + 7) // 8
+            FROM up JOIN sides s ON s.key = up.key AND s.level = up.level AND s.place = up.place
+            WHERE total > 1
+        ), rest AS (
+            SELECT up.key, own, 0 AS level, s.place, proof, x, s.total FROM up JOIN subroots s ON s.key = up.key WHERE up.total = 1
+            UNION ALL
+            SELECT rest.key, own, rest.level + 1, rest.place // 8, proof || before || after, sha256(before || x || after), (total + 7) // 8
+            FROM rest JOIN top_sides s ON s.level = rest.level AND s.place = rest.place
+            WHERE total > 1
+        )
+        SELECT r.doc_id, r.leaf, s.subroot, t.digest AS root, sha256(rest.proof) AS proof_sha256, rest.x AS folded_root, rest.x = t.digest AS verified
+        FROM r JOIN subroots s ON s.key = r.key JOIN rest ON rest.key = r.key AND rest.own = r.place AND rest.total = 1
+        JOIN tops t ON t.total = 1
+    """,
     "op7_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS t
