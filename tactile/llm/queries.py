@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tactile.llm import align, bpe, language, lm, merkle, mixing, neardup, reshard, simhash, topk, unigram, warc
+from tactile.llm import align, bpe, jaccard, language, lm, merkle, mixing, neardup, reshard, simhash, topk, unigram, warc
 from tactile.llm.common import remainder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -126,6 +126,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_ngrams(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -147,6 +151,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_ngram_join": op11_ngram_join,
     "op12_merkle": op12_merkle,
     "op13_alignment": op13_alignment,
 }
