@@ -17,9 +17,9 @@ of the first vocabulary.
 Results: a null or empty text, and one whose tokens do not give back its bytes (as when the second
 vocabulary folds its space mark), has no tokens: zeros and an empty digest. Rows that repeat are
 documents each, and each counts. Special tokens are never produced. Rows without ``doc_id`` are
-scored like others. An empty table gives no rows. Long texts are encoded in parts, cut before
-single spaces where no entry of either vocabulary reaches across; memory follows a slice of texts,
-or the longest run without such a space.
+scored like others. An empty table gives no rows. Texts are encoded word by word, cut before single
+spaces where no entry of either vocabulary reaches across, and words seen before are not encoded
+again; memory follows a slice of texts, or the longest text.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,10 @@ from pyspark.sql import DataFrame, functions as F
 from tactile.llm.common import slices, store
 
 SPACE_MARK = "▁"
-PART_CHARS = 1 << 17
 SLICE_BYTES = 1 << 20
+KNOWN_WORDS = 200_000
+# Single spaces between other letters: neither vocabulary reaches across, see ``may_cut``.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 FREQUENT_PAIRS = 300_000
 # A piece for one byte.
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -84,6 +86,10 @@ class Coders:
         self.bytes_first = {i: bytes(map(letters.__getitem__, entry)) for entry, i in vocab.items()}
         self.bytes_second = {i: self._piece(i) for i in range(self.second.get_piece_size())}
         inner = re.compile(f"[^{SPACE_MARK}]{SPACE_MARK}")
+        self.sizes_first, self.sizes_second = (
+            np.array([len(t[i]) for i in range(len(t))], np.int64) for t in (self.bytes_first, self.bytes_second)
+        )
+        self.forget()
         self.may_cut = not any(inner.search(self.second.id_to_piece(i)) for i in range(self.second.get_piece_size()))
 
     def _piece(self, i: int) -> bytes:
@@ -92,90 +98,116 @@ class Coders:
             return bytes([int(BYTE_PIECE.fullmatch(piece)[1], 16)])
         return piece.replace(SPACE_MARK, " ").encode()
 
-    def parts(self, text: str) -> list[str]:
-        """A text with a space before it, cut before single spaces."""
-        text, out, start = " " + text, [], 0
-        while self.may_cut and len(text) - start > PART_CHARS:
-            found = re.compile(r"(?<=\S) (?=\S)").search(text, start + PART_CHARS)
-            if found is None:
-                break
-            out.append(text[start : found.start()])
-            start = found.start()
-        return [*out, text[start:]]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        parts = [self.parts(t) for t in texts]
-        flat = [p for ps in parts for p in ps]
-        first = iter([e.ids for e in self.first.encode_batch_fast(flat, add_special_tokens=False)])
-        # The second tokenizer puts the space of each part before it itself.
-        second = iter(self.second.encode([p[1:] for p in flat], num_threads=1))
-        out = []
-        for ps in parts:
-            a, b = next(first), next(second)
-            for _ in ps[1:]:
-                a, b = a + next(first), b + next(second)
-            out.append((a, b))
+    def words(self, text: str) -> list[str]:
+        """A text with a space before it, cut before single spaces, which are left out."""
+        first, *rest = CUT.split(" " + text) if self.may_cut else [" " + text]
+        return [first[1:], *rest]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words with a space before each; the second tokenizer puts it there itself."""
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        first = self.first.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+        for side, coded in ((0, [e.ids for e in first]), (1, self.second.encode(words, num_threads=1))):
+            for ids in coded:
+                self.ids[side].extend(ids)
+                self.ends[side].append(len(self.ids[side]))
+
+    def encode(self, texts: list[str]) -> list[tuple | None]:
+        """For each text, ids of both and ends of both; None if its bytes do not come back."""
+        if not texts:
+            return []
+        words = [self.words(t) for t in texts]
+        if len(self.place) > KNOWN_WORDS or len(self.ids[0]) > 8 * KNOWN_WORDS:
+            self.forget()
+        self._learn([w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.place])
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64)
+        last = np.cumsum([len(w) for w in words])
+        sides = []
+        for side, sizes in ((0, self.sizes_first), (1, self.sizes_second)):
+            stop = np.array(self.ends[side])
+            start, stop = stop[place], stop[place + 1]
+            n = np.cumsum(stop - start)
+            ids = np.array(self.ids[side])[np.repeat(stop - n, stop - start) + np.arange(n[-1])]
+            cuts = [0, *n[last - 1].tolist()]
+            sides.append((ids, sizes[ids], cuts))
+        out: list[tuple | None] = []
+        for k, text in enumerate(texts):
+            (a, ends_a), (b, ends_b) = (
+                (ids[cuts[k] : cuts[k + 1]].tolist(), np.cumsum(sizes[cuts[k] : cuts[k + 1]]).tolist()) for ids, sizes, cuts in sides
+            )
+            raw = (" " + text).encode()
+            same = all(b"".join(map(t.__getitem__, ids)) == raw for t, ids in ((self.bytes_first, a), (self.bytes_second, b)))
+            out.append((a, b, ends_a, ends_b) if same else None)
         return out
 
+    def forget(self) -> None:
+        """Of words that were encoded: their number, and ids of both, one word after the other."""
+        self.place: dict[str, int] = {}
+        self.ids = (array("i"), array("i"))
+        self.ends = (array("q", [0]), array("q", [0]))
+
 
 @lru_cache(maxsize=1)
 def coders(files: Tokenizers) -> Coders:
     return Coders(files)
 
 
-def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, bool]]:
-    """Cuts two arrays of ends with the same last end: ``i, i_end, j, j_end, regular``. Regular runs
-    are as many groups of one against one; others are one group."""
-    i = j = 0
-    while i < len(a):
-        start, width = i, 1
-        while i < len(a) and a[i : i + width] == b[j : j + width]:
-            i, j, width = i + width, j + width, 2 * width
-        i, j = min(i, len(a)), min(j, len(b))
-        while width > 1:
-            width //= 2
-            if i + width <= len(a) and a[i : i + width] == b[j : j + width]:
-                i, j = i + width, j + width
-        if i > start:
-            yield start, i, j - (i - start), j, True
-        if i < len(a):
-            x, y = i, j
-            while a[x] != b[y]:
-                if a[x] < b[y]:
-                    x += 1
-                else:
-                    y += 1
-            yield i, x + 1, j, y + 1, False
-            i, j = x + 1, y + 1
-
-
-def walk(a: list[int], b: list[int], i: int, i_end: int, j: int, j_end: int) -> Iterator[tuple[int, int]]:
-    """Places of overlapping tokens of one group."""
-    yield i, j
-    while i + 1 < i_end or j + 1 < j_end:
-        if a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-        yield i, j
-
-
-def aligned(first: list[int], second: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[int, str, np.ndarray]:
-    """Number of groups, the groups as text, and a key ``a << 32 | b`` for each link."""
+def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
+    """How many ends from ``a[i]`` and ``b[j]`` on are equal, place by place: slices of doubling
+    length, then of halving length."""
+    start, width = i, 1
+    while (part := a[i : i + width]) and part == b[j : j + width]:
+        i, j, width = i + len(part), j + len(part), 2 * width
+    while width > 1:
+        width //= 2
+        part = a[i : i + width]
+        if len(part) == width and part == b[j : j + width]:
+            i, j = i + width, j + width
+    return i - start
+
+
+class _Texts(dict):
+    """Ids as decimal text."""
+
+    def __missing__(self, i: int) -> str:
+        text = self[i] = str(i)
+        return text
+
+
+_TEXTS = _Texts()
+
+
+def aligned(first: list[int], second: list[int], a: list[int], b: list[int]) -> tuple[int, str, np.ndarray]:
+    """Of two tokenizations (ids, and ends up to the same last one): the number of groups, the groups
+    as text, and a key ``id << 32 | id`` for each link."""
     left: list[int] = []
     right: list[int] = []
     groups: list[str] = []
-    for i, i_end, j, j_end, regular in stretches(ends_a, ends_b):
-        a, b = first[i:i_end], second[j:j_end]
-        if regular:
-            left += a
-            right += b
-            groups += [f"{x}|{y}" for x, y in zip(a, b, strict=True)]
-        else:
-            for x, y in walk(ends_a, ends_b, i, i_end, j, j_end):
-                left.append(first[x])
-                right.append(second[y])
-            groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+    texts = _TEXTS  # at most as many as the vocabularies have entries
+    i = j = 0
+    while True:
+        # At the shift j - i, a stretch of one against one.
+        if length := run_length(a, b, i, j):
+            x, y = first[i : i + length], second[j : j + length]
+            left += x
+            right += y
+            groups += [f"{texts[p]}|{texts[q]}" for p, q in zip(x, y, strict=True)]
+            i, j = i + length, j + length
+        if i == len(a):
+            break
+        # An irregular group: a step to the token after the one that ends first, until both end.
+        i_start, j_start = i, j
+        left.append(first[i])
+        right.append(second[j])
+        while (p := a[i]) != (q := b[j]):
+            if p < q:
+                i += 1
+            else:
+                j += 1
+            left.append(first[i])
+            right.append(second[j])
+        i, j = i + 1, j + 1
+        groups.append(f"{','.join(map(str, first[i_start:i]))}|{','.join(map(str, second[j_start:j]))}")
     return len(groups), ";".join(groups), (np.array(left, np.int64) << 32) | np.array(right, np.int64)
 
 
@@ -187,12 +219,11 @@ def link_rows(texts: list[str | None], coder: Coders) -> list[tuple]:
     """A row of ``LINKED`` for each text."""
     given = [i for i, t in enumerate(texts) if t]
     rows: list[tuple] = [NONE] * len(texts)
-    for i, (a, b) in zip(given, coder.encode([texts[i] for i in given]), strict=True):
-        raw = (" " + texts[i]).encode()
-        of_a, of_b = ([table[x] for x in ids] for table, ids in ((coder.bytes_first, a), (coder.bytes_second, b)))
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
+    for i, coded in zip(given, coder.encode([texts[i] for i in given]), strict=True):
+        if coded is None:
             continue
-        n_groups, text, links = aligned(a, b, list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b))))
+        a, b, ends_a, ends_b = coded
+        n_groups, text, links = aligned(a, b, ends_a, ends_b)
         pairs, times = np.unique(links, return_counts=True)
         digest = hashlib.sha256(text.encode()).hexdigest()
         rows[i] = (len(a), len(b), n_groups, len(links), digest, pairs, times.astype(np.int32))
