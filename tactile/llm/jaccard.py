@@ -47,7 +47,8 @@ class Join:
     numerator: int = 90  # similarity of 90 of 100
     least_common: int = 96  # r(n) is this at least, where the set has as many
     group_rows: int = 256
-    query_rows: int = 4096
+    group_tokens: int = 1 << 20  # of a group's or a block's sets, unless one node has more
+    query_rows: int = 512
     pair_rows: int = 256
     rounds: int = 2
 
@@ -169,10 +170,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Join, doc_
     """
     pairs = store(pairs.select("a", "b"), "candidates")
     ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    needed = store(ends.join(nodes, "nid").select("nid", "node", F.col("rep").alias("doc_id")), "needed")
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    # A repeated ``doc_id`` may bring other texts along, which the digest of the set tells.
-    texts = store(whole.join(small(needed, needed.count()), "doc_id").select("nid", "node", "text"), "texts")
+    texts = texts_of(ends, nodes, docs, doc_id, text)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / how.pair_rows).cast("int").alias("blocks"))
     dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     dealt = store(dealt.select("a", "block", "b"), "dealt")
@@ -202,12 +200,17 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Join, doc_
     return store(rows.mapInArrow(run, "a long, b long").distinct(), "confirmed")
 
 
+def _pieces(most_rows: int, how: Join) -> Column:
+    """In how many pieces rows with ``n`` tokens each must be cut."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / most_rows, F.sum("n") / how.group_tokens)).cast("int")
+
+
 def token_group_matrix(rows: DataFrame, followed: DataFrame, how: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of open ``token, nid, n, label`` rows: the nodes with their group (``nid, n, label, gid``), the
     matrix (``token, gid``), and what bounds the nodes of a group (``gid, lo, hi, first, last``: set
     sizes and labels)."""
     nodes = store(rows.select("nid", "n", "label").distinct().join(followed, "nid"), "open_nodes")
-    parts = nodes.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / how.group_rows).alias("parts"))
+    parts = nodes.groupBy("head").agg(_pieces(how.group_rows, how).alias("parts"))
     nodes = nodes.join(parts, "head").withColumn("gid", F.xxhash64("head", F.pmod(F.xxhash64("nid"), "parts")))
     nodes = store(nodes.select("nid", "n", "label", "gid"), "grouped")
     matrix = store(rows.join(nodes.select("nid", "gid"), "nid").select("token", "gid").distinct(), "matrix")
@@ -246,15 +249,16 @@ class Union:
 
 
 def open_group(members: list[tuple], queries: list[tuple], own: bool, how: Join) -> tuple[list, list]:
-    """Nodes are ``nid, n, label, pool``. Links that pools decide (whole sets), as joined components are
-    skipped; and pairs that full sets must decide. ``own``: the queries are nodes of the group."""
+    """Nodes are ``nid, n, label, tokens``, the tokens a pool or a whole set. Links that these decide
+    (of whole sets; components that are joined already are skipped), and the queries with which some
+    node of the group may be linked, but only whole sets can tell. ``own``: queries are of the group."""
     tokens = np.concatenate([m[3] for m in members])
     order = np.argsort(tokens, kind="stable")
     holder = np.repeat(np.arange(len(members)), [len(m[3]) for m in members])[order]
     tokens = tokens[order]
     nids, sizes, labels = (np.array([m[k] for m in members], np.int64) for k in range(3))
     common, whole = how.common(sizes), sizes == np.array([len(m[3]) for m in members])
-    union, sure, unsure = Union(), [], []
+    union, links, unsure = Union(), [], []
     for nid, n, label, pool in queries:
         fits = (100 * np.minimum(sizes, n) >= how.numerator * np.maximum(sizes, n)) & (labels != label)
         if own:
@@ -265,25 +269,25 @@ def open_group(members: list[tuple], queries: list[tuple], own: bool, how: Join)
         spans = [holder[a:b] for a, b in zip(first[first < last], last[first < last], strict=True)]
         both = np.bincount(np.concatenate(spans), minlength=len(members)) if spans else np.zeros(len(members), np.int64)
         fits &= both >= np.minimum(common, how.common(n))
-        for j in np.flatnonzero(fits):
-            if whole[j] and len(pool) == n:
-                if 100 * both[j] >= how.numerator * (n + sizes[j] - both[j]) and union.root(label) != union.root(int(labels[j])):
-                    union.join(label, int(labels[j]))
-                    sure.append((nid, int(nids[j])))
-            else:
-                unsure.append((nid, int(nids[j])))
-    unsure = [p for p in unsure if p[0] != p[1]]
-    return sure, unsure
+        known = fits & whole & (len(pool) == n)
+        if (fits & ~known).any():
+            unsure.append(nid)
+        for j in np.flatnonzero(known & (100 * both >= how.numerator * (n + sizes - both))):
+            if union.root(label) != union.root(int(labels[j])):
+                union.join(label, int(labels[j]))
+                links.append((nid, int(nids[j])))
+    return links, unsure
 
 
-def opened(wanted: DataFrame, nodes: DataFrame, pools: DataFrame, how: Join) -> DataFrame:
-    """``a, b, sure``: what the nodes of opened groups are linked with, or may be. Stored.
+def opened(wanted: DataFrame, nodes: DataFrame, tokens: DataFrame, how: Join) -> DataFrame:
+    """Queries and the groups they open (``nid, gid``) to ``a, b, gid``: links, and with a null ``b``
+    queries ``a`` that must meet the group with whole sets. ``tokens`` holds ``nid, pool``. Stored.
 
     Queries of a group come in blocks; its nodes meet each of them.
     """
-    full = nodes.join(pools, "nid")
-    blocks = wanted.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / how.query_rows).cast("int").alias("blocks"))
-    blocks = store(blocks, "blocks")
+    full = nodes.join(tokens, "nid")
+    sized = wanted.join(nodes.select("nid", "n"), "nid")
+    blocks = store(sized.groupBy("gid").agg(_pieces(how.query_rows, how).alias("blocks")), "blocks")
     queries = wanted.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int")).select("gid", "block", "nid")
     own = F.col("gid") == F.col("home")
     queries = queries.join(full.withColumnRenamed("gid", "home"), "nid")
@@ -300,21 +304,47 @@ def opened(wanted: DataFrame, nodes: DataFrame, pools: DataFrame, how: Join) ->
             sets = [np.sort(p.values.to_numpy()) for p in table.column(f"{start}pool")]
             return list(zip(*(table.column(start + c).to_pylist() for c in ("nid", "n", "label")), sets, strict=True))
 
-        held, asked, sure, unsure = rows(members, ""), rows(queries, "q_"), [], []
+        held, asked, found = rows(members, ""), rows(queries, "q_"), []
         if held and asked:
             inside = queries.column("own").to_pylist()
             for own in (True, False):
                 part = [q for q, i in zip(asked, inside, strict=True) if i == own]
-                a, b = open_group(held, part, own, how) if part else ([], [])
-                sure += a
-                unsure += b
-        ends = [pa.array([p[x] for p in (*sure, *unsure)], pa.int64()) for x in (0, 1)]
-        return pa.table({"a": ends[0], "b": ends[1], "sure": pa.array([True] * len(sure) + [False] * len(unsure), pa.bool_())})
+                links, unsure = open_group(held, part, own, how) if part else ([], [])
+                found += links + [(nid, None) for nid in unsure]
+        gid = members.column("gid")[0].as_py() if held else None
+        ends = [pa.array([p[x] for p in found], pa.int64()) for x in (0, 1)]
+        return pa.table({"a": ends[0], "b": ends[1], "gid": pa.array([gid] * len(found), pa.int64())})
 
-    met = members.groupBy("gid", "block").cogroup(queries.groupBy("q_gid", "q_block")).applyInArrow(meet, "a long, b long, sure boolean")
+    met = members.groupBy("gid", "block").cogroup(queries.groupBy("q_gid", "q_block")).applyInArrow(meet, "a long, b long, gid long")
     return store(met, "opened")
 
 
+def texts_of(nids: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``nid, node, text`` of distinct nodes; stored. A repeated ``doc_id`` may bring other texts along,
+    which the digest of the set tells."""
+    needed = store(nids.join(nodes, "nid").select("nid", "node", F.col("rep").alias("doc_id")), "needed")
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return store(whole.join(small(needed, needed.count()), "doc_id").select("nid", "node", "text"), "texts")
+
+
+def whole_sets(texts: DataFrame, how: Join) -> DataFrame:
+    """``nid, pool`` with all tokens of the nodes; stored."""
+
+    def run(batches):
+        from tactile.llm.neardup import digest, shingle_sets
+
+        for batch in batches:
+            for start, part in text_slices(batch.column(2)):
+                sets = shingle_sets(part.to_pylist(), how.words)
+                nodes = batch.column(1).slice(start, len(sets)).to_pylist()
+                same = pa.array([digest(s) == n for s, n in zip(sets, nodes, strict=True)], pa.bool_())
+                pools = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pools], ["nid", "pool"]).filter(same)
+
+    found = texts.select("nid", "node", "text").mapInArrow(run, "nid long, pool array<long>")
+    return store(found.dropDuplicates(["nid"]), "whole")
+
+
 def near_ngrams(docs: DataFrame, how: Join = DEFAULT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``: the size of its set, and the
     smallest ``doc_id`` that links lead to."""
@@ -348,9 +378,12 @@ def near_ngrams(docs: DataFrame, how: Join = DEFAULT, doc_id: str = "doc_id", te
     wanted = qualifying(rows, open_nodes, matrix, bounds, how)
     pools = sets.join(nodes.select("row", "nid"), "row").select("nid", "pool")
     met = opened(wanted, open_nodes, pools, how)
-    links = links.unionByName(met.where("sure").select("a", "b"))
-    unsure = met.where("not sure").select("a", "b").distinct()
-    links = links.unionByName(confirm(unsure, nodes, docs, how, doc_id, text))
+    # Groups of larger sets are opened again, with the whole sets of those that the pools let through.
+    again = store(met.where("b is null").select(F.col("a").alias("nid"), "gid").distinct(), "again")
+    inside = open_nodes.join(again.select("gid").distinct(), "gid").select("nid")
+    texts = texts_of(again.select("nid").unionByName(inside).distinct(), nodes, docs, doc_id, text)
+    met = met.unionByName(opened(again, open_nodes, whole_sets(texts, how), how))
+    links = links.unionByName(met.where("b is not null").select("a", "b"))
     labels = components(links) if links.limit(1).count() else None
 
     known = store(with_labels(nodes.select("node", "nid", "rep"), labels), "members")
