@@ -4,13 +4,14 @@ Text is cut by the tokenizer's pattern; each piece is encoded for itself. Instea
 tokens of a piece are found from the left: the longest vocabulary entry at a position is tried
 first, and a token may follow another only if the merges would leave that pair apart. A position
 from which nothing goes on is marked, so it is never tried twice. An Aho-Corasick automaton over
-Latin-1 (one character per byte) lists the entries at all positions of a piece; the answer for a
-pair of tokens is kept.
+Latin-1 (one character per byte) says how far entries reach from a position, so nothing is listed
+before it is needed; the answer for a pair of tokens is kept.
 
 The rank file is read by the driver and broadcast: it is a fixed file of some 50,000 entries.
 
 Results: null text encodes as the empty text, to no ids; every id decodes to its bytes; texts of
-any length are encoded whole. Ids outside the vocabulary fail to decode.
+any length are encoded whole. Ids outside the vocabulary fail to decode. Rows are independent of each
+other: repeated rows give equal results, and an empty table gives none. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
+from tactile.llm.common import slices
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -75,12 +78,12 @@ class Encoder:
         self.pieces = vocabulary.pieces
         self.split = vocabulary.split
         self.joined = {pair: rank for rank, pair in self.split.items() if pair[0] != rank}
-        self.whole = {self.pieces[rank]: rank for rank in self.split}
+        self.whole = {self.pieces[rank].decode("latin-1"): rank for rank in self.split}
+        self.longest = max(map(len, self.whole), default=0)
         self.find = regex.compile(vocabulary.pattern).findall
         self.entries = ahocorasick.Automaton()
-        for rank in self.split:
-            token = self.pieces[rank].decode("latin-1")
-            self.entries.add_word(token, (len(token), rank))
+        for token, rank in self.whole.items():
+            self.entries.add_word(token, rank)
         self.entries.make_automaton()
         self.apart: dict[tuple[int, int], bool] = {}
         self.seen: dict[str, tuple[int, ...]] = {}
@@ -125,43 +128,39 @@ class Encoder:
         return answer
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        if (rank := self.whole.get(data)) is not None:
+        text = data.decode("latin-1")
+        whole, reach, longest = self.whole, self.entries.longest_prefix, self.longest
+        if (rank := whole.get(text)) is not None:
             return [rank]
-        size = len(data)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, found in self.entries.iter(data.decode("latin-1")):
-            starts[end + 1 - found[0]].append(found)  # shorter entries end earlier: ascending
+        size = len(text)
         tokens: list[int] = []
-        back: list[tuple[int, int]] = []  # where each token starts, and how many options are left
+        back: list[tuple[int, int]] = []  # where each token starts, and its length
         dead: set[int] = set()
         apart, compatible = self.apart, self._compatible
-        at, options = 0, starts[0]
-        i = len(options)
+        at, length = 0, reach(text[:longest])
         while at < size:
-            while i:
-                i -= 1
-                length, rank = options[i]
-                if at + length in dead:
-                    continue
-                if tokens:
+            while length:
+                rank = whole.get(text[at : at + length])
+                if rank is not None and at + length not in dead:
+                    if not tokens:
+                        break
                     pair = (tokens[-1], rank)
                     fits = apart.get(pair)
-                    if not (compatible(*pair) if fits is None else fits):
-                        continue
-                tokens.append(rank)
-                back.append((at, i))
-                at += length
-                if at < size:
-                    options = starts[at]
-                    i = len(options)
-                break
+                    if compatible(*pair) if fits is None else fits:
+                        break
+                length -= 1
             else:
                 dead.add(at)
                 if not back:
                     raise ValueError("the vocabulary cannot encode these bytes")
-                at, i = back.pop()
-                options = starts[at]
+                at, length = back.pop()
+                length -= 1  # the next shorter entry there
                 tokens.pop()
+                continue
+            tokens.append(rank)
+            back.append((at, length))
+            at += length
+            length = reach(text[at : at + longest])
         return tokens
 
     def encode(self, text: str) -> list[int]:
@@ -204,16 +203,19 @@ def _encoder(shared) -> Encoder:
     return _WORKER[key]
 
 
-def _encoded(batches, encoder: Encoder, text: str, ids: str, names: list[str]):
+def _encoded(batches, encoder: Encoder, text: str, ids: str, names: list[str], decoded: str | None = None):
+    """Batches with ids, and with the bytes these stand for if ``decoded`` names their column."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text))
-        # A few rows at a time: ids of a whole batch of long texts need not be held as objects.
-        for start in range(0, batch.num_rows, 256):
-            part = texts.slice(start, 256)
-            column = pa.array([encoder.encode(t.as_py() or "") for t in part], pa.list_(pa.int32()))
-            rows = batch.slice(start, 256)
-            kept = [rows.column(rows.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, column], [*names, ids])
+        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        # Some rows at a time: ids of a whole batch of long texts need not be held as objects.
+        for start, stop in slices([len(t or "") for t in texts], 1 << 20):
+            found = [encoder.encode(t or "") for t in texts[start:stop]]
+            rows = batch.slice(start, stop - start)
+            arrays = [rows.column(rows.schema.get_field_index(c)) for c in names]
+            arrays.append(pa.array(found, pa.list_(pa.int32())))
+            if decoded is not None:
+                arrays.append(pa.array([encoder.decode(f) for f in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, [*names, ids, *([decoded] if decoded is not None else [])])
 
 
 def _decoded(batches, pieces: dict[int, bytes], ids: str, out: str, names: list[str]):
@@ -268,8 +270,6 @@ def round_trip(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str =
     def run(batches):
         from tactile.llm import bpe
 
-        encoder = bpe._encoder(shared)
-        coded_batches = bpe._encoded(batches, encoder, text, ids, names)
-        return bpe._decoded(coded_batches, encoder.pieces, ids, out, [*names, ids])
+        return bpe._encoded(batches, bpe._encoder(shared), text, ids, names, out)
 
     return df.mapInArrow(run, schema)
