@@ -1,6 +1,6 @@
 """Exact top-k search by inner product, block at a time.
 
-Documents are sorted by id and cut into blocks. A block keeps, for each term, its largest and its
+Documents come in groups by ranges of ids; inside a group, similar ones are put into one block. A block keeps, for each term, its largest and its
 smallest weight, so the inner product with a query is at most the sum over terms of the larger of
 weight times largest and weight times smallest. A task holds some blocks (a group) and some
 queries: for each query it takes the blocks from the largest bound down, scores a block through
@@ -12,9 +12,10 @@ once per group. Only the best k of a query leave a task.
 
 Results: vectors that are null or hold a null or non-finite component take no part, neither do rows
 without id. Vectors of different lengths are compared over the shorter. Components are whole
-numbers; beyond +-2^24 they are cut there (sums stay exact below 2^53 up to 32 such terms, and
-longer or larger vectors are summed as 64-bit integers). Rows that repeat an id are candidates
-each, and one query each; rows with the query's id are not candidates.
+numbers, taken as they are: sums are exact in doubles while they stay below 2^53, and in 64-bit
+integers while below 2^63; where they could pass that, or a component does, the query fails with an
+error. Rows that repeat an id are candidates each, and one query each; rows with the query's id are
+not candidates.
 """
 
 from __future__ import annotations
@@ -28,13 +29,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tactile.llm.common import store
 
-LARGEST = 1 << 24
-
-
 @dataclass(frozen=True)
 class Search:
     k: int = 20
-    block: int = 256
+    block: int = 64
     group_rows: int = 32_768
     query_rows: int = 1_024
 
@@ -49,21 +47,46 @@ def usable(vector: Column) -> Column:
 
 
 def whole_terms(vector: Column, scale: int = 64) -> Column:
-    """Components as whole numbers."""
-    limit = F.lit(LARGEST).cast("double")
-    return F.transform(
-        vector, lambda x: F.greatest(-limit, F.least(limit, F.floor(x.cast("double") * scale).cast("double"))).cast("int")
-    )
+    """Components as whole numbers, an error if one needs more than 63 bits."""
+
+    def whole(x: Column) -> Column:
+        scaled = F.floor(x.cast("double") * scale)
+        beyond = F.abs(x.cast("double") * scale) >= 2.0**63
+        return F.when(beyond, F.raise_error(F.lit("a component is beyond 63 bits")).cast("long")).otherwise(scaled)
+
+    return F.transform(vector, whole)
 
 
 def _matrix(rows: pa.ChunkedArray, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
+    out = np.zeros((len(rows), width), np.int64)
     for i, row in enumerate(rows):
         values = row.values.to_numpy(zero_copy_only=False)[:width]
         out[i, : len(values)] = values
     return out
 
 
+def _largest(matrix: np.ndarray) -> int:
+    return max(int(matrix.max(initial=0)), -int(matrix.min(initial=0)))
+
+
+def near_order(d: np.ndarray, most: int) -> np.ndarray:
+    """An order of rows in which runs of ``most`` are alike: cut in two at the middle of the widest
+    column, again and again."""
+    done, left = [], [np.arange(len(d))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        part = d[rows]
+        widest = int((part.max(axis=0).astype(float) - part.min(axis=0)).argmax())
+        rows = rows[np.argsort(part[:, widest], kind="stable")]
+        # Whole blocks on the left, so that blocks of the order are the parts.
+        half = max(1, -(-len(rows) // most) // 2) * most
+        left += [rows[half:], rows[:half]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
 def best_of_group(queries: pa.Table, docs: pa.Table, how: Search) -> pa.Table:
     """The best ``k`` of these documents for each query."""
     empty = pa.table({n: pa.array([], pa.int64()) for n in ("query", "query_id", "vec_id", "score")})
@@ -72,10 +95,14 @@ def best_of_group(queries: pa.Table, docs: pa.Table, how: Search) -> pa.Table:
     docs = docs.sort_by("vec_id")
     width = max(max(len(v) for v in t.column("terms")) for t in (queries, docs))
     q, d = _matrix(queries.column("terms"), width), _matrix(docs.column("terms"), width)
-    ids = docs.column("vec_id").to_numpy()
+    order = near_order(d, how.block)
+    d, ids = d[order], docs.column("vec_id").to_numpy()[order]
     own = queries.column("vec_id").to_numpy()
-    if width * max(1.0, float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0))) >= 2**53:
-        q, d = q.astype(np.int64), d.astype(np.int64)
+    largest = width * max(1, _largest(q)) * max(1, _largest(d))
+    if largest >= 2**63:
+        raise ValueError("scores may be beyond 63 bits")
+    if largest < 2**53:
+        q, d = q.astype(float), d.astype(float)
     blocks = [slice(i, i + how.block) for i in range(0, len(ids), how.block)]
     high = np.stack([d[b].max(axis=0) for b in blocks])
     low = np.stack([d[b].min(axis=0) for b in blocks])
@@ -107,7 +134,7 @@ def best_of_group(queries: pa.Table, docs: pa.Table, how: Search) -> pa.Table:
 
 
 def top_k(vectors: DataFrame, is_query: Column, how: Search = DEFAULT) -> DataFrame:
-    """``query_id, rank, vec_id, score`` over ``vec_id, terms`` (array of int, no nulls)."""
+    """``query_id, rank, vec_id, score`` over ``vec_id, terms`` (array of long, no nulls)."""
     rows = vectors.select("vec_id", "terms", is_query.alias("is_query")).where(F.col("vec_id").isNotNull())
     rows = store(rows, "vectors")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()

@@ -40,3 +40,23 @@ def test_query_with_few_rows(spark, tmp_path):
         spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
         found = queries.op7_top_k(spark, f"{tmp_path}/{name}").collect()
         assert sorted(map(tuple, found)) == _brute(data)
+
+
+def test_large_components_are_not_cut(spark, tmp_path):
+    data = [(0, [3e5, 1.0]), (1, [3e5, 2.0]), (2, [4e5, 1.0])]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/a/embeddings.parquet")
+    found = queries.op7_top_k(spark, f"{tmp_path}/a").collect()
+    assert sorted(map(tuple, found)) == _brute(data) and found[0]["vec_id"] == 2
+    for name, beyond in (("b", [(0, [1e9]), (1, [1e9])]), ("c", [(0, [1e30]), (1, [1.0])])):
+        spark.createDataFrame(beyond, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        with pytest.raises(Exception, match="63 bits"):
+            queries.op7_top_k(spark, f"{tmp_path}/{name}").collect()
+
+
+def test_like_vectors_are_one_block():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-500, 500, (10, 8))
+    d = np.concatenate([c + rng.integers(-5, 5, (64, 8)) for c in centres])[rng.permutation(640)]
+    order = topk.near_order(d, 64)
+    assert sorted(order) == list(range(640))
+    assert max(int((p.max(axis=0) - p.min(axis=0)).max()) for p in d[order].reshape(10, 64, 8)) < 12
