@@ -5,12 +5,14 @@ nothing where it is and one anywhere else. A minimum-cost flow says how many byt
 keeps and sends where. Only sizes of shards reach the driver. Inside an old shard the documents
 have an order, large ones first, so the cuts between the blocks that go to different shards fall
 between small documents; each block is a range of that order, kept as its first key, so a second
-pass over the texts needs no join by document. Files of shards that lose or gain a block are
-written anew.
+pass over the texts needs no join by document. Where a cut falls between rows of equal keys, their
+number for each shard is kept, and these rows are numbered. Files of shards that lose or gain a block
+are written anew.
 
 Results: a null text has 8 bytes (the fixed part) like an empty one; a null ``doc_id`` sorts before
-all others; repeated rows are documents of their own and may share a shard; an empty table has no
-shards. A shard differs from its capacity by about a document at each cut.
+all others; repeated rows are documents of their own, dealt to several shards where a cut falls
+between them; an empty table has no shards. A shard differs from its capacity by about a document at
+each cut. Columns of any names are kept (``keyed`` has its own names beside the row, a struct).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tactile.llm.common import prefix_sums, store
+from tactile.llm.common import prefix_sums, small, store
 from tactile.session import new_folder
 
 FIXED_BYTES = 8
@@ -84,17 +86,27 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[Transfer
 
 
 def keyed(docs: DataFrame, old: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_old``, ``_size``, ``_crc`` and ``_key``, the place in the old shard."""
+    """``row`` (the columns of ``docs``) with ``_old``, ``_size``, ``_crc`` and ``_key``, the place in
+    the old shard."""
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + FIXED_BYTES).cast("long")
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = docs.withColumns({"_old": old.cast("int"), "_size": size, "_crc": crc})
     ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    return rows.withColumn("_key", F.struct((-F.col("_size")).alias("s"), ident.alias("i"), F.col("_crc").alias("c")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), old.cast("int").alias("_old"), size.alias("_size"), crc.alias("_crc"), ident.alias("_id"))
+    key = F.struct((-F.col("_size")).alias("s"), F.col("_id").alias("i"), F.col("_crc").alias("c"))
+    return rows.withColumn("_key", key).drop("_id")
 
 
-def plan(rows: DataFrame, capacities: list[int] | None, n_shards: int) -> tuple[list[Transfer], DataFrame | None]:
-    """The transfers, and the blocks: ``_old, shard, lo, hi`` with the first key of a block and of
-    the next one (null: none)."""
+@dataclass(frozen=True)
+class Blocks:
+    """Ranges of keys, ``_old, shard, lo, hi`` (first key of a block and of the next, null: none); and
+    keys whose rows are dealt to several shards, ``_old, _key, shard, first, last`` (their numbers)."""
+
+    ranges: DataFrame
+    shared: DataFrame
+
+
+def plan(rows: DataFrame, capacities: list[int] | None, n_shards: int) -> tuple[list[Transfer], Blocks | None]:
+    """The transfers, and the blocks they are made of."""
     narrow = store(rows.select("_old", F.col("_size").alias("size"), "_key.*"), "sizes")
     sizes = dict(narrow.groupBy("_old").agg(F.sum("size")).collect())
     if not sizes:
@@ -111,18 +123,41 @@ def plan(rows: DataFrame, capacities: list[int] | None, n_shards: int) -> tuple[
     placed = prefix_sums(narrow, "_old", ["s", "i", "c"], {"before": "size"})
     middle = F.col("before") + F.floor(F.col("size") / 2)
     # As many ranges as transfers: at most old and new shards together.
-    blocks = placed.join(F.broadcast(ranges), "_old").where((middle >= F.col("lo")) & (middle < F.col("hi")))
-    blocks = blocks.groupBy("_old", "shard").agg(F.min(F.struct("s", "i", "c")).alias("lo"))
-    following = F.lead("lo").over(Window.partitionBy("_old").orderBy("lo"))
-    return transfers, store(blocks.select("_old", "shard", "lo", following.alias("hi")), "blocks")
-
-
-def assign(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    dealt = placed.join(F.broadcast(ranges), "_old").where((middle >= F.col("lo")) & (middle < F.col("hi")))
+    dealt = store(dealt.select("_old", "shard", F.struct("s", "i", "c").alias("_key"), F.col("lo").alias("from")), "dealt")
+    blocks = dealt.groupBy("_old", "shard").agg(F.min("_key").alias("lo"), F.first("from").alias("from"))
+    along = Window.partitionBy("_old").orderBy("lo", "from")
+    blocks = store(blocks.select("_old", "shard", "lo", F.lead("lo").over(along).alias("hi")), "blocks")
+    # Only a key at an edge can have rows on both sides.
+    edges = blocks.select("_old", F.col("lo").alias("_key")).distinct()
+    counts = dealt.join(F.broadcast(edges), ["_old", "_key"]).groupBy("_old", "_key", "shard").agg(
+        F.count(F.lit(1)).alias("n"), F.first("from").alias("from")
+    )
+    of_key = Window.partitionBy("_old", "_key")
+    last = F.sum("n").over(of_key.orderBy("from").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumns({"last": last, "shards": F.count(F.lit(1)).over(of_key)}).where("shards > 1")
+    shared = store(counts.select("_old", "_key", "shard", (F.col("last") - F.col("n")).alias("first"), "last"), "shared")
+    return transfers, Blocks(blocks, shared)
+
+
+def assign(rows: DataFrame, blocks: Blocks) -> DataFrame:
     """``rows`` with their new ``shard``."""
     inside = (F.col("_key") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("_key") < F.col("hi")))
-    found = blocks.withColumnRenamed("_old", "_from")
-    joined = rows.join(F.broadcast(found), (F.col("_old") == F.col("_from")) & inside)
-    return joined.drop("_from", "lo", "hi")
+    found = blocks.ranges.withColumnRenamed("_old", "_from")
+    # Edges are as few as blocks.
+    keys = F.broadcast(blocks.shared.select("_old", "_key").distinct())
+    alone = rows.join(keys, ["_old", "_key"], "left_anti").select(*rows.columns)
+    alone = alone.join(F.broadcast(found), (F.col("_old") == F.col("_from")) & inside).drop("_from", "lo", "hi")
+    if not blocks.shared.limit(1).count():
+        return alone
+    # One key may have any share of the rows: they are numbered by distributed sums, without texts.
+    equal = rows.join(keys, ["_old", "_key"], "left_semi").select(*rows.columns).withColumn("_n", F.monotonically_increasing_id())
+    equal = store(equal, "equal")
+    narrow = equal.select("_n", "_old", "_key", F.xxhash64("_old", "_key").cast("string").alias("_of"), F.lit(1).cast("long").alias("_one"))
+    numbered = prefix_sums(narrow, "_of", ["_old", "_key", "_n"], {"_number": "_one"})
+    shards = numbered.join(F.broadcast(blocks.shared), ["_old", "_key"]).where("_number >= first and _number < last").select("_n", "shard")
+    shards = store(shards, "numbered")
+    return alone.unionByName(equal.join(small(shards, shards.count()), "_n").select(*rows.columns, "shard"))
 
 
 def affected(transfers: list[Transfer]) -> list[int]:
@@ -139,7 +174,7 @@ def rewrite(rows: DataFrame, columns: list[str], total: int, n_shards: int, only
         rows = rows.where(F.col("shard").isin(only))
     folder = new_folder(rows.sparkSession, "shards")
     spread = rows.withColumn("_file", F.pmod(F.xxhash64("_key"), F.lit(files)))
-    spread = spread.repartition(n_shards * files, "shard", "_file").select(*columns, "shard")
+    spread = spread.repartition(n_shards * files, "shard", "_file").select(*[F.col("row")[c].alias(c) for c in columns], "shard")
     spread.write.partitionBy("shard").parquet(folder)
     return folder
 

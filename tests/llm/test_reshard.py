@@ -74,3 +74,30 @@ def test_sizes_are_near_equal(spark):
 def test_empty(spark):
     keyed = reshard.keyed(frame(spark).limit(0), F.lit(0))
     assert reshard.plan(keyed, None, 4) == ([], None)
+
+
+def _counts(found):
+    out = defaultdict(int)
+    for r in found:
+        out[r["shard"]] += 1
+    return out
+
+
+def test_equal_rows_are_dealt_to_all_shards(spark, tmp_path):
+    """Rows without id and of one text, and one text with few ids: near equal sizes all the same."""
+    rest = (None,) * 10
+    for name, data in (("none", [(None, "one text", *rest)] * 480), ("seven", [(i % 7, "one text", *rest) for i in range(480)])):
+        found = queries.op6_reshard(spark, save(spark, tmp_path / name, data)).collect()
+        counts = _counts(found)
+        assert len(found) == 480 and sorted(counts) == list(range(24)) and set(counts.values()) == {20}
+        slots = sorted((r["shard"], r["slot"]) for r in found)
+        assert slots == [(s, k) for s in range(24) for k in range(20)]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = frame(spark).withColumns({c: F.lit("mine") for c in ("_old", "_size", "_crc", "_key", "row")})
+    keyed = reshard.keyed(docs, F.lit(0))
+    _, blocks = reshard.plan(keyed, None, 3)
+    folder = reshard.rewrite(reshard.assign(keyed, blocks), ["doc_id", "_old", "_key", "row"], 1, 3)
+    found = spark.read.parquet(folder)
+    assert found.count() == docs.count() and found.where("_old = 'mine' and _key = 'mine' and row = 'mine'").count() == docs.count()
