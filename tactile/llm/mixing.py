@@ -10,7 +10,9 @@ what is over is dealt again by weight until no source is above.
 
 Results: null texts and blank texts have size 0 and are taken 0 times. Repeated rows are separate
 documents. Null sources are one source. Reruns agree, as keys depend on ``doc_id``, text and seed
-only. No table of the result is empty unless the input is.
+only. No table of the result is empty unless the input is. Of rows equal in id, text and source one
+stands for all where texts are written. Other columns are kept, whatever their names. ``targets`` works
+on one row a source in one task: sources are meant to be tens, not one for each host.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tactile.llm.common import SPACE, n_words, prefix_sums, store
+from tactile.llm.common import SPACE, free_name, n_words, prefix_sums, store
 
 WEIGHTS = (5, 2, 1)
 
@@ -100,17 +102,24 @@ def apply(docs: DataFrame, plan: Mix = DEFAULT, doc_id: str = "doc_id", text: st
     same columns as ``docs``."""
     rows = mix(docs, doc_id, text, source, plan).where(F.col("taken") > 0)
     size, taken = F.col("size"), F.col("taken")
-    # Repeated rows share a key and are interchangeable: their copies are added up.
-    wanted = rows.groupBy(F.col("text_key").alias("_key")).agg(
-        F.sum(F.floor(taken / size)).cast("int").alias("_whole"), F.max(taken % size).alias("_words")
+    # Rows equal in id, text and source are interchangeable: their copies are added up. A source is
+    # cut in one row at most.
+    wanted = rows.groupBy(F.col("text_key").alias("key"), _named(F.col("source")).alias("of")).agg(
+        F.sum(F.floor(taken / size)).cast("int").alias("whole"), F.max(taken % size).alias("words")
     )
-    own = docs.withColumn("_own", random_key(F.col(doc_id), F.col(text), plan.seed)).dropDuplicates(["_own"])
-    joined = own.join(wanted, F.col("_own") == F.col("_key"))
-    cut = F.when(F.col("_words") > 0, F.array(first_words(F.col(text), F.col("_words")))).otherwise(
-        F.array().cast("array<string>")
-    )
-    copies = F.concat(F.array_repeat(F.col(text), F.col("_whole")), cut)
-    out = joined.withColumn("_text", F.explode(copies)).withColumn(text, F.col("_text"))
+    own, of, cut, copy = (free_name(docs, n) for n in ("own", "of", "cut", "copy"))
+    keyed = docs.withColumns({own: random_key(F.col(doc_id), F.col(text), plan.seed), of: _named(F.col(source))})
+    wanted = wanted.select(F.col("key").alias(own), F.col("of").alias(of), F.struct("whole", "words").alias(cut))
+    joined = keyed.dropDuplicates([own, of]).join(wanted, [own, of])
+    words = F.col(cut)["words"]
+    last = F.when(words > 0, F.array(first_words(F.col(text), words))).otherwise(F.array().cast("array<string>"))
+    copies = F.concat(F.array_repeat(F.col(text), F.col(cut)["whole"]), last)
+    out = joined.withColumn(copy, F.explode(copies)).withColumn(text, F.col(copy))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+def _named(source: Column) -> Column:
+    """A source as a key of a join: null is not empty."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))

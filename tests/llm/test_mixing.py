@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 from edges import frame, rows, save
+from pyspark.sql import functions as F
 
 from tactile.llm import mixing, queries
 
@@ -80,3 +81,13 @@ def test_empty(spark, tmp_path):
     blank = [(*r[:1], "", *r[2:]) for r in rows()]
     assert {r["taken"] for r in queries.op3_mixing(spark, save(spark, tmp_path / "b", blank)).collect()} == {0}
     assert mixing.apply(frame(spark, blank)).count() == 0
+
+
+def test_one_text_in_several_sources_keeps_its_words(spark):
+    """The same id and text in three sources: each source gets its words, under its name."""
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text, s) for s in "abc"], "doc_id long, text string, source string")
+    plan = {r["source"]: r["taken"] for r in mixing.mix(docs).collect()}
+    out = mixing.apply(docs)
+    words = out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in words} == plan and sum(plan.values()) == 450
