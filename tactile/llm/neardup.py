@@ -9,9 +9,8 @@ How hot lists stay harmless without losing a link:
 
 - Documents with equal sets are one node. Links are sought between nodes.
 - In a sketch, values are taken from rare to frequent, and only a prefix is listed: a pair similar
-  enough shares a listed value whatever the order is (small sets: by counting; large ones: a pair
-  at the threshold would have to share under half of its sketch values, 4.6 deviations away for
-  k = 64). A passage that many documents repeat comes last in the order and is listed only for
+  enough shares a listed value whatever the order is (small sets: by counting; large ones: but for
+  the chance at ``LEAST_SHARE``). A passage that many documents repeat comes last in the order and is listed only for
   documents that consist of it.
 - In each list every node is first compared with the smallest node of its list, the head. Near
   copies of one text end up in one component that way, by one link each. After that only pairs of
@@ -36,13 +35,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tactile.llm.common import small, store, text_slices
+from tactile.llm.common import free_name, small, store, text_slices
 from tactile.llm.components import components
 
 MASK = (1 << 64) - 1
 SHORT = 0x9E3779B97F4A7C15
 GROUP_ROWS = 64
 BLOCK_ROWS = 512
+# A pair at the threshold shares at least this part of its sketch, but for a chance of 6e-10 (the
+# binomial tail of 24 or less of 64 at 0.75, below which neither lists nor the estimate may fall).
+LEAST_SHARE = 3 / 8
 
 
 @dataclass(frozen=True)
@@ -61,9 +63,12 @@ class _Hashes(dict):
     """Word hashes, kept for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        # Long words are rare, and would make the memory follow their bytes.
+        if len(word) <= 32:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -148,7 +153,7 @@ def _prefix_length(n: Column, how: Near) -> Column:
     """How many values, rare ones first, must be listed so that no link is missed."""
     m = F.least(n, F.lit(how.k))
     exact = n - F.ceil(n * how.numerator / 100) + 1
-    return F.when(n * 100 <= how.k * how.numerator, exact).otherwise(m - F.ceil(m / 2) + 1)
+    return F.when(n * 100 <= how.k * how.numerator, exact).otherwise(m - F.floor(m * LEAST_SHARE) + 1)
 
 
 def _alike(a: str, b: str, how: Near) -> Column:
@@ -169,13 +174,13 @@ def listed(nodes: DataFrame, how: Near) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
-    """The pairs whose union sketch allows a link: at most 4.6 deviations under it."""
+    """The pairs whose union sketch allows a link."""
     side = nodes.select("nid", "sketch")
     rows = pairs.select("a", "b")
     for end in ("a", "b"):
         own = side.select(F.col("nid").alias(end), F.col("sketch").alias(f"sketch_{end}"))
         rows = rows.join(own, end)
-    slack = how.numerator / 100 - 4.6 * (0.75 * 0.25 / how.k) ** 0.5
+    slack = LEAST_SHARE
 
     def run(batches):
         from tactile.llm.neardup import union_estimate
@@ -299,15 +304,17 @@ def joins(left: list[int], right: list[int], sets: list[np.ndarray], label: list
     sketch = [s[: how.k] for s in sets]
     shared, found = Shared([sketch[j] for j in right]), []
     sizes = np.array([len(sets[j]) for j in right])
+    labels = np.array([label[j] for j in right])
     for i in left:
         n = len(sets[i])
         fits = 100 * np.minimum(sizes, n) >= how.numerator * np.maximum(sizes, n)
-        fits &= np.array([root(label[j]) for j in right]) != root(label[i])
+        fits &= labels != label[i]
         if not fits.any():
             continue
         counts = shared.counts(sketch[i])
-        # A link needs about half of the sketch in common (see above); likely ones come first.
-        for at in sorted(np.flatnonzero(fits & (counts >= 0.4 * len(sketch[i]))), key=lambda at: -counts[at]):
+        # Likely ones come first; whole sets of up to k share what they must.
+        least = LEAST_SHARE * len(sketch[i])
+        for at in sorted(np.flatnonzero(fits & (counts >= least)), key=lambda at: -counts[at]):
             j = right[at]
             if root(label[i]) != root(label[j]) and similar(sets[i], sets[j], how.numerator):
                 parent[max(root(label[i]), root(label[j]))] = min(root(label[i]), root(label[j]))
@@ -386,13 +393,14 @@ def drop_copies(docs: DataFrame, how: Near = DEFAULT, doc_id: str = "doc_id", te
     """One document of each component: the one with the smallest ``doc_id`` (one row of it)."""
     found = near_duplicates(docs, how, doc_id, text).where(F.col("doc_id").isNotNull())
     copies = store(found.groupBy("doc_id", "text_key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "copies")
-    gone = store(copies.where("not kept"), "gone").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_key": F.xxhash64(text)})
-    kept = keyed.join(small(gone, gone.count()), ["_id", "_key"], "left_anti")
+    own, key = free_name(docs, "own"), free_name(docs, "key")
+    gone = store(copies.where("not kept"), "gone").select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
+    keyed = docs.withColumns({own: F.col(doc_id).cast("long"), key: F.xxhash64(text)})
+    kept = keyed.join(small(gone, gone.count()), [own, key], "left_anti")
     # Of a row that comes repeatedly, one stays.
-    again = copies.where("kept and rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    again = copies.where("kept and rows > 1").select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
     again = store(again, "again")
     if n := again.count():
-        once = kept.join(small(again, n), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-        kept = kept.join(small(again, n), ["_id", "_key"], "left_anti").unionByName(once)
+        once = kept.join(small(again, n), [own, key], "left_semi").dropDuplicates([own, key])
+        kept = kept.join(small(again, n), [own, key], "left_anti").unionByName(once)
     return kept.select(*docs.columns)
