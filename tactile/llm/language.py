@@ -32,7 +32,7 @@ from tactile.llm.common import store
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
 MOST_LETTERS = 24
-RESULT = "lang string, score double, words long, switches long"
+RESULT = "lang string, score double, words long, switches long, sure double"
 
 
 def word_list(text: str) -> list[str]:
@@ -273,7 +273,7 @@ class Labeller:
         rows = []
         for posterior, letters in self.posteriors(texts):
             if not len(letters):
-                rows.append({"lang": UND, "score": 0.0, "words": 0, "switches": 0})
+                rows.append({"lang": UND, "score": 0.0, "words": 0, "switches": 0, "sure": 0.0})
                 continue
             share = (posterior * letters[:, None]).sum(axis=0) / letters.sum()
             best = int(share.argmax())
@@ -284,6 +284,7 @@ class Labeller:
                     "score": float(min(1.0, share[best])),
                     "words": len(letters),
                     "switches": int((labels[1:] != labels[:-1]).sum()),
+                    "sure": float(min(1.0, (posterior.max(axis=1) * letters).sum() / letters.sum())),
                 }
             )
         return rows
@@ -335,12 +336,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
-    """Struct column ``lang, score, words, switches`` for the whole text of each row."""
+    """Struct column ``lang, score, words, switches, sure`` for the whole text of each row."""
     if model is None:
-        none = [F.lit(UND).alias("lang"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("switches")]
+        none = [F.lit(UND).alias("lang"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("switches"), F.lit(0.0).alias("sure")]
         return F.struct(*none)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("words", pa.int64()), ("switches", pa.int64())])
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("words", pa.int64()), ("switches", pa.int64()), ("sure", pa.float64())])
 
     def label(batches):
         from tactile.llm.common import slices

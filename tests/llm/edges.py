@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, node string, ids string, shard int, word string, n long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, node string, ids string, shard int, word string, n long, _id string, _key string, _own string, _words string, _text string, _found string, own string, key string, found string"
 
 
 def text(seed: int, n: int, words: str = "the of and to in that with from this are ordre maison haus strasse") -> str:
@@ -10,6 +10,10 @@ def text(seed: int, n: int, words: str = "the of and to in that with from this a
     return " ".join(rng.choice(words.split()) + rng.choice(["", "", "s", "ing", "ed", "x"]) for _ in range(n))
 
 
+# Values of columns that are named like ones that operators add on their way.
+MINE = ("mine",) * 9
+
+
 def rows(n: int = 60) -> list[tuple]:
     out = []
     for i in range(n):
@@ -18,8 +22,8 @@ def rows(n: int = 60) -> list[tuple]:
             t = out[-1][1]
         if i % 7 == 4:
             t = (out[-1][1] or "") + " more"
-        out.append((i, t, "en" if i % 3 else "fr", f"s{i % 4}", len(t or ""), 1, 0.5, "x", "y", 3, "w", 9))
-    rest = (None,) * 7
+        out.append((i, t, "en" if i % 3 else "fr", f"s{i % 4}", len(t or ""), 1, 0.5, "x", "y", 3, "w", 9, *MINE))
+    rest = (None,) * 7 + MINE
     out += [
         (100, None, "en", "s1", None, *rest),
         (101, "", None, None, 0, *rest),
@@ -39,7 +43,9 @@ def rows(n: int = 60) -> list[tuple]:
 
 
 def frame(spark, data=None):
-    return spark.createDataFrame(rows() if data is None else data, SCHEMA)
+    data = rows() if data is None else data
+    # Shorter rows may leave the last columns out.
+    return spark.createDataFrame([(*r, *[None] * (21 - len(r))) for r in data], SCHEMA)
 
 
 def save(spark, folder, data=None, name="documents"):

@@ -27,6 +27,7 @@ def test_each_stage_against_its_definition(spark):
 
     kept = store(stages["language_identification"](spark, docs, SF), "kept")
     assert kept.columns == docs.columns
+    # Clean texts stay, however short; only ones that no model could tell may go.
     assert kept.count() >= docs.count() - 1 and kept.join(docs, docs.columns, "left_anti").count() == 0
 
     data = [(r["doc_id"], r["text"]) for r in kept.collect()]
@@ -73,3 +74,16 @@ def test_edge_rows(spark, tmp_path):
         docs = out
     assert docs.count() > 0 and docs.where("size(ids) = 0").count() == 0
     assert corpus_pipeline.run(spark, save(spark, tmp_path, [])).count() == 0
+
+
+def test_noise_goes_and_short_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = ["жщъы ущцх гшщэ ъъы", "漢字 仮名 交じり 文", "ωξψ φθζ ξξψ", "1234 !!! ..."]
+    clean = ["Was orer.", "The and of", "Ie, des.", "De la"]
+    extra = [(900_000 + i, t, None, "s", len(t)) for i, t in enumerate(noise + clean)]
+    both = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = corpus_pipeline.identify_language(spark, both, SF)
+    rows = {r["doc_id"]: r["lang"] for r in kept.where("doc_id >= 900000").collect()}
+    assert sorted(rows) == [900_004, 900_005, 900_006, 900_007]
+    assert all(rows.values()), "a language is filled in where there was none"
+    assert kept.where("doc_id < 900000").count() >= docs.count() - 1
