@@ -200,6 +200,54 @@ class Throttle:
         return state
 
 
+class Switched:
+    """T3. Another machine that rows of control start and stop: at ``start`` and at ``stop`` it forgets
+    everything, and between a stop and the next start frames are not looked at. Before the first
+    control row a session is on.
+
+    Columns: those of the machine, and ``control`` (``start``, ``stop``, or null on a frame). Rows of
+    control emit nothing; they act in the order of the rows, before or after frames of their instant.
+    """
+
+    def __init__(self, machine):
+        self.machine = machine
+        self.inputs, self.outputs = [*machine.inputs, "control"], machine.outputs
+        self.state = [("running", "boolean"), *machine.state]
+        self.initial = (True, *machine.initial)
+        if hasattr(machine, "head"):
+            self.head = [("switched", "boolean"), ("running", "boolean"), ("frames", "int"), *machine.head]
+
+    def run(self, state, *columns):
+        running, *inner = state
+        inner, out, start = tuple(inner), [], 0
+        *frames, control = columns
+        for at in [*(i for i, c in enumerate(control) if c is not None), len(control)]:
+            if running and at > start:
+                part, inner = self.machine.run(inner, *[c[start:at] for c in frames])
+                out += [(row[0] + start, *row[1:]) for row in part]
+            if at < len(control):
+                running, inner, start = control[at] == "start", self.machine.initial, at + 1
+        return out, (running, *inner)
+
+    def heads(self, *columns):
+        """As of the machine for what follows the last row of control."""
+        *frames, control = columns
+        last = max((i for i, c in enumerate(control) if c is not None), default=-1)
+        tail = [c[last + 1 :] for c in frames]
+        shared = (last >= 0, last < 0 or control[last] == "start", len(tail[0]))
+        rows = self.machine.heads(*tail) if len(tail[0]) else [(None,) * len(self.machine.head)]
+        return [(*shared, *row) for row in rows]
+
+    def enter(self, state, rows):
+        running, *inner = state
+        switched, starts, frames = rows[0][:3]
+        if switched:
+            running, inner = starts, self.machine.initial
+        if running and frames:
+            inner = self.machine.enter(tuple(inner), [tuple(row[3:]) for row in rows])
+        return (running, *inner)
+
+
 class Idle:
     """T3. Another machine that starts anew after a pause of more than ``idle_ms``."""
 

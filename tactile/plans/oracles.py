@@ -557,11 +557,34 @@ LEFT JOIN heard h ON h.session_id = s.session_id AND h.n = s.n""",
 }
 CAPTURE["message_throttle_stream"] = CAPTURE["message_throttle"]
 CAPTURE["thinned_stream"] = f"""
-SELECT DISTINCT user_id AS session_id, epoch_us(ts) // {6 * HOUR * 1000} AS slot FROM events"""
+SELECT user_id AS session_id, epoch_us(ts) // {6 * HOUR * 1000} AS slot, epoch_us(ts) // 1000 AS ms, event_type FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, epoch_us(ts) // {6 * HOUR * 1000} ORDER BY ts, event_type) = 1"""
+# What lies between two rows of control is a session of its own; nothing counts after a stop.
+SWITCHED = JUDGED.replace(
+    "judged AS (",
+    """controlled AS (
+  SELECT *, CASE WHEN event_id % 23 = 0 THEN 'stop' WHEN event_id % 29 = 0 THEN 'start' END AS control FROM flagged),
+segments AS (
+  SELECT * REPLACE (session_id * 1000000 + count(control) OVER w AS session_id), last_value(control IGNORE NULLS) OVER w AS latest
+  FROM controlled WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
+judged AS (""",
+).replace("AS code\n  FROM flagged)", "AS code\n  FROM segments WHERE control IS NULL AND latest IS DISTINCT FROM 'stop')")
+CAPTURE["switched_sessions"] = f"""
+WITH RECURSIVE {_held(SWITCHED, "event_id", 20 * HOUR, 10 * HOUR)}
+SELECT session_id // 1000000 AS session_id, event_id, seq, code, coalesce(elapsed_ms, -1) AS elapsed_ms FROM emitted"""
+CAPTURE["switched_sessions_stream"] = CAPTURE["switched_sessions"]
 # Without automatic capture no hold ends; without voice only forced messages are left.
 CAPTURE["silent_capture"] = f"""
 WITH RECURSIVE {_throttled(f"{_held(JUDGED, 'event_id', 10**15, 10 * HOUR)}, {_SAID} AND e.code IN ('WARN', 'FIRE'))", 18 * HOUR, 25 * HOUR)}
 SELECT session_id, event_id, seq, text FROM said JOIN heard USING (session_id, n) WHERE passed"""
+BLANK_LINES = LINES.replace("w AS text", "CASE WHEN doc_id % 3 = 0 THEN '' ELSE w END AS text").replace(
+    "sum(x1 - x0) / sum(length(text)) AS char_width",
+    "coalesce(sum(x1 - x0) / nullif(sum(length(text)), 0), median(y1 - y0)) AS char_width",
+)
+LAYOUT["blank_line_widths"] = f"""
+WITH RECURSIVE {BLANK_LINES}
+SELECT image, det_idx, round(char_width, 6) AS char_width, round(gap / char_width, 6) AS gap_ratio, coalesce(space, FALSE) AS space
+FROM spaced WHERE text = ''"""
 LAYOUT["calibration_files"] = LAYOUT["calibration_report"]
 LAYOUT["summary_files"] = LAYOUT["image_summary"]
 

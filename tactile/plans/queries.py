@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tactile.functions import braille, geometry, text as txt
 from tactile.operators import calibration, capture, frames, layout, pages, results
 from tactile.operators.ordered import BROADCAST_KEYS, Bound
-from tactile.operators.sessions import Hold, Throttle
+from tactile.operators.sessions import Hold, Switched, Throttle, fold
 from tactile.plans import derive
 from tactile.session import new_folder
 from tactile.sources import images as image_files, sinks
@@ -194,26 +194,45 @@ def calibration_report(spark, sf_dir):
     return calibration.report_rows(_calibration_rows(spark, sf_dir))
 
 
-def calibration_files(spark, sf_dir):
-    """S4. The report as files, read back."""
+def blank_line_widths(spark, sf_dir):
+    """A3. Lines without any character: in every third image the recogniser found boxes but no text.
+    The median of their heights stands for the width of a character."""
+    found = boxes(spark, sf_dir)
+    third = F.substring("image", 5, 20).cast("long") % 3 == 0
+    placed = layout.layout(found.withColumn("text", F.when(third, "").otherwise(F.col("text"))), bound=box_bound(spark, sf_dir))
+    return placed.where(F.length("text") == 0).select(
+        "image",
+        "det_idx",
+        F.round("char_width", 6).alias("char_width"),
+        F.round("gap_ratio", 6).alias("gap_ratio"),
+        F.coalesce("space", F.lit(False)).alias("space"),
+    )
+
+
+def _report_files(spark, sf_dir):
     path = new_folder(spark, "report")
-    rows = _calibration_rows(spark, sf_dir)
-    sinks.write_report(rows, path)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in calibration.report_rows(rows).schema)
-    return spark.read.schema(kinds).option("header", True).csv(path)
+    placed = layout.layout(_readable_boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
+    sinks.write_reports(placed, derive.images(spark, sf_dir), f"{path}/gaps.csv", box_bound(spark, sf_dir))
+    return path
+
+
+def calibration_files(spark, sf_dir):
+    """S4. Both reports as files, the first read back."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in calibration.report_rows(_calibration_rows(spark, sf_dir)).schema)
+    return spark.read.schema(kinds).option("header", True).csv(f"{_report_files(spark, sf_dir)}/gaps.csv")
 
 
 def summary_files(spark, sf_dir):
-    """S5. The summary as files, read back."""
-    path = new_folder(spark, "summary")
-    sinks.write_summary(image_summary(spark, sf_dir), path)
+    """S5. Both reports as files, the summary read back."""
     kinds = "image string, final_text string, overall_confidence double, note string"
-    return spark.read.schema(kinds).option("header", True).csv(path).fillna("", ["final_text", "note"])
+    found = spark.read.schema(kinds).option("header", True).csv(f"{_report_files(spark, sf_dir)}/gaps_summary.csv")
+    found = found.withColumn("overall_confidence", F.round("overall_confidence", 6))
+    return found.fillna("", ["final_text", "note"])
 
 
 def run_counts(spark, sf_dir):
     """A19 as a table: images by note, with the rows each brings to the report."""
-    texts = layout.assemble_text(boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
+    texts = layout.assemble_text(_readable_boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
     summary = calibration.summary(derive.images(spark, sf_dir), texts, ("boxes",))
     return (
         summary.withColumn("note", F.regexp_replace("note", ": .*", ""))
@@ -441,14 +460,16 @@ def _spoken(spark, sf_dir, events, voice: bool = True):
 
 # ------------------------------------------------------------------- streaming
 SLICES = 5
-FILES_PER_TRIGGER = 2
 
 
 def _as_stream(spark: SparkSession, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Rows as a stream of several micro-batches: written slice by slice of time, in any order
     inside a slice, and a last row that moves time on. Also the length of a slice in ms, which is
-    as far as a row may come late."""
-    folder = new_folder(spark, name)
+    as far as a row may come late. A trigger takes a share of the files, so there are as many
+    micro-batches at any size."""
+    whole, folder = new_folder(spark, f"{name}-whole"), new_folder(spark, name)
+    rows.write.parquet(whole)
+    rows = spark.read.schema(rows.schema).parquet(whole)
     ms = capture.millis(F.col("ts"))
     first, last = rows.agg(F.min(ms), F.max(ms)).first()
     step = ((last or 0) - (first or 0)) // SLICES + 1
@@ -456,7 +477,8 @@ def _as_stream(spark: SparkSession, rows: DataFrame, name: str) -> tuple[DataFra
         start = (first or 0) + i * step
         rows.where((ms >= start) & (ms < start + step)).write.mode("append").parquet(folder)
     closing_row(rows).write.mode("append").parquet(folder)
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    n_files = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-n_files // SLICES)))
     return reader.parquet(folder), step
 
 
@@ -490,14 +512,37 @@ def message_throttle_stream(spark, sf_dir):
 
 
 def thinned_stream(spark, sf_dir):
-    """S9. The intervals of users that a thinned stream of events keeps a row of."""
+    """S9. The event that a thinned stream keeps of each interval of a user."""
     events = derive.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), derive.instant(F.col("ts")), F.col("event_type").alias("luma")
     )
     source, late = _as_stream(spark, events, "events")
-    kept = thin_stream(source.where(F.col("session_id").isNotNull()), f"{late + 6 * HOUR} milliseconds", 6 * HOUR)
+    kept = thin_stream(source, f"{late} milliseconds", 6 * HOUR)
     slot = F.floor(F.unix_millis("ts") / F.lit(6 * HOUR)).alias("slot")
-    return _drain(spark, kept, "thinned").select("session_id", slot)
+    return _drain(spark, kept, "thinned").select("session_id", slot, capture.millis(F.col("ts")).alias("ms"), F.col("luma").alias("event_type"))
+
+
+def _switched_rows(flags):
+    """Every 23rd event stops its session, every other 29th starts it anew."""
+    n = F.col("event_id")
+    control = F.when(n % 23 == 0, "stop").when(n % 29 == 0, "start")
+    return capture.judged(flags).withColumn("control", control)
+
+
+def switched_sessions(spark, sf_dir):
+    """T3. Holds of sessions that start and stop several times."""
+    rows = _switched_rows(derive.event_flags(spark, sf_dir))
+    events = fold(rows, Switched(Hold(**EVENT_HOLD)), ["session_id"], EVENT_ORDER, (), event_bound(spark, sf_dir))
+    return events.select("session_id", "event_id", "seq", "code", F.coalesce("elapsed_ms", F.lit(-1)).alias("elapsed_ms"))
+
+
+def switched_sessions_stream(spark, sf_dir):
+    """T3. The same on a stream: rows of control wait and act in order with the frames."""
+    flags, late = _as_stream(spark, derive.event_flags(spark, sf_dir), "switched")
+    events = fold_stream(_switched_rows(flags), Switched(Hold(**EVENT_HOLD)), EVENT_ORDER, delay_ms=late)
+    return _drain(spark, events, "switched").where(~F.col("late")).select(
+        "session_id", "event_id", "seq", "code", F.coalesce("elapsed_ms", F.lit(-1)).alias("elapsed_ms")
+    )
 
 
 def live_capture_stream(spark, sf_dir):
@@ -534,5 +579,6 @@ QUERIES = {
         image_quality, resize_plan, guidance_codes, hold_fire, first_shot, held_runs,
         message_throttle, spoken_guidance, hold_fire_stream, message_throttle_stream,
         live_capture_stream, calibration_files, summary_files, silent_capture, thinned_stream,
+        switched_sessions, switched_sessions_stream, blank_line_widths,
     )
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tactile.operators import capture
 from tactile.operators.ordered import SMALL, Bound, Chunks, Scan, Windows
-from tactile.operators.sessions import Hold, Idle, Throttle, fold
+from tactile.operators.sessions import Hold, Idle, Switched, Throttle, fold
 
 HOT = Bound(max_rows=5, chunk_rows=7)
 
@@ -213,3 +213,58 @@ def test_a_fold_runs_once(spark):
     events = capture.guidance(rows, once=True, bound=sizes)
     plan = capture.throttle(capture.messages(events), ["ts", "seq"], bound=sizes)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2
+
+
+# ------------------------------------------------------------- start and stop
+def switched_rows(rng, n):
+    rows = random_rows(rng, n, 300, 0.9)
+    return [(t, ok, code, rng.choice([None] * 8 + ["start", "stop"])) for t, ok, code, _ in rows]
+
+
+def plain_switched(machine, rows):
+    """Each stretch between rows of control as a session of its own."""
+    out, running, part = [], True, []
+    for i, row in enumerate([*rows, (None, None, None, "stop")]):
+        if row[3] is None:
+            part.append((i, row))
+            continue
+        if running and part:
+            found, _ = machine.run(machine.initial, *map(list, zip(*[r[:3] for _, r in part])))
+            out += [(part[e[0]][0], *e[1:]) for e in found]
+        running, part = row[3] == "start", []
+    return out
+
+
+def test_control_rows_start_and_stop_a_session():
+    rng = random.Random(12)
+    for _ in range(300):
+        rows, machine = switched_rows(rng, rng.randint(1, 60)), Hold()
+        whole = Switched(machine)
+        found, state = whole.run(whole.initial, *map(list, zip(*rows)))
+        assert found == plain_switched(machine, rows)
+        # Any cut into pieces, and chunks that are entered by their reports, come to the same.
+        cut = rng.randrange(len(rows) + 1)
+        pieces, entered, at = [], whole.initial, whole.initial
+        for start, part in ((0, rows[:cut]), (cut, rows[cut:])):
+            if part:
+                columns = list(map(list, zip(*part)))
+                out, at = whole.run(at, *columns)
+                pieces += [(row[0] + start, *row[1:]) for row in out]
+                entered = whole.enter(entered, whole.heads(*columns))
+                assert tuple(entered) == tuple(at)
+        assert pieces == found and tuple(at) == tuple(state)
+
+
+def test_switched_sessions_in_chunks(spark):
+    """A hot session in chunks gives what the plain walk gives."""
+    rng = random.Random(3)
+    rows = [(f"s{k}", i, *r) for k, n in enumerate((3, 200)) for i, r in enumerate(switched_rows(rng, n))]
+    df = spark.createDataFrame(rows, "session_id string, n int, ms long, ok boolean, code string, control string")
+    for bound in (Bound(), HOT):
+        found = fold(df, Switched(Hold()), ["session_id"], ["ms", "n"], (), bound).collect()
+        got = sorted((r["session_id"], r["n"], r["seq"], r["code"], r["elapsed_ms"]) for r in found if r["code"])
+        expected = []
+        for key in ("s0", "s1"):
+            own = [r for r in rows if r[0] == key]
+            expected += [(key, own[i][1], seq, code, e) for i, seq, code, e in plain_switched(Hold(), [r[2:] for r in own])]
+        assert sorted(got, key=str) == sorted(expected, key=str)

@@ -227,3 +227,104 @@ def test_no_temporary_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         session.checkpoint_root(Spark())
+
+
+def _log(folder, kind, image):
+    """A call that can be counted from outside the worker."""
+    import uuid
+
+    (folder / f"{kind}.{image}.{uuid.uuid4().hex}").mkdir()
+
+
+def _calls(folder, kind):
+    return sorted(name.split(".")[1] for name in os.listdir(folder) if name.startswith(kind + "."))
+
+
+def test_second_engine_runs_only_where_the_first_gave_nothing(spark, tmp_path):
+    from tactile.sources.engines import Engine, cascade
+
+    def first(model, row):
+        _log(tmp_path, "first", row["image"])
+        if row["image"].startswith("broken"):
+            raise ValueError("no first")
+        return {"text": {"good": "found", "blank": " "}.get(row["image"]), "confidence": 70.0, "words": None}
+
+    def second(model, row):
+        _log(tmp_path, "second", row["image"])
+        if row["image"] == "broken-twice":
+            raise ValueError("no second")
+        return {"text": "a\r\nb" if row["image"] != "broken-empty" else ""}
+
+    images = ["good", "blank", "none", "broken", "broken-twice", "broken-empty"]
+    df = spark.createDataFrame([(i,) for i in images], "image string")
+    chosen = cascade(df, Engine(lambda: None, first), Engine(lambda: None, second))
+    for _ in range(2):
+        got = {r["image"]: (r["engine_rank"], r["text"], r["confidence"], r["note"]) for r in chosen.collect()}
+        assert got == {
+            "good": (1, "found", 70.0, ""), "blank": (2, "a b", 85.0, ""), "none": (2, "a b", 85.0, ""),
+            "broken": (2, "a b", 85.0, ""), "broken-twice": (0, "", 0.0, "ERROR: OCR failed: no second"),
+            "broken-empty": (2, "", 85.0, "ERROR: OCR failed: no first"),
+        }
+    # Each image once by the first engine, the rest once by the second, however often it is used.
+    assert _calls(tmp_path, "first") == sorted(images)
+    assert _calls(tmp_path, "second") == sorted(set(images) - {"good"})
+
+
+def test_batches_of_images(spark, tmp_path):
+    """As many calls as batches; an image that cannot be read fails alone, or falls back."""
+    names = [f"i{k}" for k in range(10)]
+    images = spark.createDataFrame([(n, b"x" * (50 if n == "i9" else 10)) for n in names], "image string, data binary").coalesce(1)
+
+    def read(model, rows):
+        _log(tmp_path / kind, "read", str(len(rows)))
+        if any(r["image"] in bad for r in rows):
+            raise ValueError("poisoned")
+        return [[(square(0, 0, 1, 1), r["image"], 1.0)] for r in rows]
+
+    for kind, bad, fallback in (("all", (), None), ("bad", ("i2",), None), ("back", ("i2",), lambda m, row: [(square(0, 0, 1, 1), "again", 0.5)])):
+        (tmp_path / kind).mkdir()
+        found = detections.recognize(images, lambda: None, read, fallback, batch=detections.Batch(rows=4, bytes=100)).collect()
+        got = {r["image"]: (r["text"], r["error"]) for r in found}
+        if kind == "all":
+            assert got == {n: (n, None) for n in names} and len(found) == 10
+            assert _calls(tmp_path / kind, "read") == ["2", "4", "4"]
+        else:
+            expected = (None, "OCR failed: poisoned") if kind == "bad" else ("again", None)
+            assert got == {n: (n, None) if n != "i2" else expected for n in names}
+            assert _calls(tmp_path / kind, "read") == ["1"] * 4 + ["2", "4", "4"]
+    one = detections.bounded(iter([{"a": b"x" * 500}, {"a": b"x"}]), detections.Batch(rows=4, bytes=100))
+    assert [len(p) for p in one] == [1, 1]
+
+
+def test_both_reports_or_neither(spark, tmp_path):
+    rows = [("a", k, [(10.0 * k, 0.0), (10.0 * k + 8, 10.0)], f"t{k}", 0.5) for k in range(3)]
+    boxes = layout.to_boxes(spark.createDataFrame(rows, detections.SCHEMA), 1.0)
+    images = spark.createDataFrame([("a", None), ("b", "no image")], "image string, error string")
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    placed = layout.layout(boxes)
+    counted = placed.mapInArrow(seen, placed.schema)
+    out = str(tmp_path / "gaps.csv")
+    assert sinks.write_reports(counted, images, out) == {"rows": 3, "summary": 2}
+    assert runs.value == 3, "the layout runs once for both"
+    report, summary = (sorted(open(f"{tmp_path}/{n}/{f}").read() for f in os.listdir(f"{tmp_path}/{n}") if f.startswith("part")) for n in ("gaps.csv", "gaps_summary.csv"))
+
+    def fails(batches):
+        for batch in batches:
+            raise ValueError("lost")
+            yield batch
+
+    good = calibration.calibration_rows(placed)
+    bad = calibration.summary(images, layout.image_text(placed))
+    broken = bad.mapInArrow(fails, bad.schema)
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_calibration(good.limit(1), broken, out)
+    again = [sorted(open(f"{tmp_path}/{n}/{f}").read() for f in os.listdir(f"{tmp_path}/{n}") if f.startswith("part")) for n in ("gaps.csv", "gaps_summary.csv")]
+    assert again == [report, summary], "both are as before"
+    assert sorted(os.listdir(tmp_path)) == ["gaps.csv", "gaps_summary.csv"]
+    assert sinks.write_calibration(good, bad, out) == {"rows": 3, "summary": 2}

@@ -125,16 +125,21 @@ def test_live_capture_equals_batch(spark, tmp_path):
 def test_thinned_stream_feeds_the_capture(spark, tmp_path):
     folder = str(tmp_path / "frames")
     rows = [r for r in camera(80)] + [("cam0", 40 * 150 + 1, 120, 160, None)]
-    rows.sort(key=lambda r: r[1])
-    write_in_files(spark, rows, "session_id string, ms long, width int, height int, luma binary", folder, 3)
+    # In any order within some seconds.
+    shuffled = sorted(rows, key=lambda r: (r[1] // 4000, random.Random(repr(r[:2])).random()))
+    write_in_files(spark, shuffled, "session_id string, ms long, width int, height int, luma binary", folder, 3)
+    closing_row(spark.read.parquet(folder)).coalesce(1).write.mode("append").parquet(folder)
     thinned = thin_stream(stream_frames(spark, folder, files_per_trigger=1))
     got, _ = drain(spark, thinned, str(tmp_path / "thin"))
+    # The same frames as in batch, whatever the order of arrival.
+    seen = spark.read.schema(SCHEMA).parquet(folder).where("luma is not null and session_id is not null")
+    same(got, frames.thin(seen))
     slots = got.groupBy("session_id", F.floor(F.unix_millis("ts") / 300)).count()
     assert slots.agg(F.max("count")).first()[0] == 1
-    assert slots.count() == spark.read.parquet(folder).where("luma is not null").select(
+    assert slots.count() == seen.select(
         "session_id", F.floor(F.unix_millis("ts") / 300)
     ).distinct().count()
-    chained = live_capture(thin_stream(stream_frames(spark, folder, files_per_trigger=1)), delay_ms=None)
+    chained = live_capture(thin_stream(stream_frames(spark, folder, files_per_trigger=1), earliest=False), delay_ms=None)
     events, _ = drain(spark, chained, str(tmp_path / "live"))
     assert events.where("code = 'HOLD_START'").count() > 0
 
