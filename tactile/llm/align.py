@@ -41,7 +41,7 @@ from tactile.llm.common import slices, store
 
 SPACE_MARK = "▁"
 SLICE_BYTES = 1 << 20
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 600_000
 # Single spaces between other letters: neither vocabulary reaches across, see ``may_cut``.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 FREQUENT_PAIRS = 300_000
@@ -107,10 +107,17 @@ class Coders:
         """Encode words with a space before each; the second tokenizer puts it there itself."""
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         first = self.first.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+        raw = [(" " + w).encode() for w in words]
+        same = [True] * len(words)
         for side, coded in ((0, [e.ids for e in first]), (1, self.second.encode(words, num_threads=1))):
-            for ids in coded:
-                self.ids[side].extend(ids)
-                self.ends[side].append(len(self.ids[side]))
+            entry = (self.bytes_first, self.bytes_second)[side].__getitem__
+            flat, ends = self.ids[side], self.ends[side]
+            for i, ids in enumerate(coded):
+                flat.extend(ids)
+                ends.append(len(flat))
+                if b"".join(map(entry, ids)) != raw[i]:
+                    same[i] = False
+        self.same.extend(same)
 
     def encode(self, texts: list[str]) -> list[tuple | None]:
         """For each text, ids of both and ends of both; None if its bytes do not come back."""
@@ -122,6 +129,7 @@ class Coders:
         self._learn([w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.place])
         place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64)
         last = np.cumsum([len(w) for w in words])
+        same = np.minimum.reduceat(np.frombuffer(bytes(self.same), np.uint8)[place], last - [len(w) for w in words]).tolist()
         sides = []
         for side, sizes in ((0, self.sizes_first), (1, self.sizes_second)):
             stop = np.array(self.ends[side])
@@ -135,16 +143,20 @@ class Coders:
             (a, ends_a), (b, ends_b) = (
                 (ids[cuts[k] : cuts[k + 1]].tolist(), np.cumsum(sizes[cuts[k] : cuts[k + 1]]).tolist()) for ids, sizes, cuts in sides
             )
-            raw = (" " + text).encode()
-            same = all(b"".join(map(t.__getitem__, ids)) == raw for t, ids in ((self.bytes_first, a), (self.bytes_second, b)))
-            out.append((a, b, ends_a, ends_b) if same else None)
+            back = bool(same[k])
+            if not back:  # words that differ: the whole text decides
+                raw = (" " + text).encode()
+                back = all(b"".join(map(t.__getitem__, ids)) == raw for t, ids in ((self.bytes_first, a), (self.bytes_second, b)))
+            out.append((a, b, ends_a, ends_b) if back else None)
         return out
 
     def forget(self) -> None:
-        """Of words that were encoded: their number, and ids of both, one word after the other."""
+        """Of words that were encoded: their number, ids of both, one word after the other, and whether
+        both give back their bytes."""
         self.place: dict[str, int] = {}
         self.ids = (array("i"), array("i"))
         self.ends = (array("q", [0]), array("q", [0]))
+        self.same = bytearray()
 
 
 @lru_cache(maxsize=1)
