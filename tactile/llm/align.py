@@ -132,10 +132,10 @@ class Coders:
         same = np.minimum.reduceat(np.frombuffer(bytes(self.same), np.uint8)[place], last - [len(w) for w in words]).tolist()
         sides = []
         for side, sizes in ((0, self.sizes_first), (1, self.sizes_second)):
-            stop = np.array(self.ends[side])
+            stop = np.frombuffer(self.ends[side], np.int64)
             start, stop = stop[place], stop[place + 1]
             n = np.cumsum(stop - start)
-            ids = np.array(self.ids[side])[np.repeat(stop - n, stop - start) + np.arange(n[-1])]
+            ids = np.frombuffer(self.ids[side], np.int32)[np.repeat(stop - n, stop - start) + np.arange(n[-1])]
             cuts = [0, *n[last - 1].tolist()]
             sides.append((ids, sizes[ids], cuts))
         out: list[tuple | None] = []

@@ -230,7 +230,7 @@ class Places(dict):
 class Labeller:
     """Labels the words of texts; keeps the scores of words it has seen."""
 
-    MOST_WORDS = 250_000
+    MOST_WORDS = 125_000
 
     def __init__(self, model: Model):
         self.model = model
