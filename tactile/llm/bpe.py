@@ -72,7 +72,7 @@ class Vocabulary:
 
 class Encoder:
     MOST_PIECES = 250_000
-    MOST_PAIRS = 1_000_000
+    MOST_PAIRS = 250_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.pieces = vocabulary.pieces

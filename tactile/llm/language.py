@@ -243,6 +243,10 @@ class Labeller:
 
     def posteriors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text, the distribution of each word with a letter, and its letters."""
+        return [(posterior, letters) for posterior, letters, _ in self.judged(texts)]
+
+    def judged(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``posteriors``, and whether the model knows any feature of each word."""
         if len(self.place) > self.MOST_WORDS:
             self.forget()
         ids = [np.fromiter(map(self.place.__getitem__, word_list(t or "")), np.int64) for t in texts]
@@ -253,7 +257,7 @@ class Labeller:
             self.place.fresh = []
         letters = self.letters
         ids = [w[letters[w] > 0] if len(w) else w for w in ids]
-        out = [(np.zeros((0, len(self.model.langs))), np.zeros(0)) for _ in ids]
+        out = [(np.zeros((0, len(self.model.langs))), np.zeros(0), np.zeros(0, bool)) for _ in ids]
         order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
         start = 0
         while start < len(order):
@@ -266,12 +270,12 @@ class Labeller:
                 scores[: len(ids[i]), b] = self.table[ids[i]]
             posterior, _, _ = forward_backward(scores, lengths, self.model.transitions, self.model.start)
             for b, i in enumerate(group):
-                out[i] = (posterior[: len(ids[i]), b], letters[ids[i]])
+                out[i] = (posterior[: len(ids[i]), b], letters[ids[i]], self.table[ids[i]].any(axis=1))
         return out
 
     def predict(self, texts: list[str | None]) -> list[dict]:
         rows = []
-        for posterior, letters in self.posteriors(texts):
+        for posterior, letters, known in self.judged(texts):
             if not len(letters):
                 rows.append({"lang": UND, "score": 0.0, "words": 0, "switches": 0, "sure": 0.0})
                 continue
@@ -284,7 +288,7 @@ class Labeller:
                     "score": float(min(1.0, share[best])),
                     "words": len(letters),
                     "switches": int((labels[1:] != labels[:-1]).sum()),
-                    "sure": float(min(1.0, (posterior.max(axis=1) * letters).sum() / letters.sum())),
+                    "sure": float(min(1.0, (posterior.max(axis=1) * letters * known).sum() / letters.sum())),
                 }
             )
         return rows
@@ -357,4 +361,5 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> Column
     from collections.abc import Iterator
 
     label.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(label, RESULT)(F.col(text))
+    # Not to be run again for each use of its fields.
+    return F.arrow_udf(label, RESULT).asNondeterministic()(F.col(text))
