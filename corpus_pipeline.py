@@ -14,7 +14,7 @@ from tactile.llm.common import free_name, remainder, store, table
 from tactile.session import ship
 
 
-# A word of which the model knows nothing gets even shares. Texts under this mean are noise to it.
+# Texts under this mean are noise to the model. A word without any feature it knows counts as 0.
 SURE_ENOUGH = 0.4
 
 
