@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 from collections.abc import Iterator
@@ -32,6 +33,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, and the next
+    stage's caches come on top of what it keeps. Where the C library has no such call, only Arrow does."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as no column of ``df`` has (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -348,7 +348,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> Column
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("words", pa.int64()), ("switches", pa.int64()), ("sure", pa.float64())])
 
     def label(batches):
-        from tactile.llm.common import slices
+        from tactile.llm.common import release, slices
 
         labeller = Labeller(shared.value)
         for texts in batches:
@@ -357,6 +357,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> Column
             for a, b in slices([len(v or "") for v in values], 8 << 20):
                 rows += labeller.predict(values[a:b])
             yield pa.array(rows, kind)
+        labeller.forget()
+        release()
 
     from collections.abc import Iterator
 

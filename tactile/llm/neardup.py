@@ -130,6 +130,7 @@ def sketches(docs: DataFrame, how: Near, doc_id: str = "doc_id", text: str = "te
     )
 
     def run(batches):
+        from tactile.llm.common import release
         from tactile.llm.neardup import digest, shingle_sets
 
         for batch in batches:
@@ -145,6 +146,7 @@ def sketches(docs: DataFrame, how: Near, doc_id: str = "doc_id", text: str = "te
                     ],
                     ["doc_id", "text_key", "n", "node", "sketch"],
                 )
+        release()
 
     return rows.mapInArrow(run, "doc_id long, text_key long, n long, node binary, sketch array<long>")
 
@@ -333,6 +335,7 @@ def _block_links(apart: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near,
 
     def meet(table: pa.Table) -> pa.Table:
         from tactile.llm import neardup
+        from tactile.llm.common import release
 
         label, own = (table.column(c).to_pylist() for c in ("label", "own"))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
@@ -341,6 +344,8 @@ def _block_links(apart: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near,
         ]
         left, right = ([i for i, b in enumerate(own) if b == x and sets[i] is not None] for x in (lo, hi))
         found = neardup.joins(left, right, sets, label, how)
+        del sets
+        release()
         # Components are named by one of their nodes: tasks that join the same two say the same.
         ends = [[f(label[i], label[j]) for i, j in found] for f in (min, max)]
         return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
