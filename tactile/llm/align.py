@@ -70,6 +70,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def id_texts(first: int, second: int) -> list[bytes]:
+    """Ids as decimal text with the mark behind them, for each id of either side: inside a side of a
+    group, and at its end."""
+    return [b"%d%b" % (i, mark) for n, last in ((first, b"|"), (second, b";")) for i in range(n) for mark in (b",", last)]
+
+
 class Coders:
     """Both tokenizers with the bytes of their entries."""
 
@@ -89,6 +95,7 @@ class Coders:
         self.sizes_first, self.sizes_second = (
             np.array([len(t[i]) for i in range(len(t))], np.int64) for t in (self.bytes_first, self.bytes_second)
         )
+        self.entries = id_texts(len(self.bytes_first), len(self.bytes_second))
         self.forget()
         self.may_cut = not any(inner.search(self.second.id_to_piece(i)) for i in range(self.second.get_piece_size()))
 
@@ -141,12 +148,12 @@ class Coders:
         out: list[tuple | None] = []
         for k, text in enumerate(texts):
             (a, ends_a), (b, ends_b) = (
-                (ids[cuts[k] : cuts[k + 1]].tolist(), np.cumsum(sizes[cuts[k] : cuts[k + 1]]).tolist()) for ids, sizes, cuts in sides
+                (ids[cuts[k] : cuts[k + 1]], np.cumsum(sizes[cuts[k] : cuts[k + 1]])) for ids, sizes, cuts in sides
             )
             back = bool(same[k])
             if not back:  # words that differ: the whole text decides
                 raw = (" " + text).encode()
-                back = all(b"".join(map(t.__getitem__, ids)) == raw for t, ids in ((self.bytes_first, a), (self.bytes_second, b)))
+                back = all(b"".join(map(t.__getitem__, ids.tolist())) == raw for t, ids in ((self.bytes_first, a), (self.bytes_second, b)))
             out.append((a, b, ends_a, ends_b) if back else None)
         return out
 
@@ -166,61 +173,66 @@ def coders(files: Tokenizers) -> Coders:
 
 def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
     """How many ends from ``a[i]`` and ``b[j]`` on are equal, place by place: slices of doubling
-    length, then of halving length."""
-    start, width = i, 1
-    while (part := a[i : i + width]) and part == b[j : j + width]:
-        i, j, width = i + len(part), j + len(part), 2 * width
-    while width > 1:
+    length, then of halving length. Both lists end with marks that differ."""
+    start, width = i, 4
+    while a[i : i + width] == b[j : j + width]:
+        i, j, width = i + width, j + width, 2 * width
+    while width > 4:
         width //= 2
-        part = a[i : i + width]
-        if len(part) == width and part == b[j : j + width]:
+        if a[i : i + width] == b[j : j + width]:
             i, j = i + width, j + width
+    while a[i] == b[j]:
+        i, j = i + 1, j + 1
     return i - start
 
 
-class _Texts(dict):
-    """Ids as decimal text."""
-
-    def __missing__(self, i: int) -> str:
-        text = self[i] = str(i)
-        return text
-
-
-_TEXTS = _Texts()
-
-
-def aligned(first: list[int], second: list[int], a: list[int], b: list[int]) -> tuple[int, str, np.ndarray]:
-    """Of two tokenizations (ids, and ends up to the same last one): the number of groups, the groups
-    as text, and a key ``id << 32 | id`` for each link."""
-    left: list[int] = []
-    right: list[int] = []
-    groups: list[str] = []
-    texts = _TEXTS  # at most as many as the vocabularies have entries
+def group_ends(a: list[int], b: list[int]) -> list[int]:
+    """Offsets at which tokens of both end, from the ends of both up to the same last one."""
+    n, found = len(a), []
+    a, b = [*a, -1], [*b, -2]
     i = j = 0
-    while True:
-        # At the shift j - i, a stretch of one against one.
-        if length := run_length(a, b, i, j):
-            x, y = first[i : i + length], second[j : j + length]
-            left += x
-            right += y
-            groups += [f"{texts[p]}|{texts[q]}" for p, q in zip(x, y, strict=True)]
+    while i < n:
+        p, q = a[i], b[j]
+        if p == q:
+            # At the shift j - i, a stretch of one against one.
+            length = run_length(a, b, i, j)
+            found += a[i : i + length]
             i, j = i + length, j + length
-        if i == len(a):
-            break
+            continue
         # An irregular group: a step to the token after the one that ends first, until both end.
-        i_start, j_start = i, j
-        left.append(first[i])
-        right.append(second[j])
-        while (p := a[i]) != (q := b[j]):
+        while p != q:
             if p < q:
                 i += 1
+                p = a[i]
             else:
                 j += 1
-            left.append(first[i])
-            right.append(second[j])
+                q = b[j]
+        found.append(p)
         i, j = i + 1, j + 1
-        groups.append(f"{','.join(map(str, first[i_start:i]))}|{','.join(map(str, second[j_start:j]))}")
-    return len(groups), ";".join(groups), (np.array(left, np.int64) << 32) | np.array(right, np.int64)
+    return found
+
+
+def aligned(
+    first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray, entries: list[bytes], n_first: int
+) -> tuple[int, bytes, np.ndarray]:
+    """Of two tokenizations (ids, and ends up to the same last one): the number of groups, the groups
+    as text, and a key ``id << 32 | id`` for each link. ``entries`` are as in ``id_texts``, ``n_first``
+    of them (twice) for the first side."""
+    ends = np.array(group_ends(a.tolist(), b.tolist()), np.int64)
+    # Each token by its group, the first side's before the second's; the last ones of a side and of a
+    # group carry another mark.
+    marked, places = [], []
+    for side, (ids, stop) in enumerate(((first, a), (second, b))):
+        group = np.searchsorted(ends, stop)
+        marked.append(2 * (side * n_first + ids.astype(np.int64)) + (ends[group] == stop))
+        places.append(2 * group + side)
+    order = np.argsort(np.concatenate(places), kind="stable")
+    text = b"".join(map(entries.__getitem__, np.concatenate(marked)[order].tolist()))[:-1]
+    # Between two neighbouring ends of either side lies the overlap of one token with one.
+    overlaps = np.sort(np.concatenate([a, b]), kind="stable")
+    overlaps = overlaps[np.append(True, overlaps[1:] != overlaps[:-1])]
+    links = (first[np.searchsorted(a, overlaps)].astype(np.int64) << 32) | second[np.searchsorted(b, overlaps)]
+    return len(ends), text, links
 
 
 LINKED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -234,10 +246,10 @@ def link_rows(texts: list[str | None], coder: Coders) -> list[tuple]:
     for i, coded in zip(given, coder.encode([texts[i] for i in given]), strict=True):
         if coded is None:
             continue
-        a, b, ends_a, ends_b = coded
-        n_groups, text, links = aligned(a, b, ends_a, ends_b)
+        a, b = coded[:2]
+        n_groups, text, links = aligned(*coded, coder.entries, len(coder.bytes_first))
         pairs, times = np.unique(links, return_counts=True)
-        digest = hashlib.sha256(text.encode()).hexdigest()
+        digest = hashlib.sha256(text).hexdigest()
         rows[i] = (len(a), len(b), n_groups, len(links), digest, pairs, times.astype(np.int32))
     return rows
 

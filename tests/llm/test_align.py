@@ -3,6 +3,7 @@ import json
 import random
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -111,8 +112,8 @@ def test_words_are_encoded_as_in_the_whole_text():
     whole = [r[1] for r in _data() if r[1]] + [text(9, 20000)]
     for t, found in zip(whole, coder.encode(whole), strict=True):
         if found:
-            assert found[0] == coder.first.encode(" " + t, add_special_tokens=False).ids
-            assert found[1] == coder.second.encode(t)
+            assert found[0].tolist() == coder.first.encode(" " + t, add_special_tokens=False).ids
+            assert found[1].tolist() == coder.second.encode(t)
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -123,7 +124,9 @@ def test_runs_and_groups(seed):
     common = sorted(rng.sample(range(1, 4 * n + 1), n)) + [4 * n + 1]
     extra = [x for x in range(1, 4 * n + 1) if x not in set(common)]
     a, b = (sorted({*common, *[x for x in extra if rng.random() < rng.choice([0.02, 0.3])]}) for _ in range(2))
-    count, groups, links = align.aligned(list(range(len(a))), list(range(len(b))), a, b)
+    ids = [np.arange(len(x), dtype=np.int32) for x in (a, b)]
+    count, groups, links = align.aligned(*ids, np.array(a), np.array(b), align.id_texts(len(a), len(b)), len(a))
+    groups = groups.decode()
     both = sorted(set(a) & set(b))
     assert count == len(both) == len(groups.split(";"))
     pairs = [(i, j) for i in range(len(a)) for j in range(len(b)) if max([0, *a][i], [0, *b][j]) < min(a[i], b[j])]
