@@ -31,6 +31,7 @@ import hashlib
 import math
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ SEGMENT_BYTES = 8 << 20
 MOST_SEGMENTS = 1 << 16
 ENTRIES_PER_BLOCK = 3 << 20
 LONG_WORD = 64
+# Words that a scoring task keeps, at most, before those of the next slice of texts.
+KNOWN_WORDS = 200_000
+KNOWN_BYTES = 16 << 20
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
 
 
@@ -106,6 +110,8 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 def short(words: list[bytes]) -> list[bytes]:
     """Words as they are counted: a long one by its digest, after white space as in no word."""
+    if max(map(len, words), default=0) <= LONG_WORD:
+        return words
     return [w if len(w) <= LONG_WORD else END + hashlib.sha256(w).digest() for w in words]
 
 
@@ -138,6 +144,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         from collections import Counter
 
+        from tactile.llm.common import release
         from tactile.llm.lm import short, tokens
 
         def rows(counts):
@@ -152,6 +159,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield rows(counts)
                     counts = Counter()
         yield rows(counts)
+        counts.clear()
+        release()
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -160,6 +169,7 @@ def ngram_blocks(texts: DataFrame, how: Lm, n_segments: int) -> DataFrame:
     """``segment, keys, counts``: counted n-gram hashes of a few texts, as sorted blocks."""
 
     def run(batches):
+        from tactile.llm.common import release
         from tactile.llm.lm import ENTRIES_PER_BLOCK, Hashes, _flat, ngrams, segment_of
 
         known = Hashes()
@@ -189,6 +199,8 @@ def ngram_blocks(texts: DataFrame, how: Lm, n_segments: int) -> DataFrame:
                     yield rows()
         if held:
             yield rows()
+        known.clear()
+        release()
 
     return texts.select("text").mapInArrow(run, "segment int, keys binary, counts binary")
 
@@ -198,17 +210,22 @@ def segment_of(keys: np.ndarray, n_segments: int) -> np.ndarray:
     return (keys >> np.uint64(65 - n_segments.bit_length())).astype(np.int32)
 
 
-def positions(keys: np.ndarray, level: int, how: Lm, probe: int, sizes: np.ndarray) -> np.ndarray:
-    """Bit of a segment for each key at a level."""
-    step = mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-    return ((mix(keys + step * np.uint64(level * how.probes + probe + 1))) % sizes.astype(np.uint64)).astype(np.int64)
+def steps(keys: np.ndarray) -> np.ndarray:
+    """By how much a key moves from one probe to the next."""
+    return mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
+
+
+def positions(keys: np.ndarray, step: np.ndarray, level: int, how: Lm, probe: int, sizes: np.ndarray) -> np.ndarray:
+    """Bit of a segment of ``sizes`` (unsigned) bits for each key at a level."""
+    return (mix(keys + step * np.uint64(level * how.probes + probe + 1)) % sizes).astype(np.int64)
 
 
 def build(blocks: DataFrame, how: Lm) -> DataFrame:
     """``segment, size, bits``: the slices of the filter, one task each."""
 
     def one(table: pa.Table) -> pa.Table:
-        from tactile.llm.lm import codebook, positions
+        from tactile.llm.common import release
+        from tactile.llm.lm import codebook, positions, steps
 
         keys = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()])
@@ -220,11 +237,15 @@ def build(blocks: DataFrame, how: Lm) -> DataFrame:
         entries = int(level.sum())
         size = max(64, int(entries * how.bits_per_entry) + 63 & ~63)
         bits = np.zeros(size, bool)
+        step = steps(keys)
         for j in range(int(level.max())):
-            keys, level = keys[level > j], level[level > j]
+            alive = level > j
+            keys, step, level = keys[alive], step[alive], level[alive]
             for i in range(how.probes):
-                bits[positions(keys, j, how, i, np.array(size))] = True
+                bits[positions(keys, step, j, how, i, np.uint64(size))] = True
         packed = np.packbits(bits, bitorder="little").tobytes()
+        del bits, keys, step, level, counts, first, order
+        release()
         return pa.table({"segment": table.column("segment")[:1], "size": pa.array([len(packed)], pa.int64()), "bits": pa.array([packed], pa.binary())})
 
     return blocks.groupBy("segment").applyInArrow(one, "segment int, size long, bits binary")
@@ -294,34 +315,62 @@ class Filter:
             self._bits[file] = np.memmap(SparkFiles.get(self.names[file]), np.uint8, mode="r")
         return self._bits[file]
 
-    def _held(self, keys: np.ndarray, level: int, file: int) -> np.ndarray:
-        """Which keys, all of one file, the filter holds at a level; a key that misses a probe is not
-        probed again."""
-        bits = self.bits(file)
-        alive = np.flatnonzero(self.sizes[segment_of(keys, self.n_segments)])
-        for i in range(self.how.probes):
-            part = keys[alive]
-            segment = segment_of(part, self.n_segments)
-            bit = self.offsets[segment] + positions(part, level, self.how, i, self.sizes[segment])
-            alive = alive[(bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-        return alive
-
     def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
         """The quantised count of each key, by probes from the first level up."""
         found = np.zeros(len(keys), np.int64)
-        file_of = segment_of(keys, self.n_segments) // self.per_file
+        segment = segment_of(keys, self.n_segments)
+        file_of = segment // self.per_file
         order = np.argsort(file_of, kind="stable")
         cuts = np.searchsorted(file_of[order], np.arange(len(self.names) + 1))
-        for file, name in enumerate(self.names):
+        for file in np.flatnonzero(np.diff(cuts)):
+            if self.names[file] is None:
+                continue
             alive = order[cuts[file] : cuts[file + 1]]
-            for level in range(most if name is not None else 0):
-                if not len(alive):
+            bits = self.bits(file)
+            held = (keys[alive], steps(keys[alive]), self.sizes[segment[alive]].astype(np.uint64), self.offsets[segment[alive]])
+            some = held[2] > 0
+            for level in range(most):
+                # A key that misses a probe is not probed again.
+                for i in range(self.how.probes):
+                    if not some.all():
+                        alive, held = alive[some], tuple(x[some] for x in held)
+                    own, step, sizes, offsets = held
+                    bit = offsets + positions(own, step, level, self.how, i, sizes)
+                    some = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                found[alive[some]] += 1
+                if not some.any():
                     break
-                alive = alive[self._held(keys[alive], level, file)]
-                found[alive] += 1
         return found
 
 
+class Known(dict):
+    """Words of the texts of a task by number, with what scoring needs of each: hash, quantised count,
+    and log10 of the exact count if the word is frequent (else not a number)."""
+
+    def __init__(self, bloom: Filter, frequent: dict[bytes, float], count_of: np.ndarray):
+        self.bloom, self.frequent, self.count_of = bloom, frequent, count_of
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
+        self.hashes, self.counts, self.logs = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+
+    def learn(self, rows: list[list[bytes]]) -> None:
+        """Take in the words of ``rows``; those of earlier rows may be forgotten for it."""
+        if len(self) > KNOWN_WORDS or self.size > KNOWN_BYTES:
+            self.forget()
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(rows)) if w not in self]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, fresh), np.uint64, len(fresh))
+        counts = self.count_of[self.bloom.levels(mix(hashes), len(self.count_of) - 1)]
+        logs = np.fromiter((self.frequent.get(w, math.nan) for w in short(fresh)), float, len(fresh))
+        self.size += sum(map(len, fresh))
+        self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
+        self.hashes, self.counts, self.logs = (
+            np.concatenate(x) for x in ((self.hashes, hashes), (self.counts, counts), (self.logs, logs))
+        )
+
+
 @dataclass
 class Model:
     """What scoring needs of a corpus: the filter, N, V, and exact counts: of frequent words in
@@ -368,43 +417,53 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     total, everything = model.total, model.mass_of_all
 
     def run(batches):
-        from tactile.llm.lm import Hashes, codebook, middles, ngrams, short, tokens
+        from tactile.llm.common import release
+        from tactile.llm.lm import Known, codebook, middles, ngrams, short, tokens
 
         bloom, words = shared.value
-        frequent = dict(zip(words.column(0).to_pylist(), np.log10(words.column(1).to_numpy() + how.add).tolist(), strict=True))
-        known = Hashes()
+        logs = np.log10(words.column(1).to_numpy() + how.add).tolist()
         book = codebook(how.growth, max(2, total))
         count_of = middles(book)
+        known = Known(bloom, dict(zip(words.column(0).to_pylist(), logs, strict=True)), count_of)
+        # Before a text are ends.
+        ends = ngrams(np.full(1, END_HASH, np.uint64), np.zeros(1, np.int64), how.order)
+        before = [count_of[bloom.levels(keys, len(book))][0] for keys in ends]
         for batch in batches:
             for start, part in text_slices(batch.column(batch.schema.get_field_index("_text"))):
                 rows = [tokens(t) for t in part.to_pylist()]
+                known.learn(rows)
                 lengths = np.array([len(r) for r in rows], np.int64)
                 firsts = np.cumsum(lengths) - lengths
-                hashes = np.concatenate([np.fromiter(map(known.__getitem__, r), np.uint64, len(r)) for r in rows])
-                grams = ngrams(hashes, np.repeat(firsts, lengths), how.order)
-                counts = []
-                for keys in grams:
+                place = np.fromiter(map(known.__getitem__, chain.from_iterable(rows)), np.int64, lengths.sum())
+                grams = ngrams(known.hashes[place], np.repeat(firsts, lengths), how.order)
+                counts = [known.counts[place]]
+                for keys in grams[1:]:
                     distinct, inverse = np.unique(keys, return_inverse=True)
                     counts.append(count_of[bloom.levels(distinct, len(book))][inverse])
-                p = (counts[0] + how.add) / everything if total else np.ones(len(hashes))
+                p = (counts[0] + how.add) / everything if total else np.ones(len(place))
                 for n in range(1, how.order):
                     # The history of a token is the n-gram that ends at the token before.
-                    history = np.empty(len(hashes))
+                    history = np.empty(len(place))
                     history[1:] = counts[n - 1][:-1]
-                    history[firsts] = count_of[bloom.levels(ngrams(np.full(1, END_HASH, np.uint64), np.zeros(1, np.int64), n)[n - 1], len(book))][0]
+                    history[firsts] = before[n - 1]
                     p = (np.minimum(counts[n], history) + how.mass * p) / (history + how.mass)
                 scores = np.add.reduceat(np.minimum(0.0, np.log10(p)), firsts)
-                base, rare, n_frequent = [], [], []
-                for r in map(short, rows):
-                    terms = [frequent.get(w) for w in r]
-                    others = [w for w, t in zip(r, terms, strict=True) if t is None]
-                    base.append(sum(t for t in terms if t is not None))
-                    n_frequent.append(len(r) - len(others))
-                    rare.append(others)
+                terms = known.logs[place]
+                other = np.isnan(terms)
+                base = np.add.reduceat(np.where(other, 0.0, terms), firsts)
+                n_frequent = lengths - np.add.reduceat(other.astype(np.int64), firsts)
+                # Row and place of the words that are not frequent.
+                left = np.flatnonzero(other)
+                rare: list[list[bytes]] = [[] for _ in rows]
+                for k, at in zip(np.searchsorted(firsts, left, side="right").tolist(), left.tolist(), strict=True):
+                    rare[k - 1].append(rows[k - 1][at - firsts[k - 1]])
+                rare = [short(r) for r in rare]
                 own = batch.slice(start, len(part))
                 kept = [own.column(own.schema.get_field_index(c)) for c in ("_row", *keep)]
-                arrays = [pa.array(lengths), pa.array(n_frequent, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.binary()))]
+                arrays = [pa.array(lengths), pa.array(n_frequent), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], ["_row", *keep, "n_tokens", "n_known", "base", "score", "rare"])
+        known.forget()
+        release()
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).cast("binary").alias("_text"))
     kinds = {"n_tokens": "long", "n_known": "long", "base": "double", "score": "double", "rare": "array<binary>"}
