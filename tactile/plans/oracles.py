@@ -585,6 +585,7 @@ LAYOUT["blank_line_widths"] = f"""
 WITH RECURSIVE {BLANK_LINES}
 SELECT image, det_idx, round(char_width, 6) AS char_width, round(gap / char_width, 6) AS gap_ratio, coalesce(space, FALSE) AS space
 FROM spaced WHERE text = ''"""
+LAYOUT["strict_lines"] = LAYOUT["line_clusters"].replace(">= 0.4::DOUBLE", ">= 0.75::DOUBLE")
 LAYOUT["calibration_files"] = LAYOUT["calibration_report"]
 LAYOUT["summary_files"] = LAYOUT["image_summary"]
 

@@ -145,6 +145,12 @@ def line_clusters(spark, sf_dir):
     return layout.layout(boxes(spark, sf_dir), bound=box_bound(spark, sf_dir)).select("image", "det_idx", "line", "position_in_line")
 
 
+def strict_lines(spark, sf_dir):
+    """J1, G1 with a share of overlap above one half."""
+    placed = layout.layout(boxes(spark, sf_dir), overlap=0.75, bound=box_bound(spark, sf_dir))
+    return placed.select("image", "det_idx", "line", "position_in_line")
+
+
 def gap_ratios(spark, sf_dir):
     placed = layout.layout(boxes(spark, sf_dir), bound=box_bound(spark, sf_dir))
     return placed.select(
@@ -579,6 +585,6 @@ QUERIES = {
         image_quality, resize_plan, guidance_codes, hold_fire, first_shot, held_runs,
         message_throttle, spoken_guidance, hold_fire_stream, message_throttle_stream,
         live_capture_stream, calibration_files, summary_files, silent_capture, thinned_stream,
-        switched_sessions, switched_sessions_stream, blank_line_widths,
+        switched_sessions, switched_sessions_stream, blank_line_widths, strict_lines,
     )
 }
