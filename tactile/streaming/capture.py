@@ -29,11 +29,11 @@ from tactile.operators import capture, frames
 from tactile.operators.sessions import (
     HOLD_MS, Hold, Idle, Throttle, emitted, ordered_columns, schema_of,
 )
+from tactile.streaming import runs
+from tactile.streaming.runs import LATE, SLICE_ROWS, late_rows
 
 DELAY_MS = 10_000
 GRACE_MS = 60_000
-SLICE_ROWS = 2_000
-LATE = "late"
 END = "2200-01-01"
 
 
@@ -52,15 +52,6 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     )
 
 
-def _packed(table: pa.Table) -> bytes | None:
-    if not table.num_rows:
-        return None
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
 def fold_stream(
     df: DataFrame,
     machine,
@@ -69,12 +60,14 @@ def fold_stream(
     delay_ms: int | None = DELAY_MS,
     grace_ms: int = GRACE_MS,
     idle_ms: int | None = None,
+    in_runs: bool = False,
 ) -> DataFrame:
     """T3, T5, T6, T7. A session machine on a stream: the rows ``sessions.fold`` gives, with
     ``late`` false, and the frames that came too late, with ``late`` true and nothing emitted.
     ``df`` has ``session_id``, ``ts`` (timestamp), ``ms`` (``ts`` in milliseconds) and the
     machine's columns; ``order`` starts with ``ts``. ``delay_ms=None`` keeps the watermark that
-    ``df`` has already; Spark drops and counts what is late then."""
+    ``df`` has already; Spark drops and counts what is late then. With ``in_runs`` what waits is kept
+    in pieces (``runs``), for long delays or many frames a session."""
     if idle_ms is not None:
         machine = Idle(machine, idle_ms)
     keep = ["session_id", *order, *carry]
@@ -84,6 +77,10 @@ def fold_stream(
     else:
         rows = rows.withWatermark("ts", f"{delay_ms + grace_ms} milliseconds")
     held = _arrow_schema(rows.schema)
+    schema = schema_of(df, keep, [*machine.outputs, (LATE, "boolean")])
+    if in_runs:
+        fold = runs.Fold(machine, held, order, keep, grace_ms, idle_ms)
+        return rows.groupBy("session_id").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if key[0] is None:
@@ -95,11 +92,11 @@ def fold_stream(
         horizon = watermark + grace_ms if watermark > 0 else -(1 << 62)
         *entering, last_ms, waiting = state.get if state.exists else (*machine.initial, None, None)
         entering = tuple(entering)
-        pieces = [pa.ipc.open_stream(bytes(waiting)).read_all()] if waiting is not None else []
+        pieces = [runs.unpacked(waiting)] if waiting is not None else []
         for pdf in () if state.hasTimedOut else pdfs:
             late = pdf["ms"] < horizon
             if late.any():
-                yield _late_rows(machine, pdf[late], keep)
+                yield late_rows(machine, pdf[late], keep)
             pieces.append(pa.Table.from_pandas(pdf[~late], held, preserve_index=False))
         table = pa.concat_tables(pieces).sort_by([(c, "ascending") for c in order]) if pieces else held.empty_table()
         ready = int(np.searchsorted(table.column("ms").to_numpy(), horizon, side="left"))
@@ -113,7 +110,7 @@ def fold_stream(
         if not rest.num_rows and idle_ms is not None and (last_ms is None or last_ms + idle_ms < horizon):
             state.remove()
             return
-        state.update((*entering, last_ms, _packed(rest)))
+        state.update((*entering, last_ms, runs.packed(rest) if rest.num_rows else None))
         if rest.num_rows:
             due = rest.column("ms")[0].as_py() + 1
         elif idle_ms is not None:
@@ -125,18 +122,13 @@ def fold_stream(
     states = [*machine.state, ("_last_ms", "bigint"), ("_waiting", "binary")]
     return rows.groupBy("session_id").applyInPandasWithState(
         step,
-        schema_of(df, keep, [*machine.outputs, (LATE, "boolean")]),
+        schema,
         ", ".join(f"{name} {kind}" for name, kind in states),
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def _late_rows(machine, pdf: pd.DataFrame, keep: list[str]) -> pd.DataFrame:
-    blank = [tuple([i, *[None] * len(machine.outputs)]) for i in range(len(pdf))]
-    return emitted(machine, pdf, keep, blank).assign(**{LATE: True})
-
-
 class Live:
     """T1, T2, T5-T7 on frames in order: motion, hold and throttle in one pass.
 
@@ -217,11 +209,13 @@ def live_capture(
     warn_ms: int | None = None,
     focus_limits: tuple[float, float] = capture.FOCUS_LIMITS,
     flag_limits: dict[str, float] | None = None,
+    in_runs: bool = False,
 ) -> DataFrame:
     """T1-T7 as one streaming plan over frames of ``sources.frames``: every emitted code with the
     motion it was judged by and whether its message is spoken. ``voice`` and ``auto_capture`` are
-    the switches of T4; ``flag_limits`` are keywords of ``frames.frame_flags``."""
+    the switches of T4; ``flag_limits`` are keywords of ``frames.frame_flags``; ``in_runs`` as in
+    ``fold_stream``."""
     motion_limit = (flag_limits or {}).get("motion_limit", frames.MOTION_LIMIT)
     machine = Live(Hold(hold_ms, warn_ms, auto_capture), Throttle(), motion_limit, voice)
     rows = live_rows(frame_rows, focus_limits, flag_limits)
-    return fold_stream(rows, machine, ["ts"], (), delay_ms, grace_ms, idle_ms)
+    return fold_stream(rows, machine, ["ts"], (), delay_ms, grace_ms, idle_ms, in_runs)

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tactile.operators import capture, frames
 from tactile.operators.ordered import SMALL
 from tactile.operators.sessions import Hold, Throttle, fold
 from tactile.sources.frames import SCHEMA, stream_frames, thin_stream
+from tactile.streaming import runs
 from tactile.streaming.capture import closing_row, fold_stream, live_capture
 
 START = 1_704_067_200_000
@@ -52,6 +55,108 @@ def run_stream(spark, tmp_path, machine, **options):
     return live, [b for b in batches if b], table.where("session_id is not null")
 
 
+@pytest.fixture
+def in_runs(spark):
+    """Streams keep what waits in runs."""
+    before = spark.conf.get(runs.PROVIDER)
+    spark.conf.set(runs.PROVIDER, runs.ROCKS)
+    yield {"in_runs": True}
+    spark.conf.set(runs.PROVIDER, before)
+
+
+@pytest.mark.parametrize("files, idle_ms", [(1, None), (5, 700)])
+@pytest.mark.parametrize("kind", ["hold", "throttle"])
+def test_runs_do_not_depend_on_the_cut(spark, tmp_path, in_runs, kind, files, idle_ms):
+    rng = random.Random(9)
+    rows = [(f"s{i % 4}", i, i * 80, rng.random() < 0.9, rng.choice("ab"), rng.random() < 0.04) for i in range(400)]
+    rows = [r for r in rows if not 100 < r[1] < 140]
+    rows.sort(key=lambda r: r[2] + rng.randint(0, 9_000))
+    write_in_files(spark, rows, SCHEMA_OF_EVENTS, str(tmp_path / "in"), files)
+    machine = Hold() if kind == "hold" else Throttle()
+    live, batches, table = run_stream(spark, tmp_path, machine, idle_ms=idle_ms, **in_runs)
+    assert len(batches) >= files
+    assert live.where("late").count() == 0
+    same(live.drop("late"), fold(prepared(table), machine, ["session_id"], ["ts", "n"], (), SMALL, idle_ms))
+
+
+def test_late_rows_come_out_as_late_with_runs(spark, tmp_path, in_runs):
+    rows = [("a", i, i * 1000, True, "x", False) for i in range(60)]
+    late = rows.pop(20)
+    write_in_files(spark, [*rows, late], SCHEMA_OF_EVENTS, str(tmp_path / "in"), 15)
+    live, _, table = run_stream(spark, tmp_path, Hold(), **in_runs)
+    assert [(r.n, r.code) for r in live.where("late").collect()] == [(20, None)]
+    rest = prepared(table.where("n <> 20"))
+    same(live.where("not late").drop("late"), fold(rest, Hold(), ["session_id"], ["ts", "n"], (), SMALL))
+
+
+class Store:
+    """State and timers of one session in memory; counts the bytes that pass."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.moved = None, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        self.moved += len(self.map[key][0])
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.moved += len(value[0])
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_what_a_batch_touches_follows_its_rows():
+    """Each row is written once and read once, but for those of the bucket that is due in part."""
+    held = pa.schema([("session_id", pa.string()), ("ms", pa.int64()), ("ok", pa.bool_()), ("code", pa.string())])
+    keep = ["session_id", "ms"]
+    store, machine, step = Store(), Hold(), runs.Fold(Hold(), held, ["ms"], keep, 0, 5_000)
+    step.init(store)
+    frame = lambda lo, hi: pd.DataFrame({"session_id": "a", "ms": range(lo, hi, 10), "ok": True, "code": None})
+    store.watermark, got, batches = 0, [], 40
+    for i in range(batches):
+        got += step.handleInputRows(("a",), iter([frame(i * 2_500, i * 2_500 + 2_500)]), store)
+        store.watermark = max(1, i * 2_500 - 30_000)
+        if any(t <= store.watermark for t in store.timers):
+            store.timers = {t for t in store.timers if t > store.watermark}
+            got += step.handleExpiredTimer(("a",), store, None)
+    store.watermark = batches * 2_500 + 1
+    got += step.handleExpiredTimer(("a",), store, None)
+    whole = frame(0, batches * 2_500)
+    out, _ = machine.run(machine.initial, *[whole[c].tolist() for c in machine.inputs])
+    assert [(r.ms, r.code) for pdf in got for r in pdf.itertuples()] == [(int(whole["ms"][e[0]]), e[2]) for e in out]
+    assert not store.map and store.exists()
+    table = pa.Table.from_pandas(frame(0, 1_000), held, preserve_index=False)
+    assert store.moved < 3 * batches * 2.5 * len(runs.packed(table))
+    store.watermark += 10_000
+    assert list(step.handleExpiredTimer(("a",), store, None)) == [] and not store.exists()
+
+
 @pytest.mark.parametrize("idle_ms", [700])
 @pytest.mark.parametrize("files, shuffled", [(1, False), (5, True), (20, True)])
 @pytest.mark.parametrize("kind", ["hold", "throttle"])
