@@ -45,8 +45,6 @@ def any_of(chars: str) -> str:
 
 
 _NOT_ALLOWED = outside(ALLOWED)
-_RECOGNISER_ENDS = f"^{any_of(RECOGNISER_SPACE)}+|{any_of(RECOGNISER_SPACE)}+\\z"
-_BROWSER_ENDS = f"^{any_of(BROWSER_SPACE)}+|{any_of(BROWSER_SPACE)}+\\z"
 
 # NFC quick check, decided in the JVM so that only text which may change goes to Python.
 # Latin-1/extended Latin, Thai and general punctuation never compose or decompose
@@ -89,7 +87,7 @@ def normalize(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """P2, first half: trim recogniser output at both ends."""
-    return F.regexp_replace(text, _RECOGNISER_ENDS, "")
+    return F.btrim(text, F.lit(RECOGNISER_SPACE))
 
 
 def has_text(text: Column) -> Column:
@@ -98,7 +96,7 @@ def has_text(text: Column) -> Column:
 
 
 def browser_trim(text: Column) -> Column:
-    return F.regexp_replace(text, _BROWSER_ENDS, "")
+    return F.btrim(text, F.lit(BROWSER_SPACE))
 
 
 def is_blank(text: Column) -> Column:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 THAI = "กขคงจชซดตถทนบปผพมยรลวสหอ่้"
 
 WORDS_PER_ROW = 6
+# Characters of text that are taken apart into boxes in one task: some 600,000 words.
+PART_CHARS = 4_000_000
 TEXT_IMAGE_WIDTH = 32
 HOUR_MS = 3_600_000
 FRAMES_START_MS = 1_704_067_200_000
@@ -54,52 +56,90 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def by_image(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -> DataFrame:
+    """Texts dealt by image before they are taken apart, so that nothing wider is dealt again. The
+    number of parts goes by the length of all texts: a part stays small at any size of the table.
+    Images ``without`` are left out, while there is one row of each: a join among the boxes makes one
+    method of the generated code so long (over 8000 bytes) that the JVM does not compile it."""
+    docs = table(spark, sf_dir, "documents")
+    chars = docs.agg(F.sum("n_chars")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-chars // PART_CHARS))
+    texts = docs.select("doc_id", "text", image_of(F.col("doc_id")).alias("image"))
+    if without is not None:
+        texts = texts.join(without, "image", "left_anti")
+    return texts.repartition(int(parts), "image")
+
+
+def _real(number: Column) -> Column:
+    """Sums and products of whole numbers are exact as doubles, and a multiple faster than with the
+    check for overflow that whole numbers get."""
+    return number.cast("double")
+
+
+def _sum_mod(doc_id: Column, a: int, i: Column, b: int, modulus: int) -> Column:
+    return (_real(doc_id) * float(a) + _real(i) * float(b)).cast("long") % modulus
+
+
 def _boxes(docs: DataFrame) -> DataFrame:
-    """One box per word, six to a row of text, side by side: ``doc_id, i, w`` and the corners.
-    Some boxes are tall enough to touch the next row."""
-    doc_id, i, row = F.col("doc_id"), F.col("i"), F.col("row")
-    in_row = (
-        Window.partitionBy("doc_id", "row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    """One box per word, six to a row of text, side by side: ``i, w`` and the corners (whole numbers
+    as doubles), beside ``doc_id`` and ``image``. Some boxes are tall enough to touch the next row. A
+    row is taken apart as a whole, so the places of its boxes need no window."""
+    doc_id, row, n = F.col("doc_id"), F.col("row"), F.size("words")
+    in_rows = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / F.lit(WORDS_PER_ROW)).cast("int")),
+        lambda r: F.slice("words", r * WORDS_PER_ROW + 1, WORDS_PER_ROW),
     )
-    col = i % WORDS_PER_ROW
-    gap = F.when(col > 0, (doc_id * 7 + i * 13) % 9 - 1).otherwise(0)
-    top = row * 40 + col * 4
+    rows = docs.select("doc_id", "image", words(F.col("text")).alias("words")).select(
+        "doc_id", "image", F.posexplode(F.when(n > 0, in_rows)).alias("row", "six")
+    )
+
+    def width(w: Column, i: Column) -> Column:
+        return _real(F.length(w)) * 10.0 + _real(i % 4)
+
+    # The right edges of a row's boxes, each from the one before.
+    rows = rows.withColumn("first", row * WORDS_PER_ROW)
+    ends = [f"x1_{col}" for col in range(WORDS_PER_ROW)]
+    for col, end in enumerate(ends):
+        i = F.col("first") + col
+        own = width(F.get("six", F.lit(col)), i)
+        rows = rows.withColumn(end, F.col(ends[col - 1]) + own + _real(_sum_mod(doc_id, 7, i, 13, 9)) - 1.0 if col else own)
+    i, col = F.col("i"), F.col("col")
     return (
-        docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("i", "w"))
-        .withColumn("row", F.floor(i / F.lit(WORDS_PER_ROW)).cast("int"))
-        .withColumn("width", F.length("w") * 10 + i % 4)
-        .withColumn("x1", F.sum(F.col("width") + gap).over(in_row))
+        rows.select("doc_id", "image", "row", F.array(*ends).alias("ends"), F.posexplode("six").alias("col", "w"))
+        .withColumn("i", (_real(row) * float(WORDS_PER_ROW) + _real(col)).cast("int"))
+        .withColumn("x1", F.get("ends", col))
+        .withColumn("y0", _real(row) * 40.0 + _real(col) * 4.0)
         .select(
             "doc_id",
+            "image",
             "i",
             "w",
-            (F.col("x1") - F.col("width")).alias("x0"),
-            top.alias("y0"),
+            (F.col("x1") - width(F.col("w"), i)).alias("x0"),
+            "y0",
             "x1",
-            (top + F.when((doc_id + i) % 29 == 0, 45).otherwise(30)).alias("y1"),
+            (F.col("y0") + F.when(_sum_mod(doc_id, 1, i, 1, 29) == 0, 45.0).otherwise(30.0)).alias("y1"),
         )
     )
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, without: DataFrame | None = None) -> DataFrame:
     """Skewed polygons at twice the size; texts padded, and blank for one word in 37, or for all
-    words of one image in 43."""
-    i, (x0, y0, x1, y1) = F.col("i"), (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    words of one image in 43. Nothing is found in images ``without``."""
+    doc_id, i = F.col("doc_id"), F.col("i")
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
 
     def corner(x: Column, y: Column) -> Column:
         return F.struct((x * 2.0).alias("x"), (y * 2.0).alias("y"))
 
     padded = F.concat(F.lit(" "), F.col("w"), F.when(i % 5 == 0, "\t").otherwise(""))
-    return _boxes(documents(spark, sf_dir)).select(
-        image_of(F.col("doc_id")).alias("image"),
+    return _boxes(by_image(spark, sf_dir, without)).select(
+        "image",
         i.alias("det_idx"),
         F.array(
-            corner(x0, y0 + 1), corner(x1 - 1, y0), corner(x1, y1 - 1), corner(x0 + 1, y1)
+            corner(x0, y0 + 1.0), corner(x1 - 1.0, y0), corner(x1, y1 - 1.0), corner(x0 + 1.0, y1)
         ).alias("points"),
-        F.when(((F.col("doc_id") + i) % 37 == 0) | (F.col("doc_id") % 43 == 7), "  ")
-        .otherwise(padded)
-        .alias("text"),
-        ((F.col("doc_id") * 31 + i * 17) % 65 / F.lit(64.0)).alias("confidence"),
+        F.when((_sum_mod(doc_id, 1, i, 1, 37) == 0) | (doc_id % 43 == 7), "  ").otherwise(padded).alias("text"),
+        (_real(_sum_mod(doc_id, 31, i, 17, 65)) / F.lit(64.0)).alias("confidence"),
         F.lit(2.0).alias("scale"),
     )
 
