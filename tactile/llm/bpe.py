@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from tactile.llm.common import slices
+from tactile.llm.common import release, slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,6 +88,11 @@ class Encoder:
         self.apart: dict[tuple[int, int], bool] = {}
         self.seen: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Drop the memos; the vocabulary stays."""
+        self.apart.clear()
+        self.seen.clear()
+
     def _compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave two neighbouring tokens as they are.
 
@@ -204,7 +209,16 @@ def _encoder(shared) -> Encoder:
 
 
 def _encoded(batches, encoder: Encoder, text: str, ids: str, names: list[str], decoded: str | None = None):
-    """Batches with ids, and with the bytes these stand for if ``decoded`` names their column."""
+    """Batches with ids, and with the bytes these stand for if ``decoded`` names their column. The
+    memos end with the task: the worker lives on, and other stages come on top of what it holds."""
+    try:
+        yield from _encoded_batches(batches, encoder, text, ids, names, decoded)
+    finally:
+        encoder.forget()
+        release()
+
+
+def _encoded_batches(batches, encoder: Encoder, text: str, ids: str, names: list[str], decoded: str | None):
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
         # Some rows at a time: ids of a whole batch of long texts need not be held as objects.

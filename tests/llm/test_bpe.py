@@ -54,3 +54,14 @@ def test_other_columns_stay(spark):
     both = bpe.round_trip(frame(spark), vocab).select("doc_id", "ids", "decoded")
     assert sorted(map(str, both.collect())) == sorted(map(str, bpe.decode(coded, vocab).select("doc_id", "ids", "decoded").collect()))
     assert bpe.decode(bpe.encode(frame(spark).limit(0), vocab), vocab).count() == 0
+
+
+def test_memos_end_with_the_task():
+    import pyarrow as pa
+
+    encoder = bpe.Encoder(bpe.vocabulary(public_tokenizers.path(NAMES[0]), public_tokenizers.PATTERN))
+    texts = ["some words of a text", "wordsofatext"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    found = [i for b in bpe._encoded([batch], encoder, "text", "ids", []) for i in b.column(0).to_pylist()]
+    assert not encoder.seen and not encoder.apart
+    assert found == [encoder.encode(t) for t in texts]
