@@ -17,17 +17,19 @@ A row without ``session_id`` only moves time on: bounded input ends with one (``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tactile.operators import capture, frames
 from tactile.operators.sessions import (
-    HOLD_MS, Hold, Idle, Throttle, emitted, ordered_columns, schema_of,
+    HOLD_MS, Hold, Idle, Throttle, emitted, schema_of,
 )
 from tactile.streaming import runs
 from tactile.streaming.runs import LATE, SLICE_ROWS, late_rows
@@ -61,13 +63,19 @@ def fold_stream(
     grace_ms: int = GRACE_MS,
     idle_ms: int | None = None,
     in_runs: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """T3, T5, T6, T7. A session machine on a stream: the rows ``sessions.fold`` gives, with
     ``late`` false, and the frames that came too late, with ``late`` true and nothing emitted.
     ``df`` has ``session_id``, ``ts`` (timestamp), ``ms`` (``ts`` in milliseconds) and the
     machine's columns; ``order`` starts with ``ts``. ``delay_ms=None`` keeps the watermark that
     ``df`` has already; Spark drops and counts what is late then. With ``in_runs`` what waits is kept
-    in pieces (``runs``), for long delays or many frames a session."""
+    in pieces (``runs``), for long delays or many frames a session. ``buckets`` is for many sessions of
+    few frames: that many groups, dealt by the hash of the session, share a call and a value of state
+    each, as a call takes far longer than the rows of such a session. It cannot change between runs on
+    one checkpoint."""
+    if in_runs and buckets is not None:
+        raise ValueError("sessions kept in runs have groups of their own")
     if idle_ms is not None:
         machine = Idle(machine, idle_ms)
     keep = ["session_id", *order, *carry]
@@ -82,6 +90,11 @@ def fold_stream(
         fold = runs.Fold(machine, held, order, keep, grace_ms, idle_ms)
         return rows.groupBy("session_id").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
+    key_column, key_of = "session_id", F.col("session_id")
+    if buckets is not None:
+        key_column, key_of = "_bucket", F.when(key_of.isNotNull(), F.pmod(F.xxhash64(key_of), F.lit(buckets)))
+    entering = _arrow_schema(schema_of(df, ["session_id"], [*machine.state, ("_last_ms", "bigint")]))
+
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if key[0] is None:
             for _ in pdfs:
@@ -90,45 +103,65 @@ def fold_stream(
         watermark = state.getCurrentWatermarkMs()
         # Nothing before this can still come in time.
         horizon = watermark + grace_ms if watermark > 0 else -(1 << 62)
-        *entering, last_ms, waiting = state.get if state.exists else (*machine.initial, None, None)
-        entering = tuple(entering)
+        before, waiting = state.get if state.exists else (None, None)
+        known = {} if before is None else {row[0]: row[1:] for row in _rows(runs.unpacked(before))}
         pieces = [runs.unpacked(waiting)] if waiting is not None else []
         for pdf in () if state.hasTimedOut else pdfs:
             late = pdf["ms"] < horizon
             if late.any():
                 yield late_rows(machine, pdf[late], keep)
             pieces.append(pa.Table.from_pandas(pdf[~late], held, preserve_index=False))
-        table = pa.concat_tables(pieces).sort_by([(c, "ascending") for c in order]) if pieces else held.empty_table()
-        ready = int(np.searchsorted(table.column("ms").to_numpy(), horizon, side="left"))
-        for start in range(0, ready, SLICE_ROWS):
-            part = table.slice(start, min(SLICE_ROWS, ready - start)).to_pandas()
-            pdf, columns = ordered_columns(machine, part, order)
-            last_ms = int(columns[0][-1])
-            out, entering = machine.run(entering, *columns)
-            yield emitted(machine, pdf, keep, out).assign(**{LATE: False})
-        rest = table.slice(ready)
-        if not rest.num_rows and idle_ms is not None and (last_ms is None or last_ms + idle_ms < horizon):
-            state.remove()
-            return
-        state.update((*entering, last_ms, runs.packed(rest) if rest.num_rows else None))
-        if rest.num_rows:
-            due = rest.column("ms")[0].as_py() + 1
-        elif idle_ms is not None:
-            due = last_ms + idle_ms + 2
-        else:
+        table = pa.concat_tables(pieces) if pieces else held.empty_table()
+        is_due = pc.less(table.column("ms"), horizon)
+        due, rest = table.filter(is_due), table.filter(pc.invert(is_due))
+        due = due.sort_by([(c, "ascending") for c in ("session_id", *order)])
+        for start in range(0, due.num_rows, SLICE_ROWS):
+            out = _walk(machine, due.slice(start, SLICE_ROWS), keep, known)
+            if len(out):
+                yield out.assign(**{LATE: False})
+        wakes = [pc.min(rest.column("ms")).as_py() + 1] if rest.num_rows else []
+        if idle_ms is not None:
+            busy = set(rest.column("session_id").to_pylist())
+            quiet = {s: row[-1] + idle_ms for s, row in known.items() if s not in busy}
+            known = {s: row for s, row in known.items() if s in busy or quiet[s] >= horizon}
+            wakes += [quiet[s] + 2 for s in known if s in quiet]
+        if not known and not rest.num_rows:
+            if state.exists:
+                state.remove()
             return
-        state.setTimeoutTimestamp(max(due - grace_ms, max(watermark, 0) + 1))
+        after = [(s, *row) for s, row in known.items()]
+        table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*after), entering)], entering) if after else None
+        state.update((table and runs.packed(table), runs.packed(rest) if rest.num_rows else None))
+        if wakes:
+            state.setTimeoutTimestamp(max(min(wakes) - grace_ms, max(watermark, 0) + 1))
 
-    states = [*machine.state, ("_last_ms", "bigint"), ("_waiting", "binary")]
-    return rows.groupBy("session_id").applyInPandasWithState(
+    return rows.withColumn(key_column, key_of).groupBy(key_column).applyInPandasWithState(
         step,
         schema,
-        ", ".join(f"{name} {kind}" for name, kind in states),
+        "_entering binary, _waiting binary",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
 
+def _rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*[c.to_pylist() for c in table.columns]))
+
+
+def _walk(machine, table: pa.Table, keep: list[str], known: dict) -> pd.DataFrame:
+    """Run rows sorted by session; ``known`` has each session's state and last time, and gets the new ones."""
+    columns = [table.column(c).to_pylist() for c in machine.inputs]
+    sessions, ms, out, start = table.column("session_id").to_pylist(), table.column("ms").to_pylist(), [], 0
+    for session, rows in groupby(sessions):
+        end = start + sum(1 for _ in rows)
+        *entering, _ = known.get(session, (*machine.initial, None))
+        part, entering = machine.run(tuple(entering), *[c[start:end] for c in columns])
+        known[session] = (*entering, ms[end - 1])
+        out += [(row[0] + start, *row[1:]) for row in part]
+        start = end
+    return emitted(machine, table.select(keep).to_pandas(), keep, out)
+
+
 class Live:
     """T1, T2, T5-T7 on frames in order: motion, hold and throttle in one pass.
 

@@ -258,3 +258,29 @@ def test_a_pause_ends_a_hold(spark, tmp_path):
     assert codes == ["HOLD_START", "HOLD_START"]
     batch = fold(prepared(table), Hold(), ["session_id"], ["ts", "n"], (), SMALL)
     assert [r.code for r in batch.where("session_id = 'a'").orderBy("ts", "seq").collect()] == ["HOLD_START", "WARN", "FIRE"]
+
+
+@pytest.mark.parametrize("idle_ms", [None, 700])
+@pytest.mark.parametrize("kind", ["hold", "throttle"])
+def test_sessions_share_the_calls_of_their_bucket(spark, tmp_path, kind, idle_ms):
+    """Many small sessions need as many states as there are buckets, with the rows of the batch."""
+    rng = random.Random(4)
+    rows = [(f"s{rng.randrange(150)}", i, i * 60, rng.random() < 0.9, rng.choice("ab"), rng.random() < 0.1) for i in range(900)]
+    rows.sort(key=lambda r: r[2] + rng.randint(0, 9_000))
+    write_in_files(spark, rows, SCHEMA_OF_EVENTS, str(tmp_path / "in"), 4)
+    machine = Hold() if kind == "hold" else Throttle()
+    table = spark.read.parquet(str(tmp_path / "in"))
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    closing_row(table).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = fold_stream(prepared(reader.parquet(str(tmp_path / "in"))), machine, ["ts", "n"], idle_ms=idle_ms, buckets=3)
+    out = str(tmp_path / "out")
+    query = (
+        stream.writeStream.format("parquet").option("checkpointLocation", out + "-state")
+        .trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    states = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(states) <= 3 + 1  # the closing row has a group of its own
+    live = spark.read.schema(stream.schema).parquet(out)
+    assert live.where("late").count() == 0
+    same(live.drop("late"), fold(prepared(table.where("session_id is not null")), machine, ["session_id"], ["ts", "n"], (), SMALL, idle_ms))
