@@ -101,3 +101,14 @@ def test_shared_patterns(spark):
 
 def test_dictionary_table(spark):
     assert pages.dictionary(spark).where("size(dots) = bit_count(mask)").count() == 127
+
+
+def test_a_batch_of_pages_equals_the_columns(spark):
+    """Null, empty, unknown, astral, composed and overlong chunks, encoded together."""
+    chunks = [None, "", "a", "กข่ Z9#", "😀áé\n", "ıſK", " " * 14, "abcdefghijklmn", "x" * 20, None]
+    df = spark.createDataFrame(list(enumerate(chunks)), "n int, chunk string").coalesce(1)
+    glyphs = braille.fill_cells(braille.encode(F.col("chunk")))
+    expected = df.select("n", glyphs.alias("g"), braille.raised_pins(glyphs).alias("r"), braille.pin_string(glyphs).alias("p"))
+    cells = braille.page_cells(F.col("chunk"))
+    actual = df.select("n", cells["glyphs"], cells["raised"], braille.page_pins(F.col("chunk")))
+    assert [tuple(r) for r in actual.orderBy("n").collect()] == [tuple(r) for r in expected.orderBy("n").collect()]

@@ -68,3 +68,13 @@ def test_gate_band_snippet(spark):
     got = bands.select(txt.confidence_band(F.col("c"))).collect()
     assert [r[0] for r in got] == ["high", "medium", "medium", "low"]
     assert values(spark, ["a" * 22, "ก" * 23], txt.snippet) == ["a" * 22, "ก" * 22 + "..."]
+
+
+def test_outside_names_every_other_character(spark):
+    chars = "a\tz9 éÿĀก่　😀"
+    points = [p for p in [*range(1, 0x3100), *range(0x1F5F0, 0x1F610), 0x10FFFF] if not 0xD800 <= p < 0xE000]
+    df = spark.createDataFrame([(chr(p),) for p in points], "c string")
+    hit = {r.c for r in df.where(F.col("c").rlike(txt.outside(chars))).collect()}
+    assert hit == {chr(p) for p in points} - set(chars)
+    # Up to 255 no ranges: single characters become a table of bits.
+    assert "-\\x{FF}" not in txt.outside("b") and "\\x{61}\\x{63}" in txt.outside("b")
