@@ -87,28 +87,21 @@ def normalize(text: Column) -> Column:
 
 
 def _begins_plain(text: Column) -> Column:
-    """Whether the first character is of one of two ranges without white space (both sets), told by
+    """Whether the first character is of one of two ranges without white space, told by
     comparing bytes: most texts begin and end so."""
     return ((text >= "!") & (text < "\x7f")) | ((text >= "\u00a1") & (text < "\u1680"))
 
 
-def _trimmed(rows: DataFrame, name: str, space: str) -> DataFrame:
-    """``btrim`` looks up each character at both ends in the whole set, which is left to the texts
-    that do not begin and end plainly once blanks are gone. Each step is a column, so that no call is
-    repeated inside one expression and the generated code stays short enough to be compiled."""
-    rows = rows.withColumn("_bare", F.trim(name)).withColumn("_last", F.substring("_bare", -1, 1))
-    plain = _begins_plain(F.col("_bare")) & _begins_plain(F.col("_last"))
-    return rows.withColumn(name, F.when(plain, F.col("_bare")).otherwise(F.btrim("_bare", F.lit(space)))).drop("_bare", "_last")
-
-
 def stripped(rows: DataFrame, name: str = "text") -> DataFrame:
-    """P2. Recogniser output trimmed at both ends; rows without any text are dropped."""
-    return _trimmed(rows.where(has_text(F.col(name))), name, RECOGNISER_SPACE)
+    """P2. Recogniser output trimmed at both ends; rows without any text are dropped.
 
-
-def browser_trimmed(rows: DataFrame, name: str = "text") -> DataFrame:
-    """``browser_trim`` of a column of many short texts."""
-    return _trimmed(rows, name, BROWSER_SPACE)
+    ``btrim`` looks up each character at both ends in the whole set, which is left to the texts that
+    do not begin and end plainly once blanks are gone. Each step is a column, so that no call is
+    repeated inside one expression and the generated code stays short enough to be compiled."""
+    rows = rows.where(has_text(F.col(name))).withColumn("_bare", F.trim(name))
+    rows = rows.withColumn("_last", F.substring("_bare", -1, 1))
+    plain = _begins_plain(F.col("_bare")) & _begins_plain(F.col("_last"))
+    return rows.withColumn(name, F.when(plain, F.col("_bare")).otherwise(strip(F.col("_bare")))).drop("_bare", "_last")
 
 
 def strip(text: Column) -> Column:
