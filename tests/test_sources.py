@@ -5,12 +5,14 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tactile.operators import calibration, layout, results
 from tactile.plans import derive
+from tactile.plans.queries import QUERIES
 from tactile.sources import detections, images, sinks
 
 
@@ -368,3 +370,27 @@ def test_words_listed_late_equal_words_listed_before(spark):
     assert sorted(made.collect()) == sorted(plain.collect()) and plain.count() == 4
     counted = results.choose_engine(names, found, counted=True, words=bare)
     assert sorted(counted.collect()) == sorted(before.withColumn("words", F.size("words")).collect())
+
+
+def test_words_made_in_arrow_batches_equal_the_expression(spark):
+    """However few rows are taken at a time; lists may be empty or missing."""
+    words = ["a", "été", "กิน", "😀x", "\"q\\", "w" * 90]
+    rows = [(f"d{n}", [words[(n + i) % 6] for i in range(n * 31 % 250)], n) for n in range(40)] + [("none", None, 0)]
+    df = spark.createDataFrame(rows, "image string, words array<string>, n int")
+    made = derive.with_engine_words(df)
+    listed = F.coalesce(F.transform("words", derive.engine_word).cast(results.NO_WORDS), F.array())
+    expected = df.withColumn("words", listed)
+    assert made.columns == df.columns and made.schema["words"].dataType.simpleString() == results.NO_WORDS
+    assert sorted(made.collect()) == sorted(expected.collect())
+    batch = pa.RecordBatch.from_pydict({"words": pa.array([r[1] for r in rows], pa.list_(pa.string()))})
+    whole = list(derive._with_words(iter([batch])))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(derive, "BATCH_WORDS", 300)
+        parts = list(derive._with_words(iter([batch.slice(0, 7), batch.slice(7), batch.slice(0, 0)])))
+    assert len(whole) == 1 and len(parts) > 10
+    assert sum((p.column("words").to_pylist() for p in parts), []) == whole[0].column("words").to_pylist()
+
+
+def test_the_words_of_a_json_object_are_made_without_a_lambda(spark):
+    plan = QUERIES["result_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "transform(" not in plan
