@@ -117,6 +117,18 @@ def test_recognise_to_reports(spark, tmp_path):
     assert list(report[0].asDict()) == calibration.ROW_COLUMNS
 
 
+def test_report_is_rounded_half_up(spark):
+    values = [0.05, 0.25, -0.25, 15.625, 1.5625, -0.04, 1e17, float("nan"), float("inf"), 0.0, None, 2.675, 0.0005, 1.0005]
+    columns = ["confidence", "gap", "char_width", "gap_ratio", "x0", "y0", "x1", "y1"]
+    placed = spark.createDataFrame([("a", 0, k, "w", True, *[v] * 8) for k, v in enumerate(values)], "image string, line int, position_in_line int, text string, space boolean, " + ", ".join(f"{c} double" for c in columns))
+    digits = {"confidence": 1, "gap": 2, "char_width": 2, "gap_ratio": 3} | dict.fromkeys(columns[4:], 1)
+    rounds = {c: F.round(c, d) for c, d in digits.items()}
+    rounds["char_width"] = F.when(F.col("char_width") > 0, rounds["char_width"])
+    got = calibration.calibration_rows(placed).withColumnsRenamed({"gap_before_px": "gap", "char_width_px": "char_width"})
+    tables = [df.orderBy("position_in_line").select(columns).collect() for df in (got, placed.withColumns(rounds))]
+    assert str(tables[0]) == str(tables[1])
+
+
 def test_detections_are_read_back(spark, tmp_path):
     rows = [("a", 0, [(0.0, 1.0), (2.0, 3.0)], "x", 0.5)]
     spark.createDataFrame(rows, detections.SCHEMA).write.parquet(str(tmp_path / "d"))
